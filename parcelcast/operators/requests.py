@@ -68,7 +68,7 @@ def scenario_features(df: DataFrame, year, month, day, weekday, keep: Sequence[s
     whole = {"estrato", "zona_riesgo", "cliente_ausente", "intentos_entrega"}
     columns = {}
     for name, default in SCENARIO_DEFAULTS.items():
-        value = F.col(name)
+        value = _given(df, name)
         if isinstance(default, str):
             columns[name] = F.coalesce(value, F.lit(default))
             continue

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from parcelcast.functions.columns import eta_formula, late_flag, percent_of_rows
 from parcelcast.operators.kpi import top_zones
@@ -88,7 +88,10 @@ def lowest_hashes(df: DataFrame, group: str, row_hash: str, limit: int, sizes: d
     values be so repetitive that a group falls short, the rows are ranked without the threshold.
     """
     order = Window.partitionBy(group).orderBy(row_hash)
-    ranked = lambda rows: rows.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < limit)
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < limit)
+
     wanted = {g: min(limit, n) for g, n in sizes.items()}
     if not wanted:
         return ranked(df.where(F.lit(False)))
