@@ -180,7 +180,8 @@ def _zone_risk(pool: DataFrame, year: int, month: int, predictor: Predictor, row
         low, high = ZONE_SAMPLE
         ranked = lowest_hashes(inside, "localidad", row_hash, high, sizes)
         size = F.least(F.greatest(F.floor(F.col("n") / POOL_PER_SAMPLE), F.lit(low)), F.lit(high)).cast("int")
-        slots = zones.select("localidad", (F.explode(F.sequence(F.lit(0), size - 1)) % F.col("n")).alias("rank"))
+        slots = zones.select("localidad", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("i"))
+        slots = slots.select("localidad", (F.col("i") % F.col("n")).alias("rank"))
         inside = slots.join(ranked, ["localidad", "rank"])
     scored = predictor(scenario_features(inside, year, month, 15, 2))
     return scored.groupBy("localidad").agg((F.avg(late_flag("prediction")) * 100.0).alias("riesgo"),

@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from parcelcast.functions import columns as fx
 from parcelcast.operators import encode, kpi, models, order, profile, registry as reg, requests, scenario
 from parcelcast.plans.baselines import baseline_registry
+from parcelcast.plans.prepare import prepared_once
 from parcelcast.schema import (CATEGORICAL, ERROR_SEGMENTS, ESTIMATE, NUMERIC, TABLE_BOUNDS, TARGET,
                                TOP_ZONES)
-from parcelcast.session import scratch_path, stage
+from parcelcast.session import pin, scratch_path, stage
 from parcelcast.sources import artifacts
 from parcelcast.sources.deliveries import KEYS, ORDER, deliveries, read_registry, row_hash, table
 
 MONTH = (2024, 2)          # projected month of the scenario queries
+MAX_MODELS = 1000
 BOOST_ROUNDS = 5           # rounds of the boosted models in the registered queries
 PROFILED = ["distancia_km", "nivel_trafico", "lluvia_mm", "pendiente_promedio", "zona_riesgo", ESTIMATE, TARGET]
 FILTERS = {"zone": "NATION_1", "road": "Local", "vehicle": "2-HIGH", "max_traffic": 0.7,
@@ -33,36 +35,25 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select([r6(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def _dated(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.date_features(deliveries(spark, sf))
+def _prepared(spark: SparkSession, sf: str) -> DataFrame:
+    """Deliveries with features, row hash and split, written once per application and folder."""
+    return prepared_once(spark, sf, ORDER, lambda: deliveries(spark, sf).withColumn("row_hash", row_hash()))
 
 
-def _cut(spark: SparkSession, sf: str) -> order.Cut:
-    return order.temporal_cut(deliveries(spark, sf), ORDER)
+def _train(spark: SparkSession, sf: str) -> DataFrame:
+    return _prepared(spark, sf).where(F.col("split") == "train")
 
 
 def _validation(spark: SparkSession, sf: str) -> DataFrame:
-    return _cut(spark, sf).after(_dated(spark, sf))
+    return _prepared(spark, sf).where(F.col("split") == "validation")
 
 
-def _raw_registry(spark: SparkSession, sf: str, cut: order.Cut | None = None) -> DataFrame:
-    rows, cut = deliveries(spark, sf), cut or _cut(spark, sf)
-    return baseline_registry(cut.before(rows), cut.after(rows))
+def _raw_registry(spark: SparkSession, sf: str) -> DataFrame:
+    return baseline_registry(_train(spark, sf), _validation(spark, sf))
 
 
-def _registry(spark: SparkSession, sf: str, cut: order.Cut | None = None) -> DataFrame:
-    return reg.load_registry(_raw_registry(spark, sf, cut))
-
-
-def _featured(spark: SparkSession, sf: str) -> DataFrame:
-    """Features, label and split, written once: every later pass reads columns instead of joining."""
-    cut = _cut(spark, sf)
-    return stage(order.temporal_split(encode.with_features(deliveries(spark, sf)), cut), "features")
-
-
-def _parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = _featured(spark, sf)
-    return rows.where(F.col("split") == "train"), rows.where(F.col("split") == "validation")
+def _registry(spark: SparkSession, sf: str) -> DataFrame:
+    return pin(reg.load_registry(_raw_registry(spark, sf)), MAX_MODELS)
 
 
 # --- scans and derivations ------------------------------------------------------------------
@@ -73,22 +64,21 @@ def scan_deliveries(spark, sf):
 
 
 def date_features(spark, sf):
-    return _dated(spark, sf).select(*KEYS, "anio", "mes", "dia", "dia_semana")
+    return fx.date_features(deliveries(spark, sf)).select(*KEYS, "anio", "mes", "dia", "dia_semana")
 
 
-def _zero_distance_rows(spark, sf) -> DataFrame:
-    """The view with the shortest trips set to zero kilometres."""
-    rows = deliveries(spark, sf)
+def _zero_distance(rows: DataFrame) -> DataFrame:
+    """The shortest trips set to zero kilometres."""
     return rows.withColumn("distancia_km", F.when(F.col("distancia_km") <= 0.5, 0.0).otherwise(F.col("distancia_km")))
 
 
 def efficiency_ratio(spark, sf):
-    rows = _zero_distance_rows(spark, sf)
-    return rows.select(*KEYS, r6(fx.ratio(ESTIMATE, "distancia_km"), "eficiencia_estimacion"))
+    rows = _zero_distance(deliveries(spark, sf))
+    return rows.select(*KEYS, fx.ratio(ESTIMATE, "distancia_km").alias("eficiencia_estimacion"))
 
 
 def impute_median(spark, sf):
-    rows = _zero_distance_rows(spark, sf).select(*KEYS, fx.ratio(ESTIMATE, "distancia_km").alias("eficiencia_estimacion"))
+    rows = _zero_distance(_prepared(spark, sf)).select(*KEYS, fx.ratio(ESTIMATE, "distancia_km").alias("eficiencia_estimacion"))
     return rounded(encode.impute_median(rows, "eficiencia_estimacion"))
 
 
@@ -148,7 +138,7 @@ def _requests(spark, sf) -> DataFrame:
 
 
 def complete_requests(spark, sf):
-    return rounded(requests.complete_requests(_requests(spark, sf), keep=KEYS))
+    return requests.complete_requests(_requests(spark, sf), keep=KEYS)
 
 
 def validate_requests(spark, sf):
@@ -167,13 +157,13 @@ def unknown_zones(spark, sf):
 
 def scenario_features(spark, sf):
     rows = _requests(spark, sf)
-    return rounded(requests.scenario_features(rows, 2025, 2, 15, 2, keep=KEYS))
+    return requests.scenario_features(rows, 2025, 2, 15, 2, keep=KEYS)
 
 
 # --- order ----------------------------------------------------------------------------------
 
 def temporal_split(spark, sf):
-    rows = deliveries(spark, sf)
+    rows = stage(deliveries(spark, sf).select(*ORDER), "order")
     return order.temporal_split(rows, order.temporal_cut(rows, ORDER)).select(*KEYS, "split")
 
 
@@ -190,14 +180,13 @@ def error_sample(spark, sf):
 
 
 def error_evolution(spark, sf):
-    return rounded(order.error_evolution(deliveries(spark, sf), ORDER, ERROR_SEGMENTS))
+    return rounded(order.error_evolution(_prepared(spark, sf), ORDER, ERROR_SEGMENTS))
 
 
 # --- current KPIs ---------------------------------------------------------------------------
 
 def kpis_actual(spark, sf):
-    cut = _cut(spark, sf)
-    return rounded(kpi.kpis_actual(cut.after(deliveries(spark, sf)), _registry(spark, sf, cut)))
+    return rounded(kpi.kpis_actual(_validation(spark, sf), _registry(spark, sf)))
 
 
 def kpis_filtered(spark, sf):
@@ -205,8 +194,7 @@ def kpis_filtered(spark, sf):
 
 
 def flashcards(spark, sf):
-    cut = _cut(spark, sf)
-    return kpi.flashcards(cut.after(deliveries(spark, sf)), _registry(spark, sf, cut), "glm")
+    return kpi.flashcards(_validation(spark, sf), _registry(spark, sf), "glm")
 
 
 def by_zone(spark, sf):
@@ -234,7 +222,7 @@ def error_histogram(spark, sf):
 
 
 def road_box(spark, sf):
-    return rounded(kpi.road_box(deliveries(spark, sf)))
+    return rounded(kpi.road_box(_prepared(spark, sf)))
 
 
 def profile_nulls(spark, sf):
@@ -243,7 +231,7 @@ def profile_nulls(spark, sf):
 
 
 def profile_describe(spark, sf):
-    return rounded(profile.profile_describe(deliveries(spark, sf), PROFILED))
+    return rounded(profile.profile_describe(_prepared(spark, sf), PROFILED))
 
 
 def regression_metrics(spark, sf):
@@ -293,25 +281,19 @@ def kpis_confidence(spark, sf):
 
 # --- encoders -------------------------------------------------------------------------------
 
-def _labelled(spark, sf) -> tuple[DataFrame, DataFrame]:
-    cut = _cut(spark, sf)
-    rows = order.temporal_split(encode.with_features(deliveries(spark, sf)), cut)
-    return rows, cut.before(rows)
-
-
 def scaler_stats(spark, sf):
-    return rounded(encode.scaler_stats(_labelled(spark, sf)[1]))
+    return rounded(encode.scaler_stats(_train(spark, sf)))
 
 
 def scale_numeric(spark, sf):
-    rows, train = _labelled(spark, sf)
+    rows, train = _prepared(spark, sf), _train(spark, sf)
     scaled = encode.scale_numeric(rows, train)
     return rounded(scaled.select(*KEYS, "split", *[f"{c}_scaled" for c in NUMERIC]))
 
 
 def one_hot(spark, sf):
     """Slot of the single 1 in each encoded vector (null when all zeros), and the vector width."""
-    rows, train = _labelled(spark, sf)
+    rows, train = _prepared(spark, sf), _train(spark, sf)
     indexer, encoder = encode.one_hot_stages()
     fitted = indexer.fit(train)
     vectors = encoder.fit(fitted.transform(train)).transform(fitted.transform(rows))
@@ -323,18 +305,18 @@ def one_hot(spark, sf):
 
 
 def ordinal_encode(spark, sf):
-    rows, train = _labelled(spark, sf)
+    rows, train = _prepared(spark, sf), _train(spark, sf)
     coded = encode.ordinal_encode(rows, train, ORDER)
     return coded.select(*KEYS, *[f"{c}_code" for c in CATEGORICAL])
 
 
 def bind_features_target(spark, sf):
-    rows = deliveries(spark, sf)
+    rows = _prepared(spark, sf)
     return artifacts.bind_features_target(rows.select(*KEYS, ESTIMATE), rows.select(*KEYS, TARGET), KEYS)
 
 
 def write_feature_sets(spark, sf):
-    rows = _featured(spark, sf)
+    rows = _prepared(spark, sf)
     paths = artifacts.write_feature_sets(rows, ORDER, scratch_path(spark, "sets"))
     out = None
     for family, path in paths.items():
@@ -350,8 +332,7 @@ def write_feature_sets(spark, sf):
 # --- month projection -----------------------------------------------------------------------
 
 def _projection(spark, sf, **options) -> scenario.Projection:
-    pool = _validation(spark, sf).withColumn("row_hash", row_hash())
-    return scenario.project_month(pool, *MONTH, **options)
+    return scenario.project_month(_validation(spark, sf), *MONTH, **options)
 
 
 def _profile(spark, sf) -> DataFrame:
@@ -413,35 +394,35 @@ def ridge1d(spark, sf):
 
 
 def train_ridge(spark, sf):
-    train, _ = _parts(spark, sf)
+    train = _train(spark, sf)
     return rounded(models.coefficients(models.fit_family("linear", train, ORDER)))
 
 
 def train_glm(spark, sf):
-    train, _ = _parts(spark, sf)
+    train = _train(spark, sf)
     return rounded(models.coefficients(models.fit_family("glm", train, ORDER)))
 
 
 def _boosted(family, spark, sf):
-    train, validation = _parts(spark, sf)
+    train, validation = _train(spark, sf), _validation(spark, sf)
     fitted = models.fit_family(family, train, ORDER, BOOST_ROUNDS)
     return rounded(models.evaluate(fitted, train.count(), validation))
 
 
 def feature_importance(spark, sf):
-    train, _ = _parts(spark, sf)
+    train = _train(spark, sf)
     return rounded(models.feature_importance(models.fit_family("xgboost", train, ORDER, BOOST_ROUNDS)))
 
 
 def train_all(spark, sf):
-    train, validation = _parts(spark, sf)
+    train, validation = _train(spark, sf), _validation(spark, sf)
     _, status, registry = models.train_all(train, validation, ORDER, BOOST_ROUNDS)
     loaded = reg.load_registry(registry.withColumn("ord", F.monotonically_increasing_id())).drop("ord")
     return rounded(status.withColumnRenamed("family", "model_name").join(loaded, "model_name", "left"))
 
 
 def _saved_linear(spark, sf) -> tuple[str, DataFrame, DataFrame]:
-    train, validation = _parts(spark, sf)
+    train, validation = _train(spark, sf), _validation(spark, sf)
     root = scratch_path(spark, "models")
     fitted = {"linear": models.fit_family("linear", train, ORDER)}
     models.save_models(fitted, root)
@@ -463,10 +444,9 @@ def model_availability(spark, sf):
 
 
 def scenario_with_model(spark, sf):
-    train, validation = _parts(spark, sf)
+    train, validation = _train(spark, sf), _validation(spark, sf)
     fitted = models.fit_family("linear", train, ORDER)
-    pool = validation.withColumn("row_hash", row_hash())
-    return rounded(scenario.project_month(pool, *MONTH, predictor=fitted.predict).daily)
+    return rounded(scenario.project_month(validation, *MONTH, predictor=fitted.predict).daily)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (

@@ -240,11 +240,11 @@ def _feature_sets() -> str:
 
 def _completed() -> str:
     return _q(f"""
-      select {KEYS}, coalesce(estrato, 3) as estrato, round(distancia_km, 6) as distancia_km,
-        round(nivel_trafico, 6) as nivel_trafico, round(coalesce(lluvia_mm, 0e0), 6) as lluvia_mm,
+      select {KEYS}, coalesce(estrato, 3) as estrato, distancia_km,
+        nivel_trafico, coalesce(lluvia_mm, 0e0) as lluvia_mm,
         0.5e0 as pendiente_promedio, 0e0 as zona_riesgo, 0 as cliente_ausente, 1 as intentos_entrega,
-        round(tiempo_estimado_min, 6) as tiempo_estimado_min,
-        round(case when distancia_km > 0 then tiempo_estimado_min / distancia_km else 0e0 end, 6) as eficiencia_estimacion,
+        tiempo_estimado_min,
+        case when distancia_km > 0 then tiempo_estimado_min / distancia_km else 0e0 end as eficiencia_estimacion,
         2024 as anio, 1 as mes, 1 as dia, 0 as dia_semana, coalesce(localidad, 'Kennedy') as localidad,
         coalesce(tipo_via, 'Calle') as tipo_via, 'Urbana' as tipo_zona, 'Moto' as vehiculo
       from requests""")
@@ -253,10 +253,10 @@ def _completed() -> str:
 def _scenario_features() -> str:
     return _q(f"""
       select {KEYS}, case when coalesce(estrato, 0) = 0 then 3 else estrato end as estrato,
-        round(d, 6) as distancia_km, round(case when nivel_trafico = 0 then 2e0 else nivel_trafico end, 6) as nivel_trafico,
-        round(coalesce(lluvia_mm, 0e0), 6) as lluvia_mm, 0.5e0 as pendiente_promedio, 0 as zona_riesgo,
-        0 as cliente_ausente, 1 as intentos_entrega, round(tiempo_estimado_min, 6) as tiempo_estimado_min,
-        round(tiempo_estimado_min / d, 6) as eficiencia_estimacion, 2025 as anio, 2 as mes, 15 as dia, 2 as dia_semana,
+        d as distancia_km, case when nivel_trafico = 0 then 2e0 else nivel_trafico end as nivel_trafico,
+        coalesce(lluvia_mm, 0e0) as lluvia_mm, 0.5e0 as pendiente_promedio, 0 as zona_riesgo,
+        0 as cliente_ausente, 1 as intentos_entrega, tiempo_estimado_min,
+        tiempo_estimado_min / d as eficiencia_estimacion, 2025 as anio, 2 as mes, 15 as dia, 2 as dia_semana,
         coalesce(localidad, 'Kennedy') as localidad, coalesce(tipo_via, 'Calle') as tipo_via, 'Urbana' as tipo_zona,
         'Moto' as vehiculo
       from (select *, case when distancia_km = 0 then 5e0 else distancia_km end as d from requests)""")
@@ -275,7 +275,7 @@ def _zones() -> str:
 ORACLE: dict[str, str] = {
     "scan_deliveries": _d("select * replace (strftime(fecha_pedido, '%Y-%m-%d %H:%M:%S') as fecha_pedido) from deliveries"),
     "date_features": _d(f"select {KEYS}, anio, mes, dia, dia_semana from dated"),
-    "efficiency_ratio": _d(f"select {KEYS}, round({_MEDIAN}, 6) as eficiencia_estimacion from deliveries"),
+    "efficiency_ratio": _d(f"select {KEYS}, {_MEDIAN} as eficiencia_estimacion from deliveries"),
     "impute_median": _d(f"""
         select {KEYS}, round(coalesce({_MEDIAN}, (select median({_MEDIAN}) from deliveries)), 6) as eficiencia_estimacion
         from deliveries"""),
