@@ -23,7 +23,7 @@ def median_of(df: DataFrame, column: str, **options) -> float | None:
 
 def impute_median(df: DataFrame, column: str, fit_on: DataFrame | None = None, **options) -> DataFrame:
     """Fill nulls with the median of ``fit_on`` (default: the table itself)."""
-    if df.where(F.col(column).isNull()).isEmpty():
+    if df.agg(F.count_if(F.col(column).isNull())).first()[0] == 0:
         return df
     middle = median_of(df if fit_on is None else fit_on, column, **options)
     return df.withColumn(column, F.coalesce(F.col(column), F.lit(middle).cast("double")))

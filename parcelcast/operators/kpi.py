@@ -12,6 +12,7 @@ from parcelcast.functions.columns import percent_of_rows, signed_error
 from parcelcast.operators.ranks import exact_quantiles, typed_literal
 from parcelcast.operators.registry import model_metric
 from parcelcast.schema import DEFAULT_MODEL, KPIS_ACTUAL, ON_TIME_MIN, TARGET, TIMESTAMP
+from parcelcast.session import local_table
 
 
 def delivery_kpis(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -117,7 +118,7 @@ def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
     numbers = df.select(value.cast("double").alias("x")).where(F.col("x").isNotNull())
     ends = numbers.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
     if ends["lo"] is None:
-        return numbers.sparkSession.createDataFrame([], "bucket int, n bigint")
+        return local_table(numbers.sparkSession, [], "bucket int, n bigint")
     width = (ends["hi"] - ends["lo"]) / bins
     bucket = (F.least(F.lit(bins), F.floor((F.col("x") - ends["lo"]) / width) + 1)
               if width > 0 else F.lit(1))
@@ -138,7 +139,7 @@ def road_box(df: DataFrame, by: str = "tipo_via", value: str = TARGET, **options
     out = [(group[1], q[0.0], q[0.25], q[0.5], q[0.75], q[1.0]) for group, q in sorted(summary.items())]
     fields = [T.StructField(by, rows.schema[by].dataType)]
     fields += [T.StructField(c, T.DoubleType()) for c in ("low", "q1", "med", "q3", "high")]
-    return df.sparkSession.createDataFrame(out, T.StructType(fields))
+    return local_table(df.sparkSession, out, T.StructType(fields))
 
 
 def regression_metrics(df: DataFrame, prediction: str, label: str = TARGET, by: Sequence[str] = ()) -> DataFrame:

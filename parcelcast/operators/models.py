@@ -17,7 +17,7 @@ from parcelcast.operators.registry import model_metric
 from parcelcast.operators.requests import complete_requests
 from parcelcast.schema import (DEFAULT_MODEL, FALLBACK_ORDER, FAMILIES, PREDICTION_FLOOR, REGISTRY_NAMES,
                                TARGET, TREE_FEATURES)
-from parcelcast.session import checkpoint_root
+from parcelcast.session import checkpoint_root, local_table
 
 NORMAL_SOLVER_LIMIT = 4096
 
@@ -111,8 +111,9 @@ def fit_family(family: str, train: DataFrame, order: Sequence[str], rounds: int
     """Prepare features and fit one family; the feature rows are kept while the fit iterates."""
     linear = family in ("linear", "glm")
     preparation = fit_linear_features(train) if linear else fit_tree_features(train, order)
-    rows = preparation.transform(train.select(*dict.fromkeys([*order, *TREE_FEATURES, TARGET])))
-    rows = rows.select(*order, "features", TARGET).persist(StorageLevel.MEMORY_AND_DISK)
+    keys = order if family == "histgb" else []      # the held-out rows are chosen by key
+    rows = preparation.transform(train.select(*dict.fromkeys([*keys, *TREE_FEATURES, TARGET])))
+    rows = rows.select(*keys, "features", TARGET).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if family == "linear":
             return fit_ridge(rows, preparation)
@@ -142,9 +143,9 @@ def train_all(train: DataFrame, validation: DataFrame, order: Sequence[str], rou
             status.append((family, True, models[family].note))
         except (PySparkException, ArithmeticError, ValueError, RuntimeError) as error:
             status.append((family, False, str(error).splitlines()[0] if str(error) else type(error).__name__))
-    table = spark.createDataFrame(status, "model_name string, trained boolean, note string")
+    table = local_table(spark, status, "model_name string, trained boolean, note string")
     if registry is None:
-        registry = spark.createDataFrame([], "model_name string, mae double, mse double, rmse double,"
+        registry = local_table(spark, [], "model_name string, mae double, mse double, rmse double,"
                                              " mape double, n_train bigint, n_validation bigint")
     return models, table, registry
 
@@ -153,7 +154,7 @@ def feature_importance(model: Fitted, limit: int = 5) -> DataFrame:
     """Largest importances of a tree model, by feature name."""
     weights = model.regressor.featureImportances.toArray()
     rows = [(name, float(w)) for name, w in zip(TREE_FEATURES, weights)]
-    table = SparkSession.active().createDataFrame(rows, "feature string, importance double")
+    table = local_table(SparkSession.active(), rows, "feature string, importance double")
     return table.orderBy(F.desc("importance"), "feature").limit(limit)
 
 
@@ -162,7 +163,7 @@ def coefficients(model: Fitted) -> DataFrame:
     fitted = model.regressor
     rows = [("(intercept)", float(fitted.intercept)),
             *((n, float(w)) for n, w in zip(names, fitted.coefficients.toArray()))]
-    return SparkSession.active().createDataFrame(rows, "feature string, weight double")
+    return local_table(SparkSession.active(), rows, "feature string, weight double")
 
 
 def save_models(models: dict[str, Fitted], root: str) -> None:
@@ -186,7 +187,7 @@ def model_availability(spark: SparkSession, root: str, registry: DataFrame) -> D
     """Which families are saved, and the overall status."""
     known = [(f, is_saved(spark, root, f), f == DEFAULT_MODEL) for f in FAMILIES]
     status = "ok" if any(k[1] for k in known) else "degraded"
-    table = spark.createDataFrame(known, "model_name string, available boolean, is_default boolean")
+    table = local_table(spark, known, "model_name string, available boolean, is_default boolean")
     rows = registry.agg((F.count(F.lit(1)) > 0).alias("metrics_available"))
     return table.withColumn("status", F.lit(status)).withColumn("metrics_available", rows.scalar())
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from parcelcast.operators.ranks import exact_quantiles
+from parcelcast.session import local_table
 
 
 def profile_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -32,7 +33,7 @@ def profile_describe(df: DataFrame, columns: Sequence[str], **options) -> DataFr
     names = ["mean", "std", "min", "q25", "q50", "q75", "max"]
     schema = T.StructType([T.StructField("column", T.StringType()), T.StructField("count", T.LongType()),
                            *[T.StructField(n, T.DoubleType()) for n in names]])
-    return df.sparkSession.createDataFrame(rows, schema)
+    return local_table(df.sparkSession, rows, schema)
 
 
 def _number(value) -> float | None:

@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
+from parcelcast.session import local_table
+
 BUCKETS = 1024
 FINE_ROWS = 200_000     # intervals with at most this many rows are resolved value by value
 MAX_GROUPS = 100_000    # groups (and first-level buckets) that may be returned to the driver
@@ -124,7 +126,7 @@ def _look_closer(tall: DataFrame, keys: list[str], kind: str, intervals: list[_I
         rows.append((*i.group, number, i.cell.low, i.cell.high, halve, i.cell.rows <= fine_rows,
                      i.cell.start, i.ranks))
     # Bounded by groups x ranks, both named by the caller and checked above: safe to broadcast.
-    states = F.broadcast(spark.createDataFrame(rows, T.StructType(fields)))
+    states = F.broadcast(local_table(spark, rows, T.StructType(fields)))
     condition = F.col("_value").between(F.col("_low"), F.col("_high"))
     for i, k in enumerate(keys):
         condition = condition & F.col(f"_g{i}").eqNullSafe(F.col(k))
@@ -221,7 +223,7 @@ def keys_at_ranks(df: DataFrame, keys: Sequence[str], ranks: Callable[[int], Seq
 def _with_prefix(narrow: DataFrame, by: list[str], prefixes: dict) -> DataFrame:
     schema = T.StructType([narrow.schema[c] for c in by])
     # One row per wanted rank at most: safe to broadcast.
-    chosen = F.broadcast(narrow.sparkSession.createDataFrame(list(prefixes), schema))
+    chosen = F.broadcast(local_table(narrow.sparkSession, list(prefixes), schema))
     return narrow.join(chosen, by, "left_semi")
 
 
@@ -233,7 +235,7 @@ def _resolve_small(narrow: DataFrame, keys: list[str], depth: int, prefixes: dic
     schema = T.StructType([*[T.StructField(f"_p{i}", narrow.schema[c].dataType) for i, c in enumerate(by)],
                            T.StructField("_inside", T.LongType()), T.StructField("_rank", T.LongType())])
     wanted = [(*p, inside, rank) for p, ranks in prefixes.items() for rank, inside in ranks.items()]
-    targets = F.broadcast(narrow.sparkSession.createDataFrame(wanted, schema))
+    targets = F.broadcast(local_table(narrow.sparkSession, wanted, schema))
     order = Window.partitionBy(*by).orderBy(*rest)
     ranked = (_with_prefix(narrow, by, prefixes)
               .select(*keys, (F.row_number().over(order) - 1).alias("_place"),

@@ -90,7 +90,8 @@ def lowest_hashes(df: DataFrame, group: str, row_hash: str, limit: int, sizes: d
     order = Window.partitionBy(group).orderBy(row_hash)
 
     def ranked(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < limit)
+        numbered = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+        return numbered.withColumn("rank", F.col("rank") - 1)
 
     wanted = {g: min(limit, n) for g, n in sizes.items()}
     if not wanted:
@@ -109,11 +110,10 @@ def lowest_hashes(df: DataFrame, group: str, row_hash: str, limit: int, sizes: d
 
 @dataclass(frozen=True)
 class Projection:
-    """The tables of a projected month; each is small (days, zones or sampled rows)."""
+    """A projected month: scored rows, their daily figures, and the history they came from."""
     label: str
     scored: DataFrame
     daily: DataFrame
-    zones: DataFrame
     profile: DataFrame
     pool: DataFrame
 
@@ -127,7 +127,7 @@ def project_month(pool: DataFrame, year: int, month: int, predictor: Predictor =
     """
     profile = pin(demand_profile(pool), MAX_DAYS)
     days = pin(daily_demand(profile, year, month, demand_mode), 31)
-    columns = [*SCENARIO_DEFAULTS, *(["eficiencia_estimacion"] if "eficiencia_estimacion" in pool.columns else [])]
+    columns = _feature_columns(pool)
     known = pool.where(F.col("dia_semana").isNotNull())
     if mode == "sample":
         rows = _sampled_days(known.select(F.col("dia_semana").alias("pool"), row_hash, *columns),
@@ -142,9 +142,11 @@ def project_month(pool: DataFrame, year: int, month: int, predictor: Predictor =
     keep = ["day", "i", "demand_predicted"]
     features = scenario_features(rows, year, month, F.col("day"), F.col("dow"), keep=keep)
     scored = predictor(features).select(*keep, "nivel_trafico", "prediction")
-    return Projection(f"{year}-{month:02d}", scored, _daily(scored),
-                      _zone_risk(known.select(row_hash, *columns), year, month, predictor, row_hash, mode),
-                      profile, pool)
+    return Projection(f"{year}-{month:02d}", scored, _daily(scored), profile, pool)
+
+
+def _feature_columns(pool: DataFrame) -> list[str]:
+    return [c for c in (*SCENARIO_DEFAULTS, "eficiencia_estimacion") if c in pool.columns]
 
 
 def _sampled_days(rows: DataFrame, days: DataFrame, profile: DataFrame, row_hash: str) -> DataFrame:
@@ -170,9 +172,10 @@ def _daily(scored: DataFrame) -> DataFrame:
     return per_day.withColumn("delays_expected", late).withColumn("risk_delay", late).select(*DAILY)
 
 
-def _zone_risk(pool: DataFrame, year: int, month: int, predictor: Predictor, row_hash: str,
-               mode: str) -> DataFrame:
+def zone_risk(pool: DataFrame, year: int, month: int, predictor: Predictor = formula_predictor,
+              row_hash: str = "row_hash", mode: str = "sample") -> DataFrame:
     """Share of late predictions and mean prediction in the zones with most rows, mid-month."""
+    pool = pool.select(row_hash, *_feature_columns(pool))
     zones = pin(top_zones(pool, TOP_ZONES), TOP_ZONES)
     sizes = {r["localidad"]: r["n"] for r in zones.collect()}
     inside = pool.where(F.col("localidad").isin(list(sizes)))

@@ -36,8 +36,8 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def _prepared(spark: SparkSession, sf: str) -> DataFrame:
-    """Deliveries with features, row hash and split, written once per application and folder."""
-    return prepared_once(spark, sf, ORDER, lambda: deliveries(spark, sf).withColumn("row_hash", row_hash()))
+    """Deliveries with features and split, written once per application and folder."""
+    return prepared_once(spark, sf, ORDER, lambda: deliveries(spark, sf))
 
 
 def _train(spark: SparkSession, sf: str) -> DataFrame:
@@ -331,8 +331,12 @@ def write_feature_sets(spark, sf):
 
 # --- month projection -----------------------------------------------------------------------
 
+def _pool(spark, sf) -> DataFrame:
+    return _validation(spark, sf).withColumn("row_hash", row_hash())
+
+
 def _projection(spark, sf, **options) -> scenario.Projection:
-    return scenario.project_month(_validation(spark, sf), *MONTH, **options)
+    return scenario.project_month(_pool(spark, sf), *MONTH, **options)
 
 
 def _profile(spark, sf) -> DataFrame:
@@ -368,7 +372,7 @@ def scenario_summary(spark, sf):
 
 
 def zone_risk(spark, sf):
-    return rounded(_projection(spark, sf).zones)
+    return rounded(scenario.zone_risk(_pool(spark, sf), *MONTH))
 
 
 def traffic_risk_points(spark, sf):
@@ -444,9 +448,8 @@ def model_availability(spark, sf):
 
 
 def scenario_with_model(spark, sf):
-    train, validation = _train(spark, sf), _validation(spark, sf)
-    fitted = models.fit_family("linear", train, ORDER)
-    return rounded(scenario.project_month(validation, *MONTH, predictor=fitted.predict).daily)
+    fitted = models.fit_family("linear", _train(spark, sf), ORDER)
+    return rounded(scenario.project_month(_pool(spark, sf), *MONTH, predictor=fitted.predict).daily)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (

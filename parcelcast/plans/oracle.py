@@ -154,12 +154,15 @@ def _round(*names: str) -> str:
 
 
 def _kpis(source: str, where: str = "true") -> str:
-    return f"""
-      select round(avg(tiempo_real_min), 6) as eta_mean, round(max(tiempo_real_min), 6) as eta_max,
-        round(min(tiempo_real_min), 6) as eta_min, round(stddev_pop(tiempo_real_min), 6) as eta_std,
-        count(*) as n_records, round(count(*) filter (tiempo_real_min <= 60) * 100e0 / count(*), 6) as otif,
-        round(count(*) filter (tiempo_real_min > 60) * 100e0 / count(*), 6) as delays_pct
-      from {source} where {where}"""
+    def known(value: str, name: str) -> str:
+        return f"round(coalesce({value}, 0e0), 6) as {name}"
+
+    y, n = "tiempo_real_min", "nullif(count(*), 0)"
+    columns = [known(f"avg({y})", "eta_mean"), known(f"max({y})", "eta_max"), known(f"min({y})", "eta_min"),
+               known(f"stddev_pop({y})", "eta_std"), "count(*) as n_records",
+               known(f"count(*) filter ({y} <= 60) * 100e0 / {n}", "otif"),
+               known(f"count(*) filter ({y} > 60) * 100e0 / {n}", "delays_pct")]
+    return f"select {', '.join(columns)} from {source} where {where}"
 
 
 _CATEGORIES = ("localidad", "tipo_via", "tipo_zona", "vehiculo")

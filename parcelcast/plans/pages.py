@@ -35,7 +35,8 @@ def future_page(validation: DataFrame, registry: DataFrame, model: str = DEFAULT
         "summary": scenario.scenario_summary(projection),
         "daily": projection.daily,
         "distribucion_eta": scenario.eta_distribution(projection),
-        "riesgo_por_localidad": projection.zones,
+        "riesgo_por_localidad": scenario.zone_risk(validation, year, number, **{
+            k: v for k, v in options.items() if k in ("predictor", "row_hash", "mode")}),
         "trafico_vs_riesgo": scenario.traffic_risk_points(projection),
         "historico_vs_predicho": scenario.historical_vs_predicted(projection),
     }

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -39,7 +42,15 @@ def pin(df: DataFrame, max_rows: int) -> DataFrame:
 
     The bound is checked, so this never pulls a table that grows with the data.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         raise ValueError(f"expected at most {max_rows} rows, got more; columns: {df.columns}")
     return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType | str) -> DataFrame:
+    """A few driver-made rows as a local relation (Arrow keeps them off the Python worker path)."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    columns = {f.name: [r[i] for r in rows] for i, f in enumerate(schema.fields)}
+    return spark.createDataFrame(pa.table(columns), schema)
