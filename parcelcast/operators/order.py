@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parcelcast.functions.columns import signed_error
-from parcelcast.operators.ranks import FINE_ROWS, keys_at_ranks, typed_literal
+from parcelcast.operators.ranks import FINE_ROWS, is_before_key, keys_at_ranks, typed_literal
 from parcelcast.schema import (ERROR_ROWS, ERROR_SEGMENTS, ESTIMATE, RAIN_ROWS, TARGET, TOP_ESTIMATES,
                                TRAIN_RATIO)
 
@@ -26,7 +26,7 @@ class Cut:
     def is_before(self) -> Column:
         if self.first is None:
             return F.lit(True)
-        return F.struct(*self.order) < key_literal(self.order, self.kinds, self.first)
+        return is_before_key(self.order, self.kinds, self.first)
 
     def before(self, df: DataFrame) -> DataFrame:
         """Rows before the cut; the plain bound on the leading key reaches the file scan."""
@@ -37,11 +37,8 @@ class Cut:
     def after(self, df: DataFrame) -> DataFrame:
         if self.first is None:
             return df.where(F.lit(False))
-        return df.where((F.col(self.order[0]) >= typed_literal(self.first[0], self.kinds[0])) & ~self.is_before())
-
-
-def key_literal(order: Sequence[str], kinds: Sequence[str], values: tuple) -> Column:
-    return F.struct(*[typed_literal(v, t).alias(k) for k, t, v in zip(order, kinds, values)])
+        lead = F.col(self.order[0])
+        return df.where((lead.isNull() | (lead >= typed_literal(self.first[0], self.kinds[0]))) & ~self.is_before())
 
 
 def _kinds(df: DataFrame, order: Sequence[str]) -> tuple:
@@ -81,12 +78,12 @@ def error_evolution(df: DataFrame, order: Sequence[str], segments: int = ERROR_S
     only shuffle is that of ten partial averages per task.
     """
     _, starts = segment_starts(df, order, segments, fine_rows)
-    key, kinds = F.struct(*order), _kinds(df, order)
-    segment = F.lit(-1)
-    for start in starts:
-        segment = segment + (key >= key_literal(order, kinds, start)).cast("int")
-    return (df.select(segment.alias("segment"), F.abs(signed_error()).alias("error"))
-            .where(F.col("segment") < segments)
+    before = [is_before_key(order, _kinds(df, order), start) for start in starts]
+    rows = df.where(before[segments]) if len(before) > segments else df
+    segment = F.lit(min(len(starts), segments) - 1)
+    for number in reversed(range(1, min(len(starts), segments))):
+        segment = F.when(before[number], number - 1).otherwise(segment)
+    return (rows.select(segment.alias("segment"), F.abs(signed_error()).alias("error"))
             .groupBy("segment").agg(F.avg("error").alias("mean_abs_error")))
 
 

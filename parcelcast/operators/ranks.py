@@ -21,8 +21,9 @@ from pyspark.sql import types as T
 from parcelcast.session import local_table
 
 BUCKETS = 1024
-FINE_ROWS = 200_000     # intervals with at most this many rows are resolved value by value
+FINE_ROWS = 20_000     # intervals with at most this many rows are resolved value by value
 MAX_GROUPS = 100_000    # groups (and first-level buckets) that may be returned to the driver
+NO_TIME = 2 ** 63 - 1   # stands for a missing leading timestamp, which sorts last
 
 
 @dataclass(frozen=True)
@@ -181,7 +182,10 @@ def keys_at_ranks(df: DataFrame, keys: Sequence[str], ranks: Callable[[int], Seq
     The full key must be unique at the ranks asked for; otherwise this raises ValueError.
     """
     typed = {name: kind for name, kind in df.dtypes}
-    narrow = df.select([_as_number(F.col(k), typed[k]).alias(k) for k in keys])
+    numbers = {k: _as_number(F.col(k), typed[k]) for k in keys}
+    if typed[keys[0]].startswith("timestamp"):
+        numbers[keys[0]] = F.coalesce(numbers[keys[0]], F.lit(NO_TIME))
+    narrow = df.select([c.alias(k) for k, c in numbers.items()])
     leading_day = (F.expr(f"`{keys[0]}` div 86400000000")
                    if typed[keys[0]].startswith("timestamp") else None)
     done: dict[int, tuple] = {}
@@ -264,6 +268,8 @@ def _as_number(column: Column, kind: str) -> Column:
 
 def _from_number(value, kind: str):
     if kind.startswith("timestamp"):
+        if value == NO_TIME:
+            raise ValueError("a wanted rank falls among rows without timestamp")
         return dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=value)
     return value
 
@@ -275,3 +281,16 @@ def typed_literal(value, kind: str) -> Column:
     if kind == "timestamp_ntz":
         return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
     return F.lit(value).cast(kind)
+
+
+def is_before_key(order: Sequence[str], kinds: Sequence[str], values: tuple) -> Column:
+    """Whether a row's key tuple is smaller than ``values``; false for a missing leading key.
+
+    Written as nested comparisons: nearly every row is decided by the leading key alone.
+    """
+    before = None
+    for name, kind, value in reversed(list(zip(order, kinds, values))):
+        literal = typed_literal(value, kind)
+        before = (F.col(name) < literal if before is None
+                  else (F.col(name) < literal) | ((F.col(name) == literal) & before))
+    return F.coalesce(before, F.lit(False))

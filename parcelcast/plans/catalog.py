@@ -14,7 +14,7 @@ from parcelcast.plans.baselines import baseline_registry
 from parcelcast.plans.prepare import prepared_once
 from parcelcast.schema import (CATEGORICAL, ERROR_SEGMENTS, ESTIMATE, NUMERIC, TABLE_BOUNDS, TARGET,
                                TOP_ZONES)
-from parcelcast.session import pin, scratch_path, stage
+from parcelcast.session import ROW_ID, pin, scratch_path, stage
 from parcelcast.sources import artifacts
 from parcelcast.sources.deliveries import KEYS, ORDER, deliveries, read_registry, row_hash, table
 
@@ -164,7 +164,7 @@ def scenario_features(spark, sf):
 
 def temporal_split(spark, sf):
     rows = stage(deliveries(spark, sf).select(*ORDER), "order")
-    return order.temporal_split(rows, order.temporal_cut(rows, ORDER)).select(*KEYS, "split")
+    return order.temporal_split(rows, order.temporal_cut(rows, [*ORDER, ROW_ID])).select(*KEYS, "split")
 
 
 def real_vs_estimated_top(spark, sf):
@@ -180,7 +180,7 @@ def error_sample(spark, sf):
 
 
 def error_evolution(spark, sf):
-    return rounded(order.error_evolution(_prepared(spark, sf), ORDER, ERROR_SEGMENTS))
+    return rounded(order.error_evolution(_prepared(spark, sf), [*ORDER, ROW_ID], ERROR_SEGMENTS))
 
 
 # --- current KPIs ---------------------------------------------------------------------------

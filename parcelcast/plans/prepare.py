@@ -8,20 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parcelcast.operators.encode import with_features
 from parcelcast.operators.order import temporal_cut, temporal_split
-from parcelcast.session import scratch_path, stage
+from parcelcast.session import ROW_ID, scratch_path, stage
 
 _PREPARED: dict[tuple[str, str], DataFrame] = {}
 
 
 def prepare(rows: DataFrame, order: Sequence[str], path: str | None = None) -> DataFrame:
-    """Write ``rows`` with date parts, efficiency and ``split``, partitioned by ``split``.
+    """Write ``rows`` with date parts, efficiency, ``row_id`` and ``split``, partitioned by ``split``.
 
     The input is staged first: finding the cut takes a few counting passes, which then read the key
-    columns of one Parquet table instead of repeating the joins behind ``rows``.
+    columns of one Parquet table instead of repeating the joins behind ``rows``. ``row_id`` closes
+    the order, so the split has exact sizes even when a third of the rows are copies of one row.
     """
     spark = rows.sparkSession
     staged = stage(rows, "rows")
-    labelled = temporal_split(with_features(staged), temporal_cut(staged, order))
+    labelled = temporal_split(with_features(staged), temporal_cut(staged, [*order, ROW_ID]))
     path = path or scratch_path(spark, "prepared")
     labelled.write.mode("overwrite").partitionBy("split").parquet(path)
     return spark.read.schema(labelled.schema).parquet(path)

@@ -7,9 +7,11 @@ import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+ROW_ID = "row_id"
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """Folder for written intermediates: the one the cluster names, else a fresh one (local runs)."""
@@ -31,12 +33,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: later passes scan
-    only the columns they need, and a lost executor re-reads files instead of redoing joins."""
+    only the columns they need, and a lost executor re-reads files instead of redoing joins.
+
+    The written rows carry ``row_id``, a number that is stable from then on; as the last key of an
+    order it tells exact copies of a row apart.
+    """
     path = scratch_path(df.sparkSession, name)
+    df = spread(df).withColumn(ROW_ID, F.monotonically_increasing_id())
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute rows that come from fewer files than there are cores, so that the passes over
+    the written table run in parallel. Large inputs have many files and are left where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def pin(df: DataFrame, max_rows: int) -> DataFrame:
     """Turn an aggregate of at most ``max_rows`` rows into a local relation.
 
