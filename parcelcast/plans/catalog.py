@@ -422,7 +422,7 @@ def train_all(spark, sf):
     train, validation = _train(spark, sf), _validation(spark, sf)
     _, status, registry = models.train_all(train, validation, ORDER, BOOST_ROUNDS)
     loaded = reg.load_registry(registry.withColumn("ord", F.monotonically_increasing_id())).drop("ord")
-    return rounded(status.withColumnRenamed("family", "model_name").join(loaded, "model_name", "left"))
+    return rounded(status.join(loaded, "model_name", "left"))
 
 
 def _saved_linear(spark, sf) -> tuple[str, DataFrame, DataFrame]:

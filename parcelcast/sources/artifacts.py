@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from parcelcast.operators.encode import fit_linear_features, fit_tree_features
+from parcelcast.operators.encode import fit_linear_features, fit_tree_features, linear_feature_names
 from parcelcast.schema import CATEGORICAL, FAMILIES, TARGET, TREE_FEATURES
 
 
@@ -24,14 +24,16 @@ def write_feature_sets(labelled: DataFrame, order: Sequence[str], root: str, fmt
     vector (numbered columns in CSV), tree families the coded columns.
     """
     train = labelled.where(F.col("split") == "train")
-    linear = fit_linear_features(train).transform(labelled) if {"linear", "glm"} & set(families) else None
+    scaled = fit_linear_features(train) if {"linear", "glm"} & set(families) else None
     coded = fit_tree_features(train, order).transform(labelled) if {"histgb", "xgboost"} & set(families) else None
     paths = {}
     for family in families:
         if family in ("linear", "glm"):
-            table = linear.select("features", TARGET, "split")
+            table = scaled.transform(labelled).select("features", TARGET, "split")
             if fmt == "csv":
-                table = _numbered(table)
+                values = vector_to_array("features")
+                numbered = [values[i].alias(str(i)) for i in range(len(linear_feature_names(scaled)))]
+                table = table.select(*numbered, TARGET, "split")
         else:
             table = coded.select(*[F.col(f"{c}_code").alias(c) if c in CATEGORICAL else F.col(c)
                                    for c in TREE_FEATURES], TARGET, "split")
@@ -41,12 +43,6 @@ def write_feature_sets(labelled: DataFrame, order: Sequence[str], root: str, fmt
     return paths
 
 
-def _numbered(table: DataFrame) -> DataFrame:
-    width = table.select("features").first()["features"].size
-    values = vector_to_array("features")
-    return table.select(*[values[i].alias(str(i)) for i in range(width)], TARGET, "split")
-
-
 def json_records(df: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """One JSON text per row; rows are not gathered into one array, so any size is fine."""
     rows = df.orderBy(*order) if order else df

@@ -14,6 +14,7 @@ def spark():
     session = (SparkSession.builder.master("local[*]").appName("parcelcast-tests")
                .config("spark.sql.shuffle.partitions", "8")
                .config("spark.sql.session.timeZone", "UTC")
+               .config("spark.sql.maxMetadataStringLength", "5000")
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
                .getOrCreate())
