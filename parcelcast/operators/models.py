@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.regression import (GBTRegressor, GeneralizedLinearRegression, LinearRegression)
+from pyspark.ml.feature import VectorSlicer
+from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parcelcast.operators.encode import fit_linear_features, fit_tree_features, linear_feature_names
@@ -64,13 +67,39 @@ def fit_ridge(features: DataFrame, preparation: PipelineModel, alpha: float = 1.
     return Fitted("linear", PipelineModel(stages=[*preparation.stages, model]))
 
 
+def independent_columns(features: DataFrame, tolerance: float = 1e-9) -> list[int]:
+    """Indices of a maximal set of linearly independent, non-constant feature columns.
+
+    One pass computes the correlation matrix, which is as small as the feature vector is wide; a
+    column is kept when the ones before it leave some of it unexplained.
+    """
+    matrix = Correlation.corr(features, "features").head()[0].toArray()
+    kept: list[int] = []
+    for j in range(len(matrix)):
+        if not np.isfinite(matrix[j, j]) or np.isnan(np.delete(matrix[j], j)).all() and len(matrix) > 1:
+            continue
+        if kept:
+            inside, across = matrix[np.ix_(kept, kept)], matrix[kept, j]
+            if 1.0 - across @ np.linalg.solve(inside, across) < tolerance:
+                continue
+        kept.append(j)
+    return kept
+
+
 def fit_glm(features: DataFrame, preparation: PipelineModel, iterations: int = 100) -> Fitted:
-    """Gamma regression with log link; the default link of the family when that does not converge."""
+    """Gamma regression with log link; the default link of the family when that does not converge.
+
+    One-hot blocks sum to one and the estimate is a combination of distance and traffic, so the full
+    matrix is singular. Dropping dependent columns leaves every prediction as it is and lets each
+    reweighting step be solved exactly.
+    """
+    slicer = VectorSlicer(inputCol="features", outputCol="independent", indices=independent_columns(features))
+    rows = slicer.transform(features)
     for link in ("log", "inverse"):
         try:
-            model = GeneralizedLinearRegression(labelCol=TARGET, family="gamma", link=link,
-                                                maxIter=iterations).fit(features)
-            return Fitted("glm", PipelineModel(stages=[*preparation.stages, model]), note=f"link={link}")
+            model = GeneralizedLinearRegression(labelCol=TARGET, featuresCol="independent", family="gamma", link=link,
+                                                maxIter=iterations, tol=1e-8).fit(rows)
+            return Fitted("glm", PipelineModel(stages=[*preparation.stages, slicer, model]), note=f"link={link}")
         except (PySparkException, ArithmeticError, ValueError):
             if link == "inverse":
                 raise
@@ -160,6 +189,9 @@ def feature_importance(model: Fitted, limit: int = 5) -> DataFrame:
 
 def coefficients(model: Fitted) -> DataFrame:
     names = linear_feature_names(model.pipeline)
+    for stage in model.pipeline.stages:
+        if isinstance(stage, VectorSlicer):
+            names = [names[i] for i in stage.getIndices()]
     fitted = model.regressor
     rows = [("(intercept)", float(fitted.intercept)),
             *((n, float(w)) for n, w in zip(names, fitted.coefficients.toArray()))]

@@ -16,7 +16,8 @@ from parcelcast.schema import (CATEGORICAL, ERROR_SEGMENTS, ESTIMATE, NUMERIC, T
                                TOP_ZONES)
 from parcelcast.session import ROW_ID, pin, scratch_path, stage
 from parcelcast.sources import artifacts
-from parcelcast.sources.deliveries import KEYS, ORDER, deliveries, read_registry, row_hash, table
+from parcelcast.sources.deliveries import KEYS, ORDER, deliveries, row_hash, table
+from parcelcast.sources.registry import read_registry, write_registry
 
 MONTH = (2024, 2)          # projected month of the scenario queries
 MAX_MODELS = 1000
@@ -246,8 +247,7 @@ def payload_json(spark, sf):
 
 def registry_load(spark, sf):
     path = scratch_path(spark, "registry")
-    raw = _raw_registry(spark, sf).repartition(1).sortWithinPartitions("ord").drop("ord")   # a few rows, one file
-    raw.write.option("header", True).csv(path)
+    write_registry(_raw_registry(spark, sf), path)
     loaded = reg.load_registry(read_registry(spark, path))
     return rounded(loaded.drop("ord"))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from parcelcast.schema import MASTER, REGISTRY, TARGET, TIMESTAMP
+from parcelcast.schema import MASTER, TARGET, TIMESTAMP
 
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 ORDER = [TIMESTAMP, *KEYS]
@@ -27,12 +27,6 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType = MASTER)
     return without_nan(spark.read.schema(schema).parquet(path))
 
 
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """Metrics registry CSV; ``ord`` is the position in the file (a registry is one small file)."""
-    rows = spark.read.schema(REGISTRY).option("header", True).csv(path)
-    return rows.withColumn("ord", F.monotonically_increasing_id())
-
-
 def with_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
     """64-bit key over all columns, for tables that bring no key of their own."""
     return df.withColumn(name, F.xxhash64(*df.columns))
@@ -95,7 +89,7 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def row_hash() -> "F.Column":
+def row_hash() -> Column:
     """Hash of the five key columns (price as whole cents, so that its text form is portable)."""
     cents = F.round(F.col("l_extendedprice") * 100.0).cast("bigint")
     return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in KEYS[:4]], cents.cast("string")))

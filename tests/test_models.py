@@ -49,7 +49,7 @@ def test_gamma_regression_equals_reweighted_least_squares(parts, matrix):
     fitted = models.fit_family("glm", parts[0], ORDER)
     assert fitted.note == "link=log"
     got = np.array([r[0] for r in fitted.predict(parts[0]).select("prediction").collect()])
-    assert np.abs(np.sort(got) - np.sort(mu)).max() < 1e-3
+    assert np.abs(np.sort(got) - np.sort(mu)).max() < 1e-6
 
 
 def test_all_models_beat_the_mean(trained, parts):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from parcelcast.operators import kpi, registry as reg
 from parcelcast.session import scratch_path
-from parcelcast.sources.deliveries import read_registry
+from parcelcast.sources.registry import read_registry, update_registry
 
 PUBLISHED = [
     ("Linear Regression", 3.982522211604906, 24.76643979610383, 4.976589172927963, 0.0709015149797724, 42068, 10517),
@@ -40,6 +40,17 @@ def test_file_round_trip(spark):
     assert got[3]["mape"] == 0.07284941257760585
 
 
+def test_file_is_updated_in_place(spark):
+    path = scratch_path(spark, "registry")
+    for row in PUBLISHED:
+        update_registry(spark, path, spark.createDataFrame([row], COLUMNS))
+    better = ("GLM (Gamma, inverse-link)", 4.0, 25.0, 5.0, 0.07, 42068, 10517)
+    update_registry(spark, path, spark.createDataFrame([better], COLUMNS), contains="GLM")
+    rows = read_registry(spark, path).orderBy("ord").collect()
+    assert [r["model_name"] for r in rows] == ["Linear Regression", "HistGradientBoosting", "XGBoost", better[0]]
+    assert rows[0]["MSE"] == 24.76643979610383
+
+
 def test_empty_registry(spark):
     empty = reg.load_registry(raw(spark, []))
     assert tuple(reg.kpis_confidence(empty).first()) == (0, 0.0, 0.0, 0.0, 0.0, "N/A", 0.0, 0.0)
