@@ -15,7 +15,10 @@ from parcelcast.sources.deliveries import KEYS, ORDER
 
 @pytest.fixture(scope="module")
 def parts(prepared):
-    return prepared.where("split = 'train'").cache(), prepared.where("split = 'validation'").cache()
+    train, validation = (prepared.where(f"split = '{s}'").cache() for s in ("train", "validation"))
+    yield train, validation
+    train.unpersist()
+    validation.unpersist()
 
 
 @pytest.fixture(scope="module")
