@@ -234,7 +234,10 @@ def choose_model(requested: str, available: Sequence[str]) -> str:
 
 def batch_score(requests: DataFrame, model: Fitted, registry: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Complete, score and label requests; ``keep`` names the columns that identify a request."""
-    scored = model.predict(complete_requests(requests, keep))
+    given = F.struct(*[c for c in requests.columns if c not in keep])
+    named = requests.withColumn("input_features", given)
+    scored = model.predict(complete_requests(named, [*keep, "input_features"]))
     return scored.select(
         *keep, F.lit(model.family).alias("model_name"), "prediction", F.lit(TARGET).alias("target_variable"),
-        model_metric(registry, model.family, "rmse").alias("rmse_validation"), F.lit("success").alias("status"))
+        "input_features", model_metric(registry, model.family, "rmse").alias("rmse_validation"),
+        F.lit("success").alias("status"))

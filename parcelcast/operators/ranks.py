@@ -73,6 +73,8 @@ def order_statistics(df: DataFrame, columns: Sequence[str], ranks: Callable[[tup
     first = (tall.groupBy(*keys, "_coarse")
              .agg(F.count(F.lit(1)).alias("n"), F.min("_value").alias("low"), F.max("_value").alias("high"))
              .limit(MAX_GROUPS + 1).collect())
+    if len(first) > MAX_GROUPS and coarse is not None:
+        return order_statistics(df, columns, ranks, by, None, fine_rows, buckets)
     if len(first) > MAX_GROUPS:
         raise ValueError(f"more than {MAX_GROUPS} groups or first-level buckets; group by fewer values")
     grouped: dict[tuple, list] = {}

@@ -126,6 +126,8 @@ def project_month(pool: DataFrame, year: int, month: int, predictor: Predictor =
     ``pool`` has the delivery columns, date parts and an md5 text ``row_hash``.
     """
     profile = pin(demand_profile(pool), MAX_DAYS)
+    if profile.isEmpty():
+        raise ValueError("there are no dated rows to project from")
     days = pin(daily_demand(profile, year, month, demand_mode), 31)
     columns = _feature_columns(pool)
     known = pool.where(F.col("dia_semana").isNotNull())

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from parcelcast.functions import columns as fx
 from parcelcast.operators import encode, kpi, models, order, profile, registry as reg, requests, scenario
 from parcelcast.plans.baselines import baseline_registry
-from parcelcast.plans.prepare import prepared_once
+from parcelcast.plans.prepare import once, prepare
 from parcelcast.schema import (CATEGORICAL, ERROR_SEGMENTS, ESTIMATE, NUMERIC, TABLE_BOUNDS, TARGET,
                                TOP_ZONES)
 from parcelcast.session import ROW_ID, pin, scratch_path, stage
@@ -38,7 +38,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 def _prepared(spark: SparkSession, sf: str) -> DataFrame:
     """Deliveries with features and split, written once per application and folder."""
-    return prepared_once(spark, sf, ORDER, lambda: deliveries(spark, sf))
+    return once(spark, ("prepared", sf), lambda: prepare(deliveries(spark, sf), ORDER))
 
 
 def _train(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,7 +54,7 @@ def _raw_registry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _registry(spark: SparkSession, sf: str) -> DataFrame:
-    return pin(reg.load_registry(_raw_registry(spark, sf)), MAX_MODELS)
+    return once(spark, ("registry", sf), lambda: pin(reg.load_registry(_raw_registry(spark, sf)), MAX_MODELS))
 
 
 # --- scans and derivations ------------------------------------------------------------------
@@ -312,7 +312,8 @@ def ordinal_encode(spark, sf):
 
 def bind_features_target(spark, sf):
     rows = _prepared(spark, sf)
-    return artifacts.bind_features_target(rows.select(*KEYS, ESTIMATE), rows.select(*KEYS, TARGET), KEYS)
+    features, label = rows.select(ROW_ID, *KEYS, ESTIMATE), rows.select(ROW_ID, TARGET)
+    return artifacts.bind_features_target(features, label, [ROW_ID]).drop(ROW_ID)
 
 
 def write_feature_sets(spark, sf):
@@ -439,7 +440,8 @@ def batch_score(spark, sf):
     available = [f for f in ("linear", "glm", "histgb", "xgboost") if models.is_saved(spark, root, f)]
     fitted = models.load_model(root, models.choose_model("xgboost", available))
     good = requests.accepted(requests.validate_requests(_requests(spark, sf)))
-    return rounded(models.batch_score(good, fitted, registry, KEYS))
+    scored = models.batch_score(good, fitted, registry, KEYS)
+    return rounded(scored.withColumn("input_features", F.to_json("input_features")))
 
 
 def model_availability(spark, sf):

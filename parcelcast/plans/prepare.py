@@ -10,7 +10,7 @@ from parcelcast.operators.encode import with_features
 from parcelcast.operators.order import temporal_cut, temporal_split
 from parcelcast.session import ROW_ID, scratch_path, stage
 
-_PREPARED: dict[tuple[str, str], DataFrame] = {}
+_SHARED: dict[tuple, DataFrame] = {}
 
 
 def prepare(rows: DataFrame, order: Sequence[str], path: str | None = None) -> DataFrame:
@@ -28,10 +28,9 @@ def prepare(rows: DataFrame, order: Sequence[str], path: str | None = None) -> D
     return spark.read.schema(labelled.schema).parquet(path)
 
 
-def prepared_once(spark: SparkSession, name: str, order: Sequence[str],
-                  rows: Callable[[], DataFrame]) -> DataFrame:
-    """The prepared table of ``name``, written by the first caller of this application and then reused."""
-    key = (spark.sparkContext.applicationId, name)
-    if key not in _PREPARED:
-        _PREPARED[key] = prepare(rows(), order)
-    return _PREPARED[key]
+def once(spark: SparkSession, name: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that pages share: built by the first caller of this application, then reused."""
+    key = (spark.sparkContext.applicationId, *name)
+    if key not in _SHARED:
+        _SHARED[key] = build()
+    return _SHARED[key]

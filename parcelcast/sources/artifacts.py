@@ -12,7 +12,10 @@ from parcelcast.schema import CATEGORICAL, FAMILIES, TARGET, TREE_FEATURES
 
 
 def bind_features_target(features: DataFrame, target: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Join features and label on the row key (files have no row order to rely on)."""
+    """Join features and label on the row key (files have no row order to rely on).
+
+    The key must be unique, as ``row_id`` of a staged table is.
+    """
     return features.join(target, list(key))
 
 

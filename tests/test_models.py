@@ -109,5 +109,6 @@ def test_batch_scoring(spark, sf, trained, family):
     scored = models.batch_score(good, trained[0][family], registry, KEYS)
     assert scored.count() == good.count() > 0
     assert scored.where("prediction < 0.1 or prediction is null").count() == 0
+    assert scored.select("input_features.localidad", "input_features.lluvia_mm").count() == good.count()
     rmse = {r["model_name"]: r["rmse"] for r in registry.collect()}[family]
     assert scored.select("rmse_validation").distinct().collect() == [(rmse,)]

@@ -113,3 +113,9 @@ def test_nested_month(spark):
     assert nested["summary"]["horizon"] == "2024-02" and [d["day"] for d in nested["daily"]] == list(range(1, 30))
     assert len(nested["distribucion_eta"]) == 290 and len(nested["historico_vs_predicho"]) == 3
     assert page["kpis"].first()["rmse"] == 0.0
+
+
+def test_nothing_to_project_from(spark):
+    df, _ = pool(spark, 3, WEEK)
+    with pytest.raises(ValueError):
+        sc.project_month(df.where("id < 0"), 2024, 2)
