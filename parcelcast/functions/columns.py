@@ -7,11 +7,15 @@ from __future__ import annotations
 
 import calendar
 import datetime as dt
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parcelcast.schema import (ESTIMATE, MODEL_NAME_FRAGMENTS, ON_TIME_MIN, ROAD_MINUTES, TARGET,
-                               TIMESTAMP)
+from parcelcast.schema import (BASE_MINUTES, ESTIMATE, ESTIMATED_MINUTES_PER_TRAFFIC, MINUTES_PER_KM,
+                               MINUTES_PER_RAIN_MM, MINUTES_PER_SLOPE, MINUTES_RANGE, MODEL_NAME_FRAGMENTS,
+                               ON_TIME_MIN, PEAK_HOURS, RAINY_MONTHS, REAL_MINUTES_PER_TRAFFIC, ROAD_MINUTES,
+                               TARGET, TIMESTAMP)
 
 
 def parse_timestamp(text: str | Column, fmt: str | None = None) -> Column:
@@ -32,15 +36,20 @@ def ratio(numerator: str, denominator: str) -> Column:
     return F.when(F.abs(quotient) < F.lit(float("inf")), quotient)
 
 
-def eta_formula(traffic_weight: float = 30.0) -> Column:
+def eta_formula() -> Column:
     """Expected real minutes from the features, clipped to the physical range."""
-    minutes = (F.lit(20.0) + F.col("distancia_km") * 2.5 + F.col("nivel_trafico") * traffic_weight
-               + F.col("lluvia_mm") * 1.8 + F.col("pendiente_promedio") * 0.7 + road_minutes())
-    return clip(minutes, 8.0, 180.0)
+    minutes = (_route_minutes(REAL_MINUTES_PER_TRAFFIC) + F.col("lluvia_mm") * MINUTES_PER_RAIN_MM
+               + F.col("pendiente_promedio") * MINUTES_PER_SLOPE + road_minutes())
+    return clip(minutes, *MINUTES_RANGE)
 
 
 def baseline_eta() -> Column:
-    return F.lit(20.0) + F.col("distancia_km") * 2.5 + F.col("nivel_trafico") * 20.0
+    """The estimate: route minutes only."""
+    return _route_minutes(ESTIMATED_MINUTES_PER_TRAFFIC)
+
+
+def _route_minutes(per_traffic: float) -> Column:
+    return F.lit(BASE_MINUTES) + F.col("distancia_km") * MINUTES_PER_KM + F.col("nivel_trafico") * per_traffic
 
 
 def road_minutes(column: str = "tipo_via", unknown: float | None = 0.0) -> Column:
@@ -56,11 +65,11 @@ def clip(value: Column, low: float, high: float) -> Column:
 
 def is_peak_hour(ts: str) -> Column:
     hour = F.hour(ts)
-    return (hour.between(6, 9) | hour.between(16, 20)).cast("int")
+    return reduce(or_, [hour.between(*span) for span in PEAK_HOURS]).cast("int")
 
 
 def is_rainy_month(ts: str) -> Column:
-    return F.month(ts).isin(4, 5, 10, 11).cast("int")
+    return F.month(ts).isin(RAINY_MONTHS).cast("int")
 
 
 def signed_error(real: str = TARGET, estimate: str = ESTIMATE) -> Column:

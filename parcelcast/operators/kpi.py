@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from parcelcast.functions.columns import percent_of_rows, signed_error
 from parcelcast.operators.ranks import exact_quantiles, typed_literal
 from parcelcast.operators.registry import model_metric
-from parcelcast.schema import DEFAULT_MODEL, KPIS_ACTUAL, ON_TIME_MIN, TARGET, TIMESTAMP
+from parcelcast.schema import (DEFAULT_MODEL, KPIS_ACTUAL, MODEL_CARDS, ON_TIME_MIN, TABLE_CARDS, TARGET,
+                               TIMESTAMP)
 from parcelcast.session import local_table
 
 
@@ -65,21 +66,20 @@ def kpis_actual(df: DataFrame, registry: DataFrame, model: str = DEFAULT_MODEL,
 
 def flashcards(df: DataFrame, registry: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     """Label, value, unit and trend of the dashboard cards, in display order."""
-    stats = delivery_kpis(df).selectExpr(
-        "stack(4, 1, 'ETA Promedio', round(eta_mean, 2), 'min', cast(null as string),"
-        " 2, 'ETA Máximo', round(eta_max, 2), 'min', null,"
-        " 3, 'ETA Mínimo', round(eta_min, 2), 'min', null,"
-        " 4, 'Desviación Estándar', round(eta_std, 2), 'min', null)"
-        " as (position, label, value, unit, trend)")
-    errors = registry.where(F.col("model_name") == model).selectExpr(
-        "stack(4, 5, 'Error Promedio (MAE)', round(mae, 2), 'min', 'down',"
-        " 6, 'RMSE', round(rmse, 2), 'min', 'down',"
-        " 7, 'Error Porcentual (MAPE)', round(mape * 100, 2), '%', 'down',"
-        " 8, 'Registros Validación', cast(n_validation as double), 'registros', cast(null as string))"
-        " as (position, label, value, unit, trend)")
+    stats = _cards(delivery_kpis(df), TABLE_CARDS, 1)
+    errors = _cards(registry.where(F.col("model_name") == model), MODEL_CARDS, 1 + len(TABLE_CARDS))
     return stats.unionByName(errors)
 
 
+def _cards(figures: DataFrame, cards: Sequence[tuple], first: int) -> DataFrame:
+    rows = F.array(*[
+        F.struct(F.lit(first + i).alias("position"), F.lit(label).alias("label"),
+                 F.round(F.expr(figure), 2).alias("value"), F.lit(unit).alias("unit"),
+                 F.lit(trend).cast("string").alias("trend"))
+        for i, (label, figure, unit, trend) in enumerate(cards)])
+    return figures.select(F.inline(rows))
+
+
 def mean_by(df: DataFrame, key: str | Column, name: str) -> DataFrame:
     """Mean real time and number of known times per key; rows without key are left out.
 

@@ -11,7 +11,7 @@ from parcelcast.functions.columns import eta_formula, late_flag, percent_of_rows
 from parcelcast.operators.kpi import top_zones
 from parcelcast.operators.registry import model_metric
 from parcelcast.operators.requests import scenario_features
-from parcelcast.schema import (DAILY, DAY_SAMPLE, DEFAULT_MODEL, DEMAND_PER_SAMPLE, ESTIMATE, KPIS_FUTURE,
+from parcelcast.schema import (COMPARED, DAILY, DAY_SAMPLE, DEFAULT_MODEL, DEMAND_PER_SAMPLE, ESTIMATE, KPIS_FUTURE,
                                MIN_BASE_DEMAND, MIN_DAY_DEMAND, ON_TIME_MIN, POOL_PER_SAMPLE,
                                PREDICTION_FLOOR, SCENARIO_DEFAULTS, TARGET, TOP_ZONES, ZONE_SAMPLE)
 from parcelcast.session import pin
@@ -82,10 +82,10 @@ def daily_demand(profile: DataFrame, year: int, month: int, mode: str = "per_day
 def lowest_hashes(df: DataFrame, group: str, row_hash: str, limit: int, sizes: dict) -> DataFrame:
     """The ``limit`` rows with the smallest hash of every group, numbered from 0.
 
-    ``row_hash`` is an md5 text; ``sizes`` the rows per group. A threshold on the leading hash
-    digits lets about ``OVERDRAW * limit`` rows per group through, so that neither sort nor shuffle
-    grows with the table; the window limits again inside each task before its shuffle. Should hash
-    values be so repetitive that a group falls short, the rows are ranked without the threshold.
+    ``row_hash`` is an md5 text; ``sizes`` the rows per group. A threshold on the hash lets about
+    ``OVERDRAW * limit`` rows per group through, so that neither sort nor shuffle grows with the
+    table; the window limits again inside each task before its shuffle. Should hash values be so
+    repetitive that a group falls short, the rows are ranked without the threshold.
     """
     order = Window.partitionBy(group).orderBy(row_hash)
 
@@ -96,10 +96,10 @@ def lowest_hashes(df: DataFrame, group: str, row_hash: str, limit: int, sizes: d
     wanted = {g: min(limit, n) for g, n in sizes.items()}
     if not wanted:
         return ranked(df.where(F.lit(False)))
-    leading = F.conv(F.substring(row_hash, 1, 8), 16, 10).cast("bigint")
-    share = [F.lit(x) for g, n in sizes.items()
-             for x in (g, int(2 ** 32 * min(1.0, OVERDRAW * limit / n)))]
-    below = leading <= F.try_element_at(F.create_map(*share), F.col(group))
+    # Hexadecimal texts order like their numbers; 'g' is above every digit and lets all rows through.
+    bound = {g: f"{16 ** 8 * OVERDRAW * limit // n:08x}" if n > OVERDRAW * limit else "g" for g, n in sizes.items()}
+    pairs = [F.lit(x) for pair in bound.items() for x in pair]
+    below = F.col(row_hash) < F.try_element_at(F.create_map(*pairs), F.col(group))
     rows_at_most = limit * len(wanted)
     chosen = pin(ranked(df.where(below)), rows_at_most)
     got = {r[group]: r["n"] for r in chosen.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -227,12 +227,12 @@ def historical_vs_predicted(projection: Projection) -> DataFrame:
     eta = TARGET if TARGET in projection.pool.columns else ESTIMATE
     past = projection.pool.agg(F.avg(eta).alias("eta"), percent_of_rows(F.col(eta) > ON_TIME_MIN).alias("late"))
     demand = projection.profile.agg(F.rint(F.sum("n") / F.greatest(F.count_distinct("dia"), F.lit(1))).alias("demand"))
-    ahead = projection.daily.agg(F.avg("demand_predicted").alias("p_demand"), F.avg("eta_expected").alias("p_eta"),
-                                 F.avg("delays_expected").alias("p_late"))
-    return ahead.select("*", demand.scalar().alias("demand"), past.select("eta").scalar().alias("eta"),
-                        past.select("late").scalar().alias("late")).selectExpr(
-        "stack(3, 1, 'Demanda diaria', demand, p_demand, 2, 'ETA promedio (min)', eta, p_eta,"
-        " 3, '% Retrasos', late, p_late) as (position, metric, historical, predicted)")
+    history = [demand.scalar(), past.select("eta").scalar(), past.select("late").scalar()]
+    rows = [F.struct(F.lit(i + 1).alias("position"), F.lit(name).alias("metric"), before.alias("historical"),
+                     F.avg(ahead).alias("predicted"))
+            for i, (name, before, ahead) in enumerate(zip(
+                COMPARED, history, ("demand_predicted", "eta_expected", "delays_expected")))]
+    return projection.daily.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 def eta_distribution(projection: Projection) -> DataFrame:

@@ -69,6 +69,19 @@ VARIABILITY_WEIGHT = 0.35
 PREDICTION_FLOOR = 0.1
 DEFAULT_MODEL = "linear"
 
+# Delivery time in minutes as a function of the features, and the physical range.
+BASE_MINUTES = 20.0
+MINUTES_PER_KM = 2.5
+ESTIMATED_MINUTES_PER_TRAFFIC = 20.0
+REAL_MINUTES_PER_TRAFFIC = 30.0
+MINUTES_PER_RAIN_MM = 1.8
+MINUTES_PER_SLOPE = 0.7
+MINUTES_RANGE = (8.0, 180.0)
+
+# Peak hours (both ends included) and rainy months.
+PEAK_HOURS = [(6, 9), (16, 20)]
+RAINY_MONTHS = [4, 5, 10, 11]
+
 # Minutes added by road type.
 ROAD_MINUTES = {"Troncal": 0.0, "Arterial": 5.0, "Local": 9.0, "Destapada": 20.0}
 
@@ -124,6 +137,19 @@ REGISTRY_NAMES = {
 }
 FALLBACK_ORDER = ["linear", "histgb", "xgboost", "glm"]
 
+# Dashboard cards (label, figure, unit, trend), those of the table and those of the model.
+TABLE_CARDS = [
+    ("ETA Promedio", "eta_mean", "min", None), ("ETA Máximo", "eta_max", "min", None),
+    ("ETA Mínimo", "eta_min", "min", None), ("Desviación Estándar", "eta_std", "min", None),
+]
+MODEL_CARDS = [
+    ("Error Promedio (MAE)", "mae", "min", "down"), ("RMSE", "rmse", "min", "down"),
+    ("Error Porcentual (MAPE)", "mape * 100", "%", "down"),
+    ("Registros Validación", "cast(n_validation as double)", "registros", None),
+]
+# Names of the compared figures, in display order.
+COMPARED = ["Demanda diaria", "ETA promedio (min)", "% Retrasos"]
+
 # Output contracts.
 KPIS_ACTUAL = [
     "model_name", "eta_mean", "eta_max", "eta_min", "eta_std", "n_records", "otif", "delays_pct",
