@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -232,12 +232,16 @@ def choose_model(requested: str, available: Sequence[str]) -> str:
     raise ValueError("no trained model is available")
 
 
-def batch_score(requests: DataFrame, model: Fitted, registry: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Complete, score and label requests; ``keep`` names the columns that identify a request."""
+def batch_score(requests: DataFrame, family: str, predictor: Callable[[DataFrame], DataFrame], registry: DataFrame,
+                keep: Sequence[str]) -> DataFrame:
+    """Complete, score and label requests; ``keep`` names the columns that identify a request.
+
+    ``predictor`` adds a floored ``prediction`` to feature rows, as ``Fitted.predict`` does.
+    """
     given = F.struct(*[c for c in requests.columns if c not in keep])
     named = requests.withColumn("input_features", given)
-    scored = model.predict(complete_requests(named, [*keep, "input_features"]))
+    scored = predictor(complete_requests(named, [*keep, "input_features"]))
     return scored.select(
-        *keep, F.lit(model.family).alias("model_name"), "prediction", F.lit(TARGET).alias("target_variable"),
-        "input_features", model_metric(registry, model.family, "rmse").alias("rmse_validation"),
+        *keep, F.lit(family).alias("model_name"), "prediction", F.lit(TARGET).alias("target_variable"),
+        "input_features", model_metric(registry, family, "rmse").alias("rmse_validation"),
         F.lit("success").alias("status"))

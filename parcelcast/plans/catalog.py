@@ -440,10 +440,16 @@ def batch_score(spark, sf):
     available = [f for f in ("linear", "glm", "histgb", "xgboost") if models.is_saved(spark, root, f)]
     fitted = models.load_model(root, models.choose_model("xgboost", available))
     good = requests.accepted(requests.validate_requests(_requests(spark, sf)))
-    scored = models.batch_score(good, fitted, registry, KEYS)
+    scored = models.batch_score(good, fitted.family, fitted.predict, registry, KEYS)
     return rounded(scored.withColumn("input_features", F.to_json("input_features")))
 
 
+def batch_score_formula(spark, sf):
+    good = requests.accepted(requests.validate_requests(_requests(spark, sf)))
+    scored = models.batch_score(good, "linear", scenario.formula_predictor, _registry(spark, sf), KEYS)
+    return rounded(scored.drop("input_features"))
+
+
 def model_availability(spark, sf):
     root, registry, _ = _saved_linear(spark, sf)
     return models.model_availability(spark, root, registry)
@@ -465,7 +471,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     scaler_stats, scale_numeric, one_hot, ordinal_encode, bind_features_target, write_feature_sets,
     weekday_factor, demand_base, demand_base_calendar, daily_demand, scenario_daily, scenario_daily_full,
     scenario_summary, zone_risk, traffic_risk_points, eta_distribution, historical_vs_predicted, kpis_future,
-    ridge1d, train_ridge, train_glm, feature_importance, train_all, batch_score, model_availability,
-    scenario_with_model)}
+    ridge1d, train_ridge, train_glm, feature_importance, train_all, batch_score, batch_score_formula,
+    model_availability, scenario_with_model)}
 QUERIES["train_hist_boost"] = partial(_boosted, "histgb")
 QUERIES["train_boost"] = partial(_boosted, "xgboost")

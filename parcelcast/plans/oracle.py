@@ -452,6 +452,13 @@ ORACLE: dict[str, str] = {
           (select round(rmse, 6) from registry where model_name = 'linear') as rmse,
           (select round(mape, 6) from registry where model_name = 'linear') as mape
         from daily""", registry=True),
+    "batch_score_formula": _with(DELIVERIES, REGISTRY, REQUESTS, body=f"""
+        select {KEYS}, 'linear' as model_name,
+          round(greatest(0.1e0, least(180e0, greatest(8e0, 20e0 + distancia_km * 2.5e0 + nivel_trafico * 30e0
+            + coalesce(lluvia_mm, 0e0) * 1.8e0 + 0.5e0 * 0.7e0 + case when tipo_via = 'Local' then 9e0 else 0e0 end))), 6) as prediction,
+          'tiempo_real_min' as target_variable,
+          (select round(rmse, 6) from registry where model_name = 'linear') as rmse_validation, 'success' as status
+        from requests where {_REQUEST_RULES} = ''"""),
     "ridge1d": _d("""
         select round(w, 6) as w, round(my - w * mx, 6) as intercept, n
         from (select covar_pop(tiempo_real_min, distancia_km) * count(*) / (var_pop(distancia_km) * count(*) + 1e0) as w,

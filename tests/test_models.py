@@ -106,7 +106,7 @@ def test_stand_ins():
 def test_batch_scoring(spark, sf, trained, family):
     registry = reg.load_registry(trained[2].withColumn("ord", F.monotonically_increasing_id()))
     good = accepted(validate_requests(_requests(spark, sf)))
-    scored = models.batch_score(good, trained[0][family], registry, KEYS)
+    scored = models.batch_score(good, family, trained[0][family].predict, registry, KEYS)
     assert scored.count() == good.count() > 0
     assert scored.where("prediction < 0.1 or prediction is null").count() == 0
     assert scored.select("input_features.localidad", "input_features.lluvia_mm").count() == good.count()

@@ -134,3 +134,29 @@ def test_empty_table_has_no_validation_rows(spark):
 def test_text_keys_are_refused(spark):
     with pytest.raises(TypeError):
         keys_at_ranks(spark.createDataFrame([("a",)], "k string"), ["k"], lambda n: [0])
+
+
+def test_many_days_fall_back_to_numeric_buckets(spark, monkeypatch):
+    from parcelcast.operators import ranks
+
+    monkeypatch.setattr(ranks, "MAX_GROUPS", 50)
+    df = spark.range(400).select(F.timestamp_seconds(F.col("id") * 86_400 * 3).alias("ts"), F.col("id").alias("k"))
+    assert order.temporal_cut(df, ["ts", "k"], fine_rows=10).first[1] == 320
+    with pytest.raises(ValueError, match="groups"):
+        exact_quantiles(df.withColumn("x", F.col("k") * 1.0), ["x"], [0.5], by=["k"])
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_cut_does_not_depend_on_the_session_zone(spark, kind):
+    rows = rows_with_hot_times(90)
+    schema = "ts timestamp_ntz, a int, b bigint, tiempo_estimado_min double, tiempo_real_min double"
+    df = spark.createDataFrame(rows, schema).withColumn("ts", F.col("ts").cast(kind)).persist()
+    df.count()
+    expected = {r["b"] for r in order.temporal_cut(df, ["ts", "a", "b"]).before(df).collect()}
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Bogota")
+        got = {r["b"] for r in order.temporal_cut(df, ["ts", "a", "b"]).before(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        df.unpersist()
+    assert got == expected and len(got) == 72
