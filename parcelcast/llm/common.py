@@ -108,3 +108,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(32)
     return x
+
+
+#: Multiplier of the rolling sums and its inverse modulo 2**64, and a number for each byte.
+_A = 0x9E3779B97F4A7C15
+_A_INVERSE = pow(_A, -1, 1 << 64)
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D))
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    have = _POWERS.get(base)
+    if have is None or len(have) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        factors = np.full(size, base, np.uint64)
+        factors[0] = 1
+        have = _POWERS[base] = np.multiply.accumulate(factors)
+    return have[:n]
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each ``data[start:end]``; it depends on the bytes alone."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * _powers(_A, len(data)), out=sums[1:])
+    inside = (sums[ends] - sums[starts]) * _powers(_A_INVERSE, len(data) + 1)[starts]
+    return mix(inside + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def hash_words(words: pa.Array) -> np.ndarray:
+    """64-bit hash of each text of a column."""
+    data, at = as_bytes(words)
+    return hash_spans(data, at[:-1], at[1:])

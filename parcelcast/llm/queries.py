@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from parcelcast.llm import token_file
+from parcelcast.llm import lm_score, token_file
 from parcelcast.llm.common import table
 from parcelcast.session import scratch_path
 
@@ -19,6 +19,15 @@ def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
         return f.read()
 
 
+def fold() -> Column:
+    """crc32 of the document's id as text, modulo 5."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+
+
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), fold() == 1)
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-file")
     token_file.write_token_file(table(spark, sf_dir, "documents"), path, tokenizer_json(), end_id=2)
@@ -26,6 +35,7 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": op1_lm_score,
     "op2_token_file": op2_token_file,
 }
 ORACLE: dict[str, str] = {}
