@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from parcelcast.llm import lm_score, token_file
+from parcelcast.llm import lm_score, ngram_join, token_file
 from parcelcast.llm.common import table
 from parcelcast.session import scratch_path
 
@@ -34,8 +34,13 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_digests(spark, path)
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_token_file": op2_token_file,
+    "op8_ngram_join": op8_ngram_join,
 }
 ORACLE: dict[str, str] = {}
