@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from parcelcast.llm import lm_score, ngram_join, token_file
+from parcelcast.llm import lm_score, ngram_join, repeats, token_file
 from parcelcast.llm.common import table
 from parcelcast.session import scratch_path
 
@@ -38,9 +38,17 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.repeats(table(spark, sf_dir, "documents"))
+    n_bytes = F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long")
+    return found.select("row.doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept")).alias("n_removed"),
+                        F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_token_file": op2_token_file,
     "op8_ngram_join": op8_ngram_join,
+    "op10_repeats": op10_repeats,
 }
 ORACLE: dict[str, str] = {}
