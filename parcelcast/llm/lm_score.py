@@ -29,6 +29,8 @@ BITS_PER_ENTRY = 8
 PROBES = 4
 SEGMENT_CHARS = 1 << 20
 SHARD_BYTES = 256 << 20
+#: Text bytes that a worker tokenises at once.
+STEP = 6 << 20
 #: Stands for the end of a text, and as context for its beginning.
 END = np.uint64(0xE7037ED1A0B428DB)
 LEVELS = 48
@@ -126,7 +128,7 @@ def build(train: DataFrame, order: int) -> tuple[DataFrame, int]:
     shift = 64 - max(4, (int(chars) // SEGMENT_CHARS).bit_length())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches):
+        for b in steps(batches, limit=STEP):
             keys, codes, _ = tokens_of(b.column("text"))
             single = np.bincount(codes, minlength=len(keys))
             by = np.argsort(keys, kind="stable")
@@ -189,7 +191,7 @@ def _filled_in(docs: DataFrame, segments: DataFrame, shards: list[list[int]], sh
         shared = spark.sparkContext.broadcast(Shard(segments.where(F.col("seg").between(segs[0], segs[-1])).toArrow(), shift))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in steps(batches):
+            for b in steps(batches, limit=STEP):
                 at, counts, levels = _look_up(b, shared.value, order)
                 if b.column("counts").null_count == 0:
                     _, c, q = _stored(b)
@@ -277,7 +279,7 @@ def score(docs: DataFrame, held_out: Column, order: int = ORDER, shard_bytes: in
     for n in range(2, order + 1):
         def tally(batches: Iterator[pa.RecordBatch], n=n, weights=tuple(weights)) -> Iterator[pa.RecordBatch]:
             table = np.zeros(LEVELS * _BINS, np.int64)
-            for b in steps(batches):
+            for b in steps(batches, limit=STEP):
                 at, counts, levels = look_up(b)
                 p, longer, bucket = list(_probabilities(at, counts, levels[: n - 1], total, distinct, end_count, weights, 1))[n - 2]
                 with np.errstate(divide="ignore"):
@@ -295,7 +297,7 @@ def score(docs: DataFrame, held_out: Column, order: int = ORDER, shard_bytes: in
         weights.append(np.array([0.0] + [_best_weight(ratios, row) for row in table[1:]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches):
+        for b in steps(batches, limit=STEP):
             at, counts, levels = look_up(b)
             chain = [x[0] for x in _probabilities(at, counts, levels, total, distinct, end_count, weights, 0)]
             add = lambda x: np.add.reduceat(x, at[:-1])
