@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from parcelcast.llm import lm_score, ngram_join, repeats, token_file
-from parcelcast.llm.common import table
+from parcelcast.llm import chat, lm_score, ngram_join, repeats, token_file
+from parcelcast.llm.common import table, written
 from parcelcast.session import scratch_path
 
 
@@ -34,6 +34,13 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_digests(spark, path)
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))
+    return chat.digests(written(chat.format_trees(chat.chain(rows)), "chats"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
@@ -48,6 +55,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_token_file": op2_token_file,
+    "op7_chat": op7_chat,
     "op8_ngram_join": op8_ngram_join,
     "op10_repeats": op10_repeats,
 }
