@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from parcelcast.llm import chat, lm_score, ngram_join, repeats, token_file
+from parcelcast.llm import chat, lm_score, ngram_join, repeats, token_file, toxicity
 from parcelcast.llm.common import table, written
 from parcelcast.session import scratch_path
 
@@ -34,6 +34,18 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_digests(spark, path)
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Learned from the labelled rows of ``docs`` outside fold 0."""
+    return toxicity.train(toxicity.labelled(docs, table(spark, sf_dir, "labels"), fold() == 0))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return found.select("row.doc_id", "score", "n_sentences", F.size("at_fault").alias("n_at_fault")).select(
+        "doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "n_at_fault")
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -55,6 +67,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_token_file": op2_token_file,
+    "op4_toxicity": op4_toxicity,
     "op7_chat": op7_chat,
     "op8_ngram_join": op8_ngram_join,
     "op10_repeats": op10_repeats,
