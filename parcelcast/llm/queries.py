@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from parcelcast.llm import chat, decontaminate, lm_score, ngram_join, repeats, token_file, toxicity
+from parcelcast.llm import chat, decontaminate, lm_score, ngram_join, order_minhash, repeats, token_file, toxicity
 from parcelcast.llm.common import table, written
 from parcelcast.session import scratch_path
 
@@ -64,6 +64,10 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.repeats(table(spark, sf_dir, "documents"))
     n_bytes = F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long")
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_chat": op7_chat,
     "op8_ngram_join": op8_ngram_join,
+    "op9_order_minhash": op9_order_minhash,
     "op10_repeats": op10_repeats,
 }
 ORACLE: dict[str, str] = {}
