@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from parcelcast.llm import chat, decontaminate, lm_score, ngram_join, order_minhash, repeats, token_file, toxicity
+from parcelcast.llm import chat, decontaminate, html_text, lm_score, ngram_join, order_minhash, repeats, token_file, toxicity
 from parcelcast.llm.common import table, written
 from parcelcast.session import scratch_path
 
@@ -34,6 +34,11 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_digests(spark, path)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.train(pages))
+
+
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
     """Learned from the labelled rows of ``docs`` outside fold 0."""
     return toxicity.train(toxicity.labelled(docs, table(spark, sf_dir, "labels"), fold() == 0))
@@ -78,6 +83,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_token_file": op2_token_file,
+    "op3_html_text": op3_html_text,
     "op4_toxicity": op4_toxicity,
     "op6_decontaminate": op6_decontaminate,
     "op7_chat": op7_chat,
