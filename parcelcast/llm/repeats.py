@@ -26,8 +26,8 @@ from parcelcast.llm.suffixes import permuted_lcp, suffix_array
 
 LENGTH = 50
 GRAM = 20
-STEP = 6 << 20
-BUCKET_BYTES = 8 << 20
+STEP = 2 << 20
+BUCKET_BYTES = 4 << 20
 SHARD_BYTES = 2 << 20
 _PLACES = "chunk long, doc binary, lo binary, len binary, key binary, open boolean"
 
