@@ -33,7 +33,7 @@ class Trees:
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate: float = 0.25, bins: int = 24, damp: float = 2.0) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.25, bins: int = 24, damp: float = 2.0) -> Trees:
     """Newton boosting of the logistic loss with histograms of gradients."""
     quantiles = np.linspace(0, 1, bins + 1)[1:-1]
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from parcelcast.llm import chat, decontaminate, html_text, lm_score, ngram_join, order_minhash, repeats, token_file, toxicity
+from parcelcast.llm import chat, decontaminate, html_text, lm_score, ngram_join, order_minhash, pieces, repeats, token_file, toxicity
 from parcelcast.llm.common import table, written
 from parcelcast.session import scratch_path
 
@@ -51,6 +51,20 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "n_at_fault")
 
 
+def piece_vocabulary(name: str = "piece_bpe_32k.model") -> pieces.Vocabulary:
+    import public_tokenizers
+
+    return pieces.Vocabulary.load(public_tokenizers.path(name))
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, as a hash, and the hash of the text that decoding them gives."""
+    vocabulary = piece_vocabulary()
+    found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"), F.length("text").cast("long").alias("n_chars"),
+                        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matches of every document that has one: a row for each document and benchmark item."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -85,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_file": op2_token_file,
     "op3_html_text": op3_html_text,
     "op4_toxicity": op4_toxicity,
+    "op5_pieces": op5_pieces,
     "op6_decontaminate": op6_decontaminate,
     "op7_chat": op7_chat,
     "op8_ngram_join": op8_ngram_join,
