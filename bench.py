@@ -18,7 +18,7 @@ HEADLINE = [
     "scan_deliveries", "temporal_split", "kpis_actual", "by_zone", "by_road", "traffic_impact", "flashcards",
     "error_evolution", "error_histogram", "road_box", "profile_describe", "kpis_confidence", "scaler_stats",
     "scale_numeric", "one_hot", "ordinal_encode", "scenario_daily", "zone_risk", "scenario_daily_full",
-    "kpis_future", "ridge1d", "train_ridge", "train_glm", "batch_score",
+    "kpis_future", "ridge1d", "train_ridge", "train_glm", "batch_score", "train_all",
 ]
 
 

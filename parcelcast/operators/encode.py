@@ -85,13 +85,15 @@ def linear_feature_names(model: PipelineModel) -> list[str]:
 def appearance_order(train: DataFrame, order: Sequence[str], columns: Sequence[str] = CATEGORICAL) -> DataFrame:
     """Categories numbered by first appearance in training order.
 
-    The first appearance is a minimum, which combines before the shuffle; only the distinct
-    categories are then numbered.
+    The smallest leading key of each category comes from a hash aggregate with fixed-width buffers; only
+    the rows that have it are then compared on the whole order.
     """
     pairs = ", ".join(f"'{c}', `{c}`" for c in columns)
-    tall = train.select(F.struct(*order).alias("seen"),
+    tall = train.select(F.col(order[0]).alias("lead"), F.struct(*order).alias("seen"),
                         F.expr(f"stack({len(columns)}, {pairs}) as (feature, category)")).where("category is not null")
-    seen = tall.groupBy("feature", "category").agg(F.min("seen").alias("seen"))
+    first = tall.groupBy("feature", "category").agg(F.min("lead").alias("first"))
+    at_first = tall.join(first, ["feature", "category"]).where(F.col("lead").eqNullSafe(F.col("first")))
+    seen = at_first.groupBy("feature", "category").agg(F.min("seen").alias("seen"))
     number = F.row_number().over(Window.partitionBy("feature").orderBy("seen"))
     return seen.select("feature", "category", (number - 1).alias("code"))
 

@@ -20,7 +20,7 @@ from parcelcast.operators.registry import model_metric
 from parcelcast.operators.requests import complete_requests
 from parcelcast.schema import (DEFAULT_MODEL, FALLBACK_ORDER, FAMILIES, PREDICTION_FLOOR, REGISTRY_NAMES,
                                TARGET, TREE_FEATURES)
-from parcelcast.session import checkpoint_root, local_table
+from parcelcast.session import checkpoint_root, local_table, pin
 
 NORMAL_SOLVER_LIMIT = 4096
 
@@ -136,13 +136,21 @@ def _needed(df: DataFrame) -> list[str]:
     return [*TREE_FEATURES, TARGET] if TARGET in df.columns else list(TREE_FEATURES)
 
 
-def fit_family(family: str, train: DataFrame, order: Sequence[str], rounds: int | None = None) -> Fitted:
-    """Prepare features and fit one family; the feature rows are kept while the fit iterates."""
+def feature_rows(family: str, train: DataFrame, order: Sequence[str]) -> tuple[PipelineModel, DataFrame]:
+    """The fitted preparation of a family and its persisted feature rows."""
     linear = family in ("linear", "glm")
     preparation = fit_linear_features(train) if linear else fit_tree_features(train, order)
-    keys = order if family == "histgb" else []      # the held-out rows are chosen by key
+    keys = [] if linear else list(order)      # the held-out rows of the trees are chosen by key
     rows = preparation.transform(train.select(*dict.fromkeys([*keys, *TREE_FEATURES, TARGET])))
-    rows = rows.select(*keys, "features", TARGET).persist(StorageLevel.MEMORY_AND_DISK)
+    return preparation, rows.select(*keys, "features", TARGET).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def fit_family(family: str, train: DataFrame, order: Sequence[str], rounds: int | None = None,
+               prepared: tuple[PipelineModel, DataFrame] | None = None) -> Fitted:
+    """Fit one family; the feature rows are kept while the fit iterates, and those given are left to the caller."""
+    if family not in FAMILIES:
+        raise ValueError(f"unknown model family {family!r}; known: {FAMILIES}")
+    preparation, rows = prepared or feature_rows(family, train, order)
     try:
         if family == "linear":
             return fit_ridge(rows, preparation)
@@ -153,9 +161,10 @@ def fit_family(family: str, train: DataFrame, order: Sequence[str], rounds: int
             return fit_hist_boost(rows, preparation, order, **({} if rounds is None else {"rounds": rounds}))
         if family == "xgboost":
             return fit_boost(rows, preparation, **({} if rounds is None else {"rounds": rounds}))
+        raise AssertionError("unreachable")
     finally:
-        rows.unpersist()
-    raise ValueError(f"unknown model family {family!r}; known: {FAMILIES}")
+        if prepared is None:
+            rows.unpersist()
 
 
 def train_all(train: DataFrame, validation: DataFrame, order: Sequence[str], rounds: int | None = None,
@@ -164,14 +173,21 @@ def train_all(train: DataFrame, validation: DataFrame, order: Sequence[str], rou
     spark = train.sparkSession
     train_rows = train.count()
     models, status, registry = {}, [], None
+    prepared: dict[bool, tuple[PipelineModel, DataFrame]] = {}       # one table for both linear families, one for the trees
     for family in families:
         try:
-            models[family] = fit_family(family, train, order, rounds)
-            row = evaluate(models[family], train_rows, validation)
+            linear = family in ("linear", "glm")
+            if linear not in prepared:
+                prepared[linear] = feature_rows(family, train, order)
+            models[family] = fit_family(family, train, order, rounds, prepared[linear])
+            row = pin(evaluate(models[family], train_rows, validation), 1)      # scored here, once, inside the try
             registry = row if registry is None else registry.unionByName(row)
             status.append((family, True, models[family].note))
         except (PySparkException, ArithmeticError, ValueError, RuntimeError) as error:
+            models.pop(family, None)
             status.append((family, False, str(error).splitlines()[0] if str(error) else type(error).__name__))
+    for _, rows in prepared.values():
+        rows.unpersist()
     table = local_table(spark, status, "model_name string, trained boolean, note string")
     if registry is None:
         registry = local_table(spark, [], "model_name string, mae double, mse double, rmse double,"
@@ -232,16 +248,21 @@ def choose_model(requested: str, available: Sequence[str]) -> str:
     raise ValueError("no trained model is available")
 
 
-def batch_score(requests: DataFrame, family: str, predictor: Callable[[DataFrame], DataFrame], registry: DataFrame,
+def batch_score(checked: DataFrame, family: str, predictor: Callable[[DataFrame], DataFrame], registry: DataFrame,
                 keep: Sequence[str]) -> DataFrame:
-    """Complete, score and label requests; ``keep`` names the columns that identify a request.
+    """Complete, score and label validated requests; ``keep`` names the columns that identify a request.
 
+    Every request comes back: a rejected one without prediction, with the names of the rules it breaks.
     ``predictor`` adds a floored ``prediction`` to feature rows, as ``Fitted.predict`` does.
     """
-    given = F.struct(*[c for c in requests.columns if c not in keep])
-    named = requests.withColumn("input_features", given)
-    scored = predictor(complete_requests(named, [*keep, "input_features"]))
+    given = F.struct(*[c for c in checked.columns if c not in (*keep, "violations", "valid")])
+    named = checked.withColumn("input_features", given)
+    features = complete_requests(named, [*keep, "input_features", "violations", "valid"])
+    filled = {c: F.coalesce(c, F.lit(0).cast(t)) for c, t in features.dtypes if t in ("int", "bigint", "double")}
+    scored = predictor(features.withColumns(filled))      # rejected rows may lack numbers that a model needs
     return scored.select(
-        *keep, F.lit(family).alias("model_name"), "prediction", F.lit(TARGET).alias("target_variable"),
-        "input_features", model_metric(registry, family, "rmse").alias("rmse_validation"),
-        F.lit("success").alias("status"))
+        *keep, F.lit(family).alias("model_name"), F.when(F.col("valid"), F.col("prediction")).alias("prediction"),
+        F.lit(TARGET).alias("target_variable"), "input_features",
+        model_metric(registry, family, "rmse").alias("rmse_validation"),
+        F.when(F.col("valid"), "success").otherwise("rejected").alias("status"),
+        F.concat_ws(",", "violations").alias("violations"))

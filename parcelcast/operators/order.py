@@ -32,11 +32,15 @@ class Cut:
         """Rows before the cut; the plain bound on the leading key reaches the file scan."""
         if self.first is None:
             return df
+        if self.first[0] is None:
+            return df.where(self.is_before())
         return df.where((F.col(self.order[0]) <= typed_literal(self.first[0], self.kinds[0])) & self.is_before())
 
     def after(self, df: DataFrame) -> DataFrame:
         if self.first is None:
             return df.where(F.lit(False))
+        if self.first[0] is None:
+            return df.where(~self.is_before())
         lead = F.col(self.order[0])
         return df.where((lead.isNull() | (lead >= typed_literal(self.first[0], self.kinds[0]))) & ~self.is_before())
 
@@ -99,12 +103,26 @@ def real_vs_estimated_top(df: DataFrame, order: Sequence[str], limit: int = TOP_
     return top.select("x", F.col(TARGET).alias("real"), F.col(ESTIMATE).alias("estimado"))
 
 
+def rain_levels(df: DataFrame) -> DataFrame:
+    """Mean real minutes and number of deliveries at each rain level, over all rows that have both."""
+    rows = df.dropna(subset=["lluvia_mm", TARGET])
+    return rows.groupBy(F.col("lluvia_mm").alias("lluvia")).agg(F.avg(TARGET).alias("eta"), F.count(F.lit(1)).alias("n"))
+
+
+def error_levels(df: DataFrame, step: float = 0.5) -> DataFrame:
+    """Number of rows in each ``step`` of the signed error, over all rows that have one."""
+    return (df.select((F.floor(signed_error() / step) * step).alias("error")).where("error is not null")
+            .groupBy("error").agg(F.count(F.lit(1)).alias("n")))
+
+
 def rain_impact(df: DataFrame, order: Sequence[str], limit: int = RAIN_ROWS) -> DataFrame:
+    """The first ``limit`` rows as points, as the published page draws them; ``rain_levels`` has all rows."""
     rows = df.select("lluvia_mm", TARGET, *order).dropna(subset=["lluvia_mm", TARGET])
     top = first_rows(rows, order, limit, "x")
     return top.select("x", F.col("lluvia_mm").alias("lluvia"), F.col(TARGET).alias("eta"))
 
 
 def error_sample(df: DataFrame, order: Sequence[str], limit: int = ERROR_ROWS) -> DataFrame:
+    """The first ``limit`` errors as points; ``error_levels`` and the histogram have all rows."""
     rows = df.select(signed_error().alias("error"), *order)
     return first_rows(rows, order, limit, "x").select("x", "error")

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import sys
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -23,7 +24,8 @@ from parcelcast.session import local_table
 BUCKETS = 1024
 FINE_ROWS = 20_000     # intervals with at most this many rows are resolved value by value
 MAX_GROUPS = 100_000    # groups (and first-level buckets) that may be returned to the driver
-NO_TIME = 2 ** 63 - 1   # stands for a missing leading timestamp, which sorts last
+NO_NUMBER = 2 ** 63 - 1     # stands for a missing key of whole numbers or times, which sorts last
+LARGEST = sys.float_info.max    # stands for infinity, and for a missing or undefined key of decimals
 
 
 @dataclass(frozen=True)
@@ -58,13 +60,14 @@ def order_statistics(df: DataFrame, columns: Sequence[str], ranks: Callable[[tup
     """Exact values at given ranks of each column within each group of ``by``.
 
     ``ranks(group, n)`` names the wanted ranks, where ``group`` is ``(column, *by values)`` and ``n``
-    its non-null row count. ``coarse`` is an optional first-level bucket that respects the order and
-    has few values (a day for a timestamp); it saves a pass. Columns must share one numeric type.
+    its row count without nulls and NaN; infinities come back as plus or minus ``LARGEST``. ``coarse`` is an optional first-level bucket that respects the order and
+    has few values (a day for a timestamp); it saves a pass. Whole numbers next to decimals are read as decimals.
     Returns the row count per group and the values found.
     """
-    kind = {c: t for c, t in df.dtypes}[columns[0]]
-    kind = "bigint" if kind in ("tinyint", "smallint", "int", "bigint") else "double"
-    pairs = ", ".join(f"'{c}', cast(`{c}` as {kind})" for c in columns)
+    types = dict(df.dtypes)
+    kind = "bigint" if all(types[c] in ("tinyint", "smallint", "int", "bigint") for c in columns) else "double"
+    number = "cast(`{0}` as bigint)" if kind == "bigint" else "if(isnan(`{0}`), null, if(abs(`{0}`) > {1!r}D, signum(`{0}`) * {1!r}D, cast(`{0}` as double)))"
+    pairs = ", ".join(f"'{c}', {number.format(c, LARGEST)}" for c in columns)
     extra = [coarse.alias("_coarse")] if coarse is not None else [F.lit(0).alias("_coarse")]
     tall = df.select(*by, *extra, F.expr(f"stack({len(columns)}, {pairs}) as (_column, _value)"))
     tall = tall.where(F.col("_value").isNotNull())
@@ -94,11 +97,17 @@ def order_statistics(df: DataFrame, columns: Sequence[str], ranks: Callable[[tup
     while open_:
         closer: list[_Interval] = []
         for interval, cells in _look_closer(tall, keys, kind, open_, fine_rows, buckets):
+            if any(c.rows == interval.cell.rows and (c.low, c.high) == (interval.cell.low, interval.cell.high) for c in cells):
+                raise RuntimeError(f"counting does not narrow {interval}")
             _assign(cells, interval.group, interval.ranks, closer, found)
         open_ = closer
     return sizes, found
 
 
+def _with_infinity(value: float | int) -> float | int:
+    return math.copysign(math.inf, value) if isinstance(value, float) and abs(value) == LARGEST else value
+
+
 def _assign(cells: list[_Cell], group: tuple, ranks: list[int], open_: list[_Interval],
             found: list[Found]) -> None:
     """Give each rank the cell that holds it; a cell of one single value is the answer."""
@@ -120,14 +129,14 @@ def _look_closer(tall: DataFrame, keys: list[str], kind: str, intervals: list[_I
     fields = [T.StructField(f"_g{i}", tall.schema[k].dataType) for i, k in enumerate(keys)]
     fields += [T.StructField("_state", T.IntegerType()), T.StructField("_low", value_type),
                T.StructField("_high", value_type), T.StructField("_halve", T.BooleanType()),
-               T.StructField("_fine", T.BooleanType()), T.StructField("_begin", T.LongType()),
-               T.StructField("_ranks", T.ArrayType(T.LongType()))]
+               T.StructField("_fine", T.BooleanType())]
+    held = T.StructType([T.StructField("_state", T.IntegerType()), T.StructField("_begin", T.LongType()),
+                         T.StructField("_ranks", T.ArrayType(T.LongType()))])
     rows = []
     for number, i in enumerate(intervals):
         span = i.cell.high - i.cell.low
         halve = span >= 2 ** 62 if kind == "bigint" else math.isinf(span)   # else the difference overflows
-        rows.append((*i.group, number, i.cell.low, i.cell.high, halve, i.cell.rows <= fine_rows,
-                     i.cell.start, i.ranks))
+        rows.append((*i.group, number, i.cell.low, i.cell.high, halve, i.cell.rows <= fine_rows))
     # Bounded by groups x ranks, both named by the caller and checked above: safe to broadcast.
     states = F.broadcast(local_table(spark, rows, T.StructType(fields)))
     condition = F.col("_value").between(F.col("_low"), F.col("_high"))
@@ -141,12 +150,13 @@ def _look_closer(tall: DataFrame, keys: list[str], kind: str, intervals: list[_I
     share = ((part["_value"] - part["_low"]).cast("double")
              / (part["_high"] - part["_low"]).cast("double"))
     bucket = F.least(F.lit(buckets - 1), F.floor(share * buckets).cast("int"))
-    counted = (inside.select("_state", "_begin", "_ranks", "_value",
+    counted = (inside.select("_state", "_value",
                              F.when(F.col("_fine"), F.lit(-1)).otherwise(bucket).alias("_bucket"),
                              F.when(F.col("_fine"), F.col("_value")).alias("_exact"))
                .groupBy("_state", "_bucket", "_exact")
-               .agg(F.count(F.lit(1)).alias("n"), F.min("_value").alias("low"), F.max("_value").alias("high"),
-                    F.first("_begin").alias("_begin"), F.first("_ranks").alias("_ranks")))
+               .agg(F.count(F.lit(1)).alias("n"), F.min("_value").alias("low"), F.max("_value").alias("high")))
+    wanted = local_table(spark, [(k, i.cell.start, i.ranks) for k, i in enumerate(intervals)], held)
+    counted = counted.join(F.broadcast(wanted), "_state")     # as many rows as ``states``
     # Per state at most max(BUCKETS, FINE_ROWS) aggregated rows reach this window.
     smaller = Window.partitionBy("_state").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("start", F.col("_begin") + F.coalesce(F.sum("n").over(smaller), F.lit(0)))
@@ -165,13 +175,14 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
         return [f(x) for x in places for f in (math.floor, math.ceil)]
 
     sizes, found = order_statistics(df, columns, wanted, by=by, **options)
-    at = {(f.group, f.rank): f.value for f in found}
+    at = {(f.group, f.rank): _with_infinity(f.value) for f in found}
     out: dict[tuple, dict[float, float]] = {}
     for group, n in sizes.items():
         for p in probabilities:
             place = p * (n - 1)
             low, high = at[group, math.floor(place)], at[group, math.ceil(place)]
-            out.setdefault(group, {})[p] = low + (high - low) * (place - math.floor(place))
+            share = place - math.floor(place)
+            out.setdefault(group, {})[p] = low if low == high or share == 0 else low + (high - low) * share
     return out
 
 
@@ -185,8 +196,6 @@ def keys_at_ranks(df: DataFrame, keys: Sequence[str], ranks: Callable[[int], Seq
     """
     typed = {name: kind for name, kind in df.dtypes}
     numbers = {k: _as_number(F.col(k), typed[k]) for k in keys}
-    if typed[keys[0]].startswith("timestamp"):
-        numbers[keys[0]] = F.coalesce(numbers[keys[0]], F.lit(NO_TIME))
     narrow = df.select([c.alias(k) for k, c in numbers.items()])
     leading_day = (F.expr(f"`{keys[0]}` div 86400000000")
                    if typed[keys[0]].startswith("timestamp") else None)
@@ -256,22 +265,25 @@ def _resolve_small(narrow: DataFrame, keys: list[str], depth: int, prefixes: dic
 
 
 def _as_number(column: Column, kind: str) -> Column:
+    """Order-keeping number of a key; missing keys are the largest at every depth."""
     if kind == "timestamp":
-        return F.unix_micros(column)
+        return F.coalesce(F.unix_micros(column), F.lit(NO_NUMBER))
     if kind == "timestamp_ntz":     # wall-clock arithmetic, so that no session time zone gets in
         seconds = F.unix_date(column.cast("date")).cast("bigint") * 86400 + F.hour(column) * 3600 + F.minute(column) * 60
-        return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), column) * 1_000_000).cast("bigint")
+        return F.coalesce(seconds * 1_000_000 + (F.extract(F.lit("SECOND"), column) * 1_000_000).cast("bigint"), F.lit(NO_NUMBER))
     if kind in ("tinyint", "smallint", "int", "bigint"):
-        return column.cast("bigint")
+        return F.coalesce(column.cast("bigint"), F.lit(NO_NUMBER))
     if kind in ("float", "double"):
-        return column.cast("double")
+        known = F.coalesce(F.nanvl(column.cast("double"), F.lit(None)), F.lit(LARGEST))
+        return F.greatest(F.least(known, F.lit(LARGEST)), F.lit(-LARGEST))
     raise TypeError(f"order columns must be timestamps or numbers, got {kind}")
 
 
 def _from_number(value, kind: str):
+    if value == (LARGEST if isinstance(value, float) else NO_NUMBER):
+        return None
+    value = _with_infinity(value)
     if kind.startswith("timestamp"):
-        if value == NO_TIME:
-            raise ValueError("a wanted rank falls among rows without timestamp")
         return dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=value)
     return value
 
@@ -286,13 +298,18 @@ def typed_literal(value, kind: str) -> Column:
 
 
 def is_before_key(order: Sequence[str], kinds: Sequence[str], values: tuple) -> Column:
-    """Whether a row's key tuple is smaller than ``values``; false for a missing leading key.
+    """Whether a row's key tuple is smaller than ``values``; missing keys are larger than all others.
 
-    Written as nested comparisons: nearly every row is decided by the leading key alone.
+    Written as nested comparisons: nearly every row is decided by the leading key alone. None in
+    ``values`` is a missing key (infinity and NaN count as missing in decimals).
     """
-    before = None
+    before = F.lit(False)
     for name, kind, value in reversed(list(zip(order, kinds, values))):
-        literal = typed_literal(value, kind)
-        before = (F.col(name) < literal if before is None
-                  else (F.col(name) < literal) | ((F.col(name) == literal) & before))
-    return F.coalesce(before, F.lit(False))
+        if value is None:
+            largest = F.lit(LARGEST if kind in ("float", "double") else NO_NUMBER)
+            known = _as_number(F.col(name), kind) < largest
+            before = known | before
+        else:
+            literal = typed_literal(value, kind)
+            before = F.coalesce((F.col(name) < literal) | ((F.col(name) == literal) & before), F.lit(False))
+    return before

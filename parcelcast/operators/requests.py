@@ -34,14 +34,13 @@ def validate_requests(df: DataFrame, bounds: Sequence[tuple] = REQUEST_BOUNDS,
                       required: Sequence[str] = REQUIRED_REQUEST_FIELDS) -> DataFrame:
     """Adds ``violations`` (names of broken rules) and ``valid``; no row is dropped."""
     broken = [F.when(F.col(c).isNull(), f"{c}:required") for c in required]
-    for name, low, low_in, high, high_in in bounds:
+    for name, low, low_in, high, high_in, *_ in bounds:
         value = F.col(name)
         under = value < low if low_in else value <= low
         over = value > high if high_in else value >= high
         broken.append(F.when(under | over | F.isnan(value.cast("double")), f"{name}:range"))
-    if any(b[0] == "nivel_trafico" for b in bounds) and bounds is REQUEST_BOUNDS:
-        level = F.col("nivel_trafico")
-        broken.append(F.when(level != F.floor(level), "nivel_trafico:integer"))
+    for name in (b[0] for b in bounds if "integer" in b[5:]):
+        broken.append(F.when(F.col(name) != F.floor(name), f"{name}:integer"))
     return (df.withColumn("violations", F.array_compact(F.array(*broken)))
             .withColumn("valid", F.size("violations") == 0))
 

@@ -14,7 +14,7 @@ from parcelcast.operators.requests import scenario_features
 from parcelcast.schema import (COMPARED, DAILY, DAY_SAMPLE, DEFAULT_MODEL, DEMAND_PER_SAMPLE, ESTIMATE, KPIS_FUTURE,
                                MIN_BASE_DEMAND, MIN_DAY_DEMAND, ON_TIME_MIN, POOL_PER_SAMPLE,
                                PREDICTION_FLOOR, SCENARIO_DEFAULTS, TARGET, TOP_ZONES, ZONE_SAMPLE)
-from parcelcast.session import pin
+from parcelcast.session import ROW_ID, pin
 
 Predictor = Callable[[DataFrame], DataFrame]      # feature rows -> the same rows with ``prediction``
 
@@ -87,7 +87,7 @@ def lowest_hashes(df: DataFrame, group: str, row_hash: str, limit: int, sizes: d
     table; the window limits again inside each task before its shuffle. Should hash values be so
     repetitive that a group falls short, the rows are ranked without the threshold.
     """
-    order = Window.partitionBy(group).orderBy(row_hash)
+    order = Window.partitionBy(group).orderBy(row_hash, *_tie(df))
 
     def ranked(rows: DataFrame) -> DataFrame:
         numbered = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
@@ -97,7 +97,7 @@ def lowest_hashes(df: DataFrame, group: str, row_hash: str, limit: int, sizes: d
     if not wanted:
         return ranked(df.where(F.lit(False)))
     # Hexadecimal texts order like their numbers; 'g' is above every digit and lets all rows through.
-    bound = {g: f"{16 ** 8 * OVERDRAW * limit // n:08x}" if n > OVERDRAW * limit else "g" for g, n in sizes.items()}
+    bound = {g: f"{16 ** 15 * OVERDRAW * limit // n:015x}" if n > OVERDRAW * limit else "g" for g, n in sizes.items()}
     pairs = [F.lit(x) for pair in bound.items() for x in pair]
     below = F.col(row_hash) < F.try_element_at(F.create_map(*pairs), F.col(group))
     rows_at_most = limit * len(wanted)
@@ -118,12 +118,12 @@ class Projection:
     pool: DataFrame
 
 
-def project_month(pool: DataFrame, year: int, month: int, predictor: Predictor = formula_predictor,
-                  row_hash: str = "row_hash", mode: str = "sample",
+def project_month(pool: DataFrame, year: int, month: int, predictor: Predictor,
+                  row_hash: str = "row_hash", mode: str = "full",
                   demand_mode: str = "per_day_of_month") -> Projection:
-    """Score a hash sample of past rows per day of the month (or, with mode='full', all of them).
+    """Score all past rows of each day's weekday or, with mode='sample', the published sample of them by hash.
 
-    ``pool`` has the delivery columns, date parts and an md5 text ``row_hash``.
+    ``pool`` has the delivery columns and date parts; a sample also needs an md5 text ``row_hash``.
     """
     profile = pin(demand_profile(pool), MAX_DAYS)
     if profile.isEmpty():
@@ -132,7 +132,7 @@ def project_month(pool: DataFrame, year: int, month: int, predictor: Predictor =
     columns = _feature_columns(pool)
     known = pool.where(F.col("dia_semana").isNotNull())
     if mode == "sample":
-        rows = _sampled_days(known.select(F.col("dia_semana").alias("pool"), row_hash, *columns),
+        rows = _sampled_days(known.select(F.col("dia_semana").alias("pool"), row_hash, *_tie(known), *columns),
                              days, profile, row_hash)
     elif mode == "full":
         rows = known.select(F.col("dia_semana").alias("pool"), *columns)
@@ -147,6 +147,11 @@ def project_month(pool: DataFrame, year: int, month: int, predictor: Predictor =
     return Projection(f"{year}-{month:02d}", scored, _daily(scored), profile, pool)
 
 
+def _tie(rows: DataFrame) -> list[str]:
+    """What tells copies of a row apart, where it is there."""
+    return [c for c in (ROW_ID,) if c in rows.columns]
+
+
 def _feature_columns(pool: DataFrame) -> list[str]:
     return [c for c in (*SCENARIO_DEFAULTS, "eficiencia_estimacion") if c in pool.columns]
 
@@ -156,7 +161,7 @@ def _sampled_days(rows: DataFrame, days: DataFrame, profile: DataFrame, row_hash
     sizes = {r["dia_semana"]: r["n"] for r in weekday_factor(profile).collect()}
     by_day = lowest_hashes(rows, "pool", row_hash, DAY_RANKS, sizes)
     # The lowest hashes of all rows are among the lowest hashes of the weekdays.
-    any_day = (by_day.withColumn("rank", F.row_number().over(Window.orderBy(row_hash)) - 1)
+    any_day = (by_day.withColumn("rank", F.row_number().over(Window.orderBy(row_hash, *_tie(by_day))) - 1)
                .where(F.col("rank") < DAY_RANKS).withColumn("pool", F.lit(ANY_DAY)))
     ranked = by_day.unionByName(any_day)
     slots = days.select("day", "dow", "pool", "week", "sample_rows", "pool_rows", "demand_predicted",
@@ -174,10 +179,10 @@ def _daily(scored: DataFrame) -> DataFrame:
     return per_day.withColumn("delays_expected", late).withColumn("risk_delay", late).select(*DAILY)
 
 
-def zone_risk(pool: DataFrame, year: int, month: int, predictor: Predictor = formula_predictor,
-              row_hash: str = "row_hash", mode: str = "sample") -> DataFrame:
+def zone_risk(pool: DataFrame, year: int, month: int, predictor: Predictor,
+              row_hash: str = "row_hash", mode: str = "full") -> DataFrame:
     """Share of late predictions and mean prediction in the zones with most rows, mid-month."""
-    pool = pool.select(row_hash, *_feature_columns(pool))
+    pool = pool.select(*([row_hash, *_tie(pool)] if mode == "sample" else []), *_feature_columns(pool))
     zones = pin(top_zones(pool, TOP_ZONES), TOP_ZONES)
     sizes = {r["localidad"]: r["n"] for r in zones.collect()}
     inside = pool.where(F.col("localidad").isin(list(sizes)))
@@ -236,4 +241,10 @@ def historical_vs_predicted(projection: Projection) -> DataFrame:
 
 
 def eta_distribution(projection: Projection) -> DataFrame:
+    """Scored deliveries per whole minute of the prediction: a few hundred rows at any size."""
+    return projection.scored.groupBy(F.floor("prediction").alias("eta")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def eta_points(projection: Projection) -> DataFrame:
+    """Every scored delivery, as the published page draws its sample."""
     return projection.scored.select("day", "i", F.col("prediction").alias("eta"))

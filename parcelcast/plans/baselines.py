@@ -1,55 +1,33 @@
-"""Four closed-form predictors whose validation errors fill a metrics registry without iteration.
-
-They need one aggregate over the training rows and one over the validation rows, so registry
-operators can be run on the whole tables: a one-feature ridge line, the mean per road type (what a
-Gamma regression on that single factor fits), and one round of shrunken bin means over traffic and
-over rain.
-"""
+"""Ridge lines on one feature each: models that one aggregate fits and SQL can check, for registry queries."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 from parcelcast.operators.kpi import regression_metrics
-from parcelcast.schema import TARGET
-from parcelcast.session import pin
+from parcelcast.schema import ESTIMATE, TARGET
 
 ALPHA = 1.0
-MAX_CELLS = 100_000
-NAMES = ["Linear Regression", "GLM (Gamma, log-link)", "HistGradientBoosting", "XGBoost"]
-
-
-def _bins(df: DataFrame) -> DataFrame:
-    return df.withColumns({"traffic_bin": F.floor(F.col("nivel_trafico") * 10.0),
-                           "rain_bin": F.floor(F.col("lluvia_mm"))})
-
-
-def baseline_registry(train: DataFrame, validation: DataFrame) -> DataFrame:
-    """Raw registry rows, one per predictor and vehicle: ``ord``, ``model_name`` and the errors."""
-    x, y = F.col("distancia_km"), F.col(TARGET)
-    cells = pin(_bins(train).groupBy("tipo_via", "traffic_bin", "rain_bin").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(x).alias("sx"),
-        F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy")), MAX_CELLS)
-    total = cells.agg(*[F.sum(c).alias(c) for c in ("n", "sy", "sx", "sxx", "sxy")]).first()
-    n, mean_x, mean_y = total["n"], total["sx"] / total["n"], total["sy"] / total["n"]
-    weight = (total["sxy"] - n * mean_x * mean_y) / (total["sxx"] - n * mean_x * mean_x + ALPHA)
-
-    def level(key: str, name: str, shrink: float) -> DataFrame:
-        excess = F.sum("sy") - F.sum("n") * mean_y
-        return cells.groupBy(key).agg((excess / (F.sum("n") + shrink) + mean_y).alias(name))
-
-    rows = _bins(validation)
-    for key, name, shrink in (("tipo_via", "p_road", 0.0), ("traffic_bin", "p_traffic", 0.0),
-                              ("rain_bin", "p_rain", ALPHA)):
-        rows = rows.join(level(key, name, shrink), key, "left")     # a few bins, local relation
-    line = mean_y + (F.col("distancia_km") - mean_x) * weight
-    scored = rows.select("vehiculo", TARGET, F.posexplode(F.array(
-        line, *[F.coalesce(F.col(p), F.lit(mean_y)) for p in ("p_road", "p_traffic", "p_rain")]
-    )).alias("model", "prediction"))
-    errors = regression_metrics(scored, "prediction", by=["model", "vehiculo"])
-    name = F.concat_ws(" ", F.element_at(F.array(*[F.lit(v) for v in NAMES]), F.col("model") + 1), F.col("vehiculo"))
-    place = F.concat_ws(" ", F.col("model").cast("string"), F.col("vehiculo"))
+#: Registered name and feature of each line; loading shortens the first one's name to the default model's.
+LINES = [("Linear Regression on distance", "distancia_km"), ("Ridge on traffic", "nivel_trafico"),
+         ("Ridge on rain", "lluvia_mm"), ("Ridge on estimate", ESTIMATE)]
+
+
+def line_registry(train: DataFrame, validation: DataFrame) -> DataFrame:
+    """Registry rows of the lines, fitted on all training rows and judged on all validation rows."""
+    y = F.col(TARGET)
+    known = train.where(" and ".join(f"{c} is not null" for c in (TARGET, *(x for _, x in LINES))))
+    moments = known.agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("my"), *[
+        f.alias(f"{k}_{x}") for _, x in LINES
+        for k, f in (("m", F.avg(x)), ("c", F.covar_pop(x, y)), ("v", F.var_pop(x)))]).first()
+    n = moments["n"]
+    lines = []
+    for _, x in LINES:
+        weight = (moments[f"c_{x}"] or 0.0) * n / ((moments[f"v_{x}"] or 0.0) * n + ALPHA)
+        lines.append(F.lit(moments["my"] or 0.0) + (F.col(x) - F.lit(moments[f"m_{x}"] or 0.0)) * F.lit(weight))
+    scored = validation.select(TARGET, F.posexplode(F.array(*lines)).alias("model", "prediction"))
+    errors = regression_metrics(scored, "prediction", by=["model"])
+    name = F.element_at(F.array(*[F.lit(v) for v, _ in LINES]), F.col("model") + 1)
     return errors.select(
-        place.alias("ord"), name.alias("model_name"), F.col("mae").alias("MAE"), F.col("mse").alias("MSE"),
-        F.col("rmse").alias("RMSE"), F.col("mape").alias("MAPE"), F.lit(n).cast("bigint").alias("n_train"),
-        "n_validation")
+        F.col("model").cast("bigint").alias("ord"), name.alias("model_name"), F.col("mae").alias("MAE"), F.col("mse").alias("MSE"),
+        F.col("rmse").alias("RMSE"), F.col("mape").alias("MAPE"), F.lit(n).cast("bigint").alias("n_train"), "n_validation")

@@ -10,19 +10,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from parcelcast.functions import columns as fx
 from parcelcast.operators import encode, kpi, models, order, profile, registry as reg, requests, scenario
-from parcelcast.plans.baselines import baseline_registry
+from parcelcast.plans import pages
+from parcelcast.plans.baselines import line_registry
 from parcelcast.plans.prepare import once, prepare
 from parcelcast.schema import (CATEGORICAL, ERROR_SEGMENTS, ESTIMATE, NUMERIC, TABLE_BOUNDS, TARGET,
                                TOP_ZONES)
 from parcelcast.session import ROW_ID, pin, scratch_path, stage
 from parcelcast.sources import artifacts
 from parcelcast.sources.deliveries import KEYS, ORDER, deliveries, row_hash, table
-from parcelcast.sources.registry import read_registry, write_registry
+from parcelcast.sources.registry import read_registry, update_registry
 
 MONTH = (2024, 2)          # projected month of the scenario queries
 MAX_MODELS = 1000
-BOOST_ROUNDS = 5           # rounds of the boosted models in the registered queries
-PROFILED = ["distancia_km", "nivel_trafico", "lluvia_mm", "pendiente_promedio", "zona_riesgo", ESTIMATE, TARGET]
+MASTER = ["fecha_pedido", "localidad", "estrato", "tipo_via", "tipo_zona", "vehiculo", "distancia_km", "nivel_trafico",
+          "lluvia_mm", "pendiente_promedio", "zona_riesgo", "cliente_ausente", "intentos_entrega", ESTIMATE, TARGET]
+PROFILED = [c for c in MASTER[2:] if c not in ("tipo_via", "tipo_zona", "vehiculo")]
 FILTERS = {"zone": "NATION_1", "road": "Local", "vehicle": "2-HIGH", "max_traffic": 0.7,
            "date_from": "2000-06-01", "date_to": "2001-03-31"}
 
@@ -50,7 +52,7 @@ def _validation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _raw_registry(spark: SparkSession, sf: str) -> DataFrame:
-    return baseline_registry(_train(spark, sf), _validation(spark, sf))
+    return line_registry(_train(spark, sf), _validation(spark, sf))
 
 
 def _registry(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,15 +175,15 @@ def real_vs_estimated_top(spark, sf):
 
 
 def rain_impact(spark, sf):
-    return rounded(order.rain_impact(_validation(spark, sf), ORDER))
+    return rounded(order.rain_levels(_validation(spark, sf)))
 
 
 def error_sample(spark, sf):
-    return rounded(order.error_sample(_validation(spark, sf), ORDER))
+    return rounded(order.error_levels(_validation(spark, sf)))
 
 
 def error_evolution(spark, sf):
-    return rounded(order.error_evolution(_prepared(spark, sf), [*ORDER, ROW_ID], ERROR_SEGMENTS))
+    return rounded(order.error_evolution(_validation(spark, sf), [*ORDER, ROW_ID], ERROR_SEGMENTS))
 
 
 # --- current KPIs ---------------------------------------------------------------------------
@@ -195,7 +197,7 @@ def kpis_filtered(spark, sf):
 
 
 def flashcards(spark, sf):
-    return kpi.flashcards(_validation(spark, sf), _registry(spark, sf), "glm")
+    return kpi.flashcards(_validation(spark, sf), _registry(spark, sf), "ridge on traffic")
 
 
 def by_zone(spark, sf):
@@ -223,12 +225,14 @@ def error_histogram(spark, sf):
 
 
 def road_box(spark, sf):
-    return rounded(kpi.road_box(_prepared(spark, sf)))
+    return rounded(kpi.road_box(_validation(spark, sf)))
 
 
 def profile_nulls(spark, sf):
     rows = _requests(spark, sf)
-    return profile.profile_nulls(rows, [c for c in rows.columns if c not in KEYS])
+    given = profile.profile_nulls(rows, [c for c in rows.columns if c not in KEYS])
+    master = profile.profile_nulls(deliveries(spark, sf), MASTER)
+    return given.withColumn("source", F.lit("requests")).unionByName(master.withColumn("source", F.lit("deliveries")))
 
 
 def profile_describe(spark, sf):
@@ -247,7 +251,7 @@ def payload_json(spark, sf):
 
 def registry_load(spark, sf):
     path = scratch_path(spark, "registry")
-    write_registry(_raw_registry(spark, sf), path)
+    update_registry(spark, path, _raw_registry(spark, sf).orderBy("ord"))
     loaded = reg.load_registry(read_registry(spark, path))
     return rounded(loaded.drop("ord"))
 
@@ -261,10 +265,10 @@ def normalize_model_name(spark, sf):
 
 def registry_upsert(spark, sf):
     raw = _raw_registry(spark, sf).drop("ord")
-    fresh = raw.where(F.col("model_name").startswith("XGBoost")).withColumn("RMSE", F.col("RMSE") * 2.0)
+    fresh = raw.where(F.col("model_name") == "Ridge on rain").withColumn("RMSE", F.col("RMSE") * 2.0)
     swapped = reg.registry_upsert(raw, fresh)
-    glm = raw.where(F.col("model_name") == "GLM (Gamma, log-link) 5-LOW").withColumn("MAE", F.lit(0.0))
-    return rounded(reg.registry_upsert(swapped, glm, contains="GLM"))
+    traffic = raw.where(F.col("model_name") == "Ridge on traffic").withColumn("MAE", F.lit(0.0))
+    return rounded(reg.registry_upsert(swapped, traffic, contains="on traffic"))
 
 
 def best_model(spark, sf):
@@ -337,7 +341,8 @@ def _pool(spark, sf) -> DataFrame:
 
 
 def _projection(spark, sf, **options) -> scenario.Projection:
-    return scenario.project_month(_pool(spark, sf), *MONTH, **options)
+    """The month by the closed formula, which SQL can repeat; ``scenario_with_model`` projects with a trained model."""
+    return scenario.project_month(_pool(spark, sf), *MONTH, predictor=scenario.formula_predictor, **options)
 
 
 def _profile(spark, sf) -> DataFrame:
@@ -368,12 +373,20 @@ def scenario_daily_full(spark, sf):
     return rounded(_projection(spark, sf, mode="full").daily)
 
 
+def scenario_daily_sample(spark, sf):
+    return rounded(_projection(spark, sf, mode="sample").daily)
+
+
 def scenario_summary(spark, sf):
     return rounded(scenario.scenario_summary(_projection(spark, sf)))
 
 
 def zone_risk(spark, sf):
-    return rounded(scenario.zone_risk(_pool(spark, sf), *MONTH))
+    return rounded(scenario.zone_risk(_pool(spark, sf), *MONTH, predictor=scenario.formula_predictor))
+
+
+def zone_risk_sample(spark, sf):
+    return rounded(scenario.zone_risk(_pool(spark, sf), *MONTH, predictor=scenario.formula_predictor, mode="sample"))
 
 
 def traffic_risk_points(spark, sf):
@@ -384,6 +397,10 @@ def eta_distribution(spark, sf):
     return rounded(scenario.eta_distribution(_projection(spark, sf)))
 
 
+def eta_points_sample(spark, sf):
+    return rounded(scenario.eta_points(_projection(spark, sf, mode="sample")))
+
+
 def historical_vs_predicted(spark, sf):
     return rounded(scenario.historical_vs_predicted(_projection(spark, sf)))
 
@@ -392,6 +409,12 @@ def kpis_future(spark, sf):
     return rounded(scenario.kpis_future(_projection(spark, sf), _registry(spark, sf)))
 
 
+def monthly_payload(spark, sf):
+    page = pages.future_page(_pool(spark, sf), _registry(spark, sf), scenario.formula_predictor, month="2024-02")
+    rounded_page = {k: rounded(v) for k, v in page.items()}
+    return pages.monthly_payload(rounded_page).select(F.to_json(F.struct("*")).alias("payload"))
+
+
 # --- models ---------------------------------------------------------------------------------
 
 def ridge1d(spark, sf):
@@ -408,55 +431,72 @@ def train_glm(spark, sf):
     return rounded(models.coefficients(models.fit_family("glm", train, ORDER)))
 
 
+def _trained(spark, sf) -> tuple[dict, DataFrame, str, str]:
+    """All families with their full numbers of rounds, fitted once per application, saved and registered."""
+    def build():
+        fitted, status, rows = models.train_all(_train(spark, sf), _validation(spark, sf), ORDER)
+        root, registry = scratch_path(spark, "models"), scratch_path(spark, "registry")
+        models.save_models(fitted, root)
+        update_registry(spark, registry, rows.select("model_name", *[F.col(m).alias(m.upper()) for m in ("mae", "mse", "rmse", "mape")],
+                                                     "n_train", "n_validation"))
+        return fitted, status, root, registry
+
+    return once(spark, ("trained", sf), build)
+
+
+def _trained_registry(spark, sf) -> DataFrame:
+    return reg.load_registry(read_registry(spark, _trained(spark, sf)[3]))
+
+
 def _boosted(family, spark, sf):
-    train, validation = _train(spark, sf), _validation(spark, sf)
-    fitted = models.fit_family(family, train, ORDER, BOOST_ROUNDS)
-    return rounded(models.evaluate(fitted, train.count(), validation))
+    return rounded(_trained_registry(spark, sf).where(F.col("model_name") == family).drop("ord"))
 
 
 def feature_importance(spark, sf):
-    train = _train(spark, sf)
-    return rounded(models.feature_importance(models.fit_family("xgboost", train, ORDER, BOOST_ROUNDS)))
+    fitted = _trained(spark, sf)[0]
+    found = [models.feature_importance(fitted[f]).withColumn("model_name", F.lit(f)) for f in ("histgb", "xgboost")]
+    return rounded(found[0].unionByName(found[1]))
 
 
 def train_all(spark, sf):
-    train, validation = _train(spark, sf), _validation(spark, sf)
-    _, status, registry = models.train_all(train, validation, ORDER, BOOST_ROUNDS)
-    loaded = reg.load_registry(registry.withColumn("ord", F.monotonically_increasing_id())).drop("ord")
-    return rounded(status.join(loaded, "model_name", "left"))
+    return rounded(_trained(spark, sf)[1].join(_trained_registry(spark, sf).drop("ord"), "model_name", "left"))
+
 
+def _saved_linear(spark, sf) -> tuple[str, DataFrame]:
+    """The closed-form ridge on all features, saved, and its registry row."""
+    def build():
+        train, validation = _train(spark, sf), _validation(spark, sf)
+        root = scratch_path(spark, "models")
+        fitted = {"linear": models.fit_family("linear", train, ORDER)}
+        models.save_models(fitted, root)
+        row = models.evaluate(fitted["linear"], train.count(), validation).withColumn("ord", F.lit(0))
+        return root, pin(reg.load_registry(row), MAX_MODELS)
 
-def _saved_linear(spark, sf) -> tuple[str, DataFrame, DataFrame]:
-    train, validation = _train(spark, sf), _validation(spark, sf)
-    root = scratch_path(spark, "models")
-    fitted = {"linear": models.fit_family("linear", train, ORDER)}
-    models.save_models(fitted, root)
-    return root, reg.load_registry(models.evaluate(fitted["linear"], train.count(), validation)
-                                   .withColumn("ord", F.lit(0))), validation
+    return once(spark, ("ridge", sf), build)
 
 
 def batch_score(spark, sf):
-    root, registry, _ = _saved_linear(spark, sf)
+    root, registry = _saved_linear(spark, sf)
     available = [f for f in ("linear", "glm", "histgb", "xgboost") if models.is_saved(spark, root, f)]
     fitted = models.load_model(root, models.choose_model("xgboost", available))
-    good = requests.accepted(requests.validate_requests(_requests(spark, sf)))
-    scored = models.batch_score(good, fitted.family, fitted.predict, registry, KEYS)
+    checked = requests.validate_requests(_requests(spark, sf))
+    scored = models.batch_score(checked, fitted.family, fitted.predict, registry, KEYS)
     return rounded(scored.withColumn("input_features", F.to_json("input_features")))
 
 
 def batch_score_formula(spark, sf):
-    good = requests.accepted(requests.validate_requests(_requests(spark, sf)))
-    scored = models.batch_score(good, "linear", scenario.formula_predictor, _registry(spark, sf), KEYS)
+    checked = requests.validate_requests(_requests(spark, sf))
+    scored = models.batch_score(checked, "linear", scenario.formula_predictor, _registry(spark, sf), KEYS)
     return rounded(scored.drop("input_features"))
 
 
 def model_availability(spark, sf):
-    root, registry, _ = _saved_linear(spark, sf)
+    root, registry = _saved_linear(spark, sf)
     return models.model_availability(spark, root, registry)
 
 
 def scenario_with_model(spark, sf):
-    fitted = models.fit_family("linear", _train(spark, sf), ORDER)
+    fitted = models.load_model(_saved_linear(spark, sf)[0], "linear")
     return rounded(scenario.project_month(_pool(spark, sf), *MONTH, predictor=fitted.predict).daily)
 
 
@@ -470,6 +510,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     registry_load, normalize_model_name, registry_upsert, best_model, model_comparison, kpis_confidence,
     scaler_stats, scale_numeric, one_hot, ordinal_encode, bind_features_target, write_feature_sets,
     weekday_factor, demand_base, demand_base_calendar, daily_demand, scenario_daily, scenario_daily_full,
+    scenario_daily_sample, zone_risk_sample, eta_points_sample, monthly_payload,
     scenario_summary, zone_risk, traffic_risk_points, eta_distribution, historical_vs_predicted, kpis_future,
     ridge1d, train_ridge, train_glm, feature_importance, train_all, batch_score, batch_score_formula,
     model_availability, scenario_with_model)}

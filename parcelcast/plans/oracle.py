@@ -54,36 +54,28 @@ requests as (
 """
 
 REGISTRY = """
-sums as (
-  select count(*) as n, avg(distancia_km) as mx, avg(tiempo_real_min) as my,
-    covar_pop(tiempo_real_min, distancia_km) * count(*) as sxy, var_pop(distancia_km) * count(*) as sxx
+moments as (
+  select count(*) as n, avg(tiempo_real_min) as my, avg(distancia_km) as md, covar_pop(tiempo_real_min, distancia_km) * count(*) / (var_pop(distancia_km) * count(*) + 1e0) as wd,
+    avg(nivel_trafico) as mt, covar_pop(tiempo_real_min, nivel_trafico) * count(*) / (var_pop(nivel_trafico) * count(*) + 1e0) as wt,
+    avg(lluvia_mm) as mr, covar_pop(tiempo_real_min, lluvia_mm) * count(*) / (var_pop(lluvia_mm) * count(*) + 1e0) as wr,
+    avg(tiempo_estimado_min) as me, covar_pop(tiempo_real_min, tiempo_estimado_min) * count(*) / (var_pop(tiempo_estimado_min) * count(*) + 1e0) as we
   from train),
-roads as (select tipo_via, avg(tiempo_real_min) as p from train group by 1),
-traffics as (select floor(nivel_trafico * 10e0) as b, avg(tiempo_real_min) as p from train group by 1),
-rains as (
-  select floor(lluvia_mm) as b, sum(tiempo_real_min - my) / (count(*) + 1e0) + any_value(my) as p
-  from train, sums group by 1),
-predicted as (
-  select vehiculo, tiempo_real_min as y, my + (distancia_km - mx) * sxy / (sxx + 1e0) as p0,
-    coalesce(roads.p, my) as p1, coalesce(traffics.p, my) as p2, coalesce(rains.p, my) as p3, n
-  from validation v cross join sums left join roads on v.tipo_via = roads.tipo_via
-  left join traffics on floor(v.nivel_trafico * 10e0) = traffics.b left join rains on floor(v.lluvia_mm) = rains.b),
 tall as (
-  select 0 as m, vehiculo, y, p0 as p, n from predicted union all select 1, vehiculo, y, p1, n from predicted
-  union all select 2, vehiculo, y, p2, n from predicted union all select 3, vehiculo, y, p3, n from predicted),
+  select 0 as m, tiempo_real_min as y, my + (distancia_km - md) * wd as p, n from validation cross join moments
+  union all select 1 as m, tiempo_real_min as y, my + (nivel_trafico - mt) * wt as p, n from validation cross join moments
+  union all select 2 as m, tiempo_real_min as y, my + (lluvia_mm - mr) * wr as p, n from validation cross join moments
+  union all select 3 as m, tiempo_real_min as y, my + (tiempo_estimado_min - me) * we as p, n from validation cross join moments),
 raw_registry as (
-  select m || ' ' || vehiculo as ord,
-    case m when 0 then 'Linear Regression' when 1 then 'GLM (Gamma, log-link)' when 2 then 'HistGradientBoosting'
-      else 'XGBoost' end || ' ' || vehiculo as model_name,
+  select m::bigint as ord, case m when 0 then 'Linear Regression on distance' when 1 then 'Ridge on traffic'
+      when 2 then 'Ridge on rain' else 'Ridge on estimate' end as model_name,
     avg(abs(y - p)) as mae, avg((y - p) * (y - p)) as mse, sqrt(avg((y - p) * (y - p))) as rmse,
     avg(abs(y - p) / greatest(abs(y), 2.220446049250313e-16)) as mape, any_value(n) as n_train,
     count(*) as n_validation
-  from tall group by m, vehiculo),
+  from tall group by m),
 registry as (
-  select case m when 0 then 'linear' when 1 then 'glm' when 2 then 'histgb' else 'xgboost' end as model_name,
-    first_ord as ord, r.mae, r.mse, r.rmse, r.mape, r.n_train, r.n_validation
-  from (select cast(substr(ord, 1, 1) as integer) as m, min(ord) as first_ord, max(ord) as last_ord
-        from raw_registry group by 1) k join raw_registry r on r.ord = k.last_ord)
+  select case m when 0 then 'linear' when 1 then 'ridge on traffic' when 2 then 'ridge on rain' else 'ridge on estimate' end as model_name,
+    ord, mae, mse, rmse, mape, n_train, n_validation
+  from (select ord as m, * from raw_registry))
 """
 
 DEMAND = """
@@ -105,7 +97,7 @@ days as (
   select *, cast(least(greatest(demand_predicted // 20, 10), 28) as integer) as sample_rows from demand)
 """
 
-SCENARIO_ROWS = """
+SAMPLED_ROWS = """
 features as (
   select row_hash, pos, dia_semana, localidad, tipo_via,
     case when nivel_trafico = 0 then 2e0 else nivel_trafico end as nivel_trafico,
@@ -127,6 +119,11 @@ daily as (
   from scored group by day)
 """
 
+SCENARIO_ROWS = SAMPLED_ROWS[:SAMPLED_ROWS.index("ranked as")] + """
+scored as (
+  select d.day, d.demand_predicted, f.nivel_trafico, f.eta from days d join features f on f.dia_semana = d.dow),
+""" + SAMPLED_ROWS[SAMPLED_ROWS.index("daily as"):]
+
 
 def _with(*parts: str, body: str) -> str:
     return "with " + ",".join(p.strip() for p in parts) + "\n" + body.strip()
@@ -144,8 +141,8 @@ def _r(body: str) -> str:
     return _with(DELIVERIES, REGISTRY, body=body)
 
 
-def _s(body: str, registry: bool = False) -> str:
-    parts = [DELIVERIES, DEMAND, SCENARIO_ROWS] + ([REGISTRY] if registry else [])
+def _s(body: str, registry: bool = False, rows: str = SCENARIO_ROWS) -> str:
+    parts = [DELIVERIES, DEMAND, rows] + ([REGISTRY] if registry else [])
     return _with(*parts, body=body)
 
 
@@ -217,8 +214,8 @@ def _ordinal() -> str:
 
 
 def _describe() -> str:
-    columns = ["distancia_km", "nivel_trafico", "lluvia_mm", "pendiente_promedio", "zona_riesgo",
-               "tiempo_estimado_min", "tiempo_real_min"]
+    columns = ["estrato", "distancia_km", "nivel_trafico", "lluvia_mm", "pendiente_promedio", "zona_riesgo",
+               "cliente_ausente", "intentos_entrega", "tiempo_estimado_min", "tiempo_real_min"]
     return _d(" union all ".join(
         f"select '{c}' as \"column\", count({c}) as count, round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std, "
         f"round(min({c}), 6) as min, round(quantile_cont({c}, 0.25), 6) as q25, round(quantile_cont({c}, 0.5), 6) as q50, "
@@ -228,8 +225,13 @@ def _describe() -> str:
 def _nulls() -> str:
     kinds = {"localidad": "string", "distancia_km": "double", "nivel_trafico": "double", "lluvia_mm": "double",
              "estrato": "int", "tipo_via": "string", "tiempo_estimado_min": "double"}
-    return _q(" union all ".join(f"select '{c}' as \"column\", '{k}' as type, count(*) filter ({c} is null) as nulls "
-                                 f"from requests" for c, k in kinds.items()))
+    master = {"fecha_pedido": "timestamp_ntz", "localidad": "string", "estrato": "int", "tipo_via": "string", "tipo_zona": "string",
+              "vehiculo": "string", "distancia_km": "double", "nivel_trafico": "double", "lluvia_mm": "double",
+              "pendiente_promedio": "double", "zona_riesgo": "double", "cliente_ausente": "int", "intentos_entrega": "int",
+              "tiempo_estimado_min": "double", "tiempo_real_min": "double"}
+    return _with(DELIVERIES, REQUESTS, body=" union all ".join(
+        f"select '{c}' as \"column\", '{k}' as type, count(*) filter ({c} is null) as nulls, '{source}' as source from {source}"
+        for source, columns in (("requests", kinds), ("deliveries", master)) for c, k in columns.items()))
 
 
 def _feature_sets() -> str:
@@ -272,7 +274,7 @@ def _zones() -> str:
                       from features f join top using (localidad)),
       zone_slots as (select localidad, n, unnest(generate_series(0, least(greatest(n // 40, 8), 24) - 1)) as i from top)
       select z.localidad, round(avg(case when r.eta > 60 then 100e0 else 0e0 end), 6) as riesgo, round(avg(r.eta), 6) as eta
-      from zone_slots z join zone_ranked r on r.localidad = z.localidad and r.zrank = z.i % z.n group by 1""")
+      from zone_slots z join zone_ranked r on r.localidad = z.localidad and r.zrank = z.i % z.n group by 1""", rows=SAMPLED_ROWS)
 
 
 ORACLE: dict[str, str] = {
@@ -326,18 +328,16 @@ ORACLE: dict[str, str] = {
           round(tiempo_real_min, 6) as real, round(tiempo_estimado_min, 6) as estimado
         from validation qualify row_number() over (order by tiempo_estimado_min, {ORDER}) <= 20"""),
     "rain_impact": _d("""
-        select cast(row_number() over (order by pos) as integer) as x, round(lluvia_mm, 6) as lluvia,
-          round(tiempo_real_min, 6) as eta
-        from validation where lluvia_mm is not null and tiempo_real_min is not null
-        qualify row_number() over (order by pos) <= 50"""),
+        select round(lluvia_mm, 6) as lluvia, round(avg(tiempo_real_min), 6) as eta, count(*) as n
+        from validation where lluvia_mm is not null and tiempo_real_min is not null group by lluvia_mm"""),
     "error_sample": _d("""
-        select cast(row_number() over (order by pos) as integer) as x,
-          round(tiempo_real_min - tiempo_estimado_min, 6) as error
-        from validation qualify row_number() over (order by pos) <= 200"""),
+        select floor((tiempo_real_min - tiempo_estimado_min) / 0.5e0) * 0.5e0 as error, count(*) as n
+        from validation where tiempo_real_min - tiempo_estimado_min is not null group by 1"""),
     "error_evolution": _d("""
-        select cast(pos // greatest(1, total // 10) as integer) as segment,
+        select cast(p // greatest(1, t // 10) as integer) as segment,
           round(avg(abs(tiempo_real_min - tiempo_estimado_min)), 6) as mean_abs_error
-        from dated where pos // greatest(1, total // 10) < 10 group by 1"""),
+        from (select *, row_number() over (order by pos) - 1 as p, count(*) over () as t from validation)
+        where p // greatest(1, t // 10) < 10 group by 1"""),
     "kpis_actual": _r(f"""
         select 'linear' as model_name, k.*, round(coalesce(mae, 0e0), 6) as mae, round(coalesce(rmse, 0e0), 6) as rmse,
           round(coalesce(mape, 0e0), 6) as mape
@@ -349,10 +349,10 @@ ORACLE: dict[str, str] = {
         union all select 2, 'ETA Máximo', round(max(tiempo_real_min), 2), 'min', null from validation
         union all select 3, 'ETA Mínimo', round(min(tiempo_real_min), 2), 'min', null from validation
         union all select 4, 'Desviación Estándar', round(stddev_pop(tiempo_real_min), 2), 'min', null from validation
-        union all select 5, 'Error Promedio (MAE)', round(mae, 2), 'min', 'down' from registry where model_name = 'glm'
-        union all select 6, 'RMSE', round(rmse, 2), 'min', 'down' from registry where model_name = 'glm'
-        union all select 7, 'Error Porcentual (MAPE)', round(mape * 100, 2), '%', 'down' from registry where model_name = 'glm'
-        union all select 8, 'Registros Validación', n_validation::double, 'registros', null from registry where model_name = 'glm'"""),
+        union all select 5, 'Error Promedio (MAE)', round(mae, 2), 'min', 'down' from registry where model_name = 'ridge on traffic'
+        union all select 6, 'RMSE', round(rmse, 2), 'min', 'down' from registry where model_name = 'ridge on traffic'
+        union all select 7, 'Error Porcentual (MAPE)', round(mape * 100, 2), '%', 'down' from registry where model_name = 'ridge on traffic'
+        union all select 8, 'Registros Validación', n_validation::double, 'registros', null from registry where model_name = 'ridge on traffic'"""),
     "by_zone": _d(_group_mean("localidad")),
     "by_road": _d(_group_mean("tipo_via")),
     "traffic_impact": _d("select round(nivel_trafico, 6) as nivel_trafico, mean, count from ("
@@ -369,7 +369,7 @@ ORACLE: dict[str, str] = {
         select tipo_via, round(min(tiempo_real_min), 6) as low, round(quantile_cont(tiempo_real_min, 0.25), 6) as q1,
           round(quantile_cont(tiempo_real_min, 0.5), 6) as med, round(quantile_cont(tiempo_real_min, 0.75), 6) as q3,
           round(max(tiempo_real_min), 6) as high
-        from deliveries group by 1"""),
+        from validation group by 1"""),
     "profile_nulls": _nulls(),
     "profile_describe": _describe(),
     "regression_metrics": _d("""
@@ -387,12 +387,12 @@ ORACLE: dict[str, str] = {
                 when 3 then 'XGBoost-' else 'Other ' end || p_name) as n from part)""",
     "registry_upsert": _r("""
         select model_name, round(MAE, 6) as "MAE", round(MSE, 6) as "MSE",
-          round(case when model_name like 'XGBoost%' then rmse * 2e0 else rmse end, 6) as "RMSE", round(mape, 6) as "MAPE",
+          round(case when model_name = 'Ridge on rain' then rmse * 2e0 else rmse end, 6) as "RMSE", round(mape, 6) as "MAPE",
           n_train, n_validation
-        from raw_registry where model_name not like '%GLM%'
+        from raw_registry where model_name <> 'Ridge on traffic'
         union all
         select model_name, 0e0, round(mse, 6), round(rmse, 6), round(mape, 6), n_train, n_validation
-        from raw_registry where model_name = 'GLM (Gamma, log-link) 5-LOW'"""),
+        from raw_registry where model_name = 'Ridge on traffic'"""),
     "best_model": _r("select model_name as best_model, round(rmse, 6) as best_rmse from registry order by rmse, ord limit 1"),
     "model_comparison": _r(f"""
         select model_name, {_METRIC_COLUMNS}, cast(row_number() over (order by registry.rmse, ord) as integer) as rank from registry"""),
@@ -432,10 +432,17 @@ ORACLE: dict[str, str] = {
           round(avg(otif_expected), 6) as otif_expected, round(avg(delays_expected), 6) as delays_expected,
           sum(demand_predicted)::bigint as demand_month_predicted, round(avg(demand_predicted), 6) as demand_daily_predicted_mean
         from daily"""),
-    "zone_risk": _zones(),
+    "zone_risk_sample": _zones(),
+    "zone_risk": _s("""
+        , top as (select localidad, count(*) as n from validation group by 1 order by n desc, localidad limit 6)
+        select f.localidad, round(avg(case when f.eta > 60 then 100e0 else 0e0 end), 6) as riesgo, round(avg(f.eta), 6) as eta
+        from features f join top using (localidad) group by 1"""),
+    "scenario_daily_sample": _s("select day, " + _round("eta_expected", "otif_expected", "delays_expected")
+                                + ", demand_predicted, " + _round("traffic_expected", "risk_delay") + " from daily", rows=SAMPLED_ROWS),
     "traffic_risk_points": _s("""
         select day, round(traffic_expected, 6) as traffic, round(risk_delay, 6) as risk, demand_predicted as demand from daily"""),
-    "eta_distribution": _s("select day, i, round(eta, 6) as eta from scored"),
+    "eta_distribution": _s("select floor(eta)::bigint as eta, count(*) as n from scored group by 1"),
+    "eta_points_sample": _s("select day, i, round(eta, 6) as eta from scored", rows=SAMPLED_ROWS),
     "historical_vs_predicted": _s("""
         select 1 as position, 'Demanda diaria' as metric,
           (select round_even(count(*)::double / greatest(count(distinct dia), 1), 0) from validation) as historical,
@@ -454,11 +461,12 @@ ORACLE: dict[str, str] = {
         from daily""", registry=True),
     "batch_score_formula": _with(DELIVERIES, REGISTRY, REQUESTS, body=f"""
         select {KEYS}, 'linear' as model_name,
-          round(greatest(0.1e0, least(180e0, greatest(8e0, 20e0 + distancia_km * 2.5e0 + nivel_trafico * 30e0
-            + coalesce(lluvia_mm, 0e0) * 1.8e0 + 0.5e0 * 0.7e0 + case when tipo_via = 'Local' then 9e0 else 0e0 end))), 6) as prediction,
+          round(case when v = '' then greatest(0.1e0, least(180e0, greatest(8e0, 20e0 + distancia_km * 2.5e0 + nivel_trafico * 30e0
+            + coalesce(lluvia_mm, 0e0) * 1.8e0 + 0.5e0 * 0.7e0 + case when tipo_via = 'Local' then 9e0 else 0e0 end))) end, 6) as prediction,
           'tiempo_real_min' as target_variable,
-          (select round(rmse, 6) from registry where model_name = 'linear') as rmse_validation, 'success' as status
-        from requests where {_REQUEST_RULES} = ''"""),
+          (select round(rmse, 6) from registry where model_name = 'linear') as rmse_validation,
+          case when v = '' then 'success' else 'rejected' end as status, v as violations
+        from (select *, {_REQUEST_RULES} as v from requests)"""),
     "ridge1d": _d("""
         select round(w, 6) as w, round(my - w * mx, 6) as intercept, n
         from (select covar_pop(tiempo_real_min, distancia_km) * count(*) / (var_pop(distancia_km) * count(*) + 1e0) as w,

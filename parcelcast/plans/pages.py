@@ -22,13 +22,16 @@ def actual_page(validation: DataFrame, registry: DataFrame, order_by: Sequence[s
         "por_via": kpi.by_road(rows),
         "evolucion_temporal": order.real_vs_estimated_top(rows, order_by),
         "trafico_impacto": kpi.traffic_impact(rows),
-        "lluvia_impacto": order.rain_impact(rows, order_by),
+        "lluvia_impacto": order.rain_levels(rows),
     }
 
 
-def future_page(validation: DataFrame, registry: DataFrame, model: str = DEFAULT_MODEL,
-                month: str | None = None, today: dt.date | None = None, **options) -> dict[str, DataFrame]:
+def future_page(validation: DataFrame, registry: DataFrame, predictor: scenario.Predictor | dict[str, scenario.Predictor],
+                model: str = DEFAULT_MODEL, month: str | None = None, today: dt.date | None = None,
+                **options) -> dict[str, DataFrame]:
+    """``predictor`` adds predictions, or names one for each model, of which ``model`` picks its own."""
     year, number, _ = target_month(month, today)
+    options["predictor"] = predictor[model] if isinstance(predictor, dict) else predictor
     projection = scenario.project_month(validation, year, number, **options)
     return {
         "kpis": scenario.kpis_future(projection, registry, model),
@@ -48,7 +51,7 @@ def confidence_page(validation: DataFrame, registry: DataFrame, order_by: Sequen
         "modelos_metricas": reg.model_comparison(registry),
         "mejor_modelo": reg.best_model(registry),
         "evolucion_error": order.error_evolution(validation, order_by),
-        "distribucion_error": order.error_sample(validation, order_by),
+        "distribucion_error": order.error_levels(validation),
         "histograma_error": kpi.error_histogram(validation),
     }
 
@@ -56,8 +59,7 @@ def confidence_page(validation: DataFrame, registry: DataFrame, order_by: Sequen
 def monthly_payload(page: dict[str, DataFrame]) -> DataFrame:
     """The projected month as one nested record.
 
-    Gathering is safe here: every part has at most 31 days, a few zones, or 28 samples per day
-    (with ``mode='full'`` leave 'distribucion_eta' out, as it has a row per scored delivery).
+    Gathering is safe here: every part has at most 31 days, a few zones, or the whole minutes of a prediction.
     """
     nested = page["summary"].select(F.struct("*").alias("summary"))
     for name in ("daily", "riesgo_por_localidad", "trafico_vs_riesgo", "historico_vs_predicho",

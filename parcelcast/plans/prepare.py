@@ -10,7 +10,7 @@ from parcelcast.operators.encode import with_features
 from parcelcast.operators.order import temporal_cut, temporal_split
 from parcelcast.session import ROW_ID, scratch_path, stage
 
-_SHARED: dict[tuple, DataFrame] = {}
+_SHARED: dict[tuple, object] = {}
 
 
 def prepare(rows: DataFrame, order: Sequence[str], path: str | None = None) -> DataFrame:
@@ -28,8 +28,8 @@ def prepare(rows: DataFrame, order: Sequence[str], path: str | None = None) -> D
     return spark.read.schema(labelled.schema).parquet(path)
 
 
-def once(spark: SparkSession, name: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table that pages share: built by the first caller of this application, then reused."""
+def once(spark: SparkSession, name: tuple, build: Callable[[], object]):
+    """What pages share (a table, trained models): built by the first caller of this application, then reused."""
     key = (spark.sparkContext.applicationId, *name)
     if key not in _SHARED:
         _SHARED[key] = build()

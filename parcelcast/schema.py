@@ -111,7 +111,7 @@ SCENARIO_DEFAULTS = {
 # Accepted ranges (field, low, low is inclusive, high, high is inclusive).
 REQUEST_BOUNDS = [
     ("distancia_km", 0.1, False, 50.0, False),
-    ("nivel_trafico", 1.0, True, 5.0, True),
+    ("nivel_trafico", 1.0, True, 5.0, True, "integer"),
     ("lluvia_mm", 0.0, True, 100.0, True),
     ("estrato", 1.0, True, 6.0, True),
     ("tiempo_estimado_min", 0.0, False, 500.0, False),

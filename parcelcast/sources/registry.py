@@ -1,4 +1,8 @@
-"""Metrics registry on disk: one small CSV, a row per model, in order of registration."""
+"""Metrics registry on disk: one small CSV, a row per model, in order of registration.
+
+Every update writes a whole new ``version=`` folder beside the older ones, which readers see once the job commits; a
+failed update leaves the last version in force. A folder with plain CSV files is read as it is.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +19,8 @@ MAX_MODELS = 10_000
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """Registry rows with ``ord``, their position in the file."""
     rows = spark.read.schema(REGISTRY).option("header", True).csv(path)
+    if "version" in rows.columns:
+        rows = rows.where(F.col("version") == rows.agg(F.max("version")).scalar()).drop("version")
     return rows.withColumn("ord", F.monotonically_increasing_id())
 
 
@@ -26,11 +32,24 @@ def write_registry(rows: DataFrame, path: str) -> None:
 
 def update_registry(spark: SparkSession, path: str, new: DataFrame, contains: str | None = None) -> DataFrame:
     """Replace or append model rows in the registry file, which need not exist yet."""
-    fresh = new.withColumn("ord", F.lit(2 ** 62) + F.monotonically_increasing_id())
-    try:
-        merged = registry_upsert(read_registry(spark, path), fresh.select(*REGISTRY.names, "ord"), contains)
-    except AnalysisException:
-        merged = fresh
-    merged = pin(merged, MAX_MODELS)      # read completely before the file is replaced
-    write_registry(merged, path)
+    fresh = new.withColumn("ord", F.lit(2 ** 62) + F.monotonically_increasing_id()).select(*REGISTRY.names, "ord")
+    version, merged = 0, fresh
+    if _exists(spark, path):
+        files = spark.read.schema(REGISTRY).option("header", True).csv(path)
+        if "version" in files.columns:
+            version = files.agg(F.max("version")).first()[0] + 1
+        elif files.limit(1).count():
+            raise ValueError(f"{path} holds a plain CSV; import it with write_registry into a folder of its own")
+        merged = registry_upsert(read_registry(spark, path), fresh, contains)
+    write_registry(pin(merged, MAX_MODELS), f"{path.rstrip('/')}/version={version}")
     return read_registry(spark, path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.text(path).schema
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True

@@ -105,10 +105,12 @@ def test_stand_ins():
 @pytest.mark.parametrize("family", ["linear", "xgboost"])
 def test_batch_scoring(spark, sf, trained, family):
     registry = reg.load_registry(trained[2].withColumn("ord", F.monotonically_increasing_id()))
-    good = accepted(validate_requests(_requests(spark, sf)))
-    scored = models.batch_score(good, family, trained[0][family].predict, registry, KEYS)
-    assert scored.count() == good.count() > 0
-    assert scored.where("prediction < 0.1 or prediction is null").count() == 0
-    assert scored.select("input_features.localidad", "input_features.lluvia_mm").count() == good.count()
+    checked = validate_requests(_requests(spark, sf))
+    good = accepted(checked).count()
+    scored = models.batch_score(checked, family, trained[0][family].predict, registry, KEYS)
+    assert scored.count() == checked.count() > good > 0
+    assert scored.where("status = 'success' and prediction >= 0.1 and violations = ''").count() == good
+    assert scored.where("status = 'rejected' and prediction is null and violations <> ''").count() == checked.count() - good
+    assert scored.select("input_features.localidad", "input_features.lluvia_mm").count() == checked.count()
     rmse = {r["model_name"]: r["rmse"] for r in registry.collect()}[family]
     assert scored.select("rmse_validation").distinct().collect() == [(rmse,)]

@@ -160,3 +160,42 @@ def test_cut_does_not_depend_on_the_session_zone(spark, kind):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         df.unpersist()
     assert got == expected and len(got) == 72
+
+
+def test_values_that_are_not_finite(spark):
+    odd = F.when(F.col("id") == 5, float("inf")).when(F.col("id") == 6, float("-inf")).when(F.col("id") == 7, float("nan"))
+    df = spark.range(30_000).select(odd.when(F.col("id") == 8, None).otherwise(F.col("id") * 1.5).alias("x"))
+    got = exact_quantiles(df, ["x"], [0.0, 0.5, 1.0])[("x",)]
+    rest = sorted([i * 1.5 for i in range(30_000) if i not in (5, 6, 7, 8)] + [float("inf"), float("-inf")])
+    assert got[0.0] == float("-inf") and got[1.0] == float("inf")
+    assert got[0.5] == (rest[len(rest) // 2 - 1] + rest[len(rest) // 2]) / 2
+
+
+@pytest.mark.parametrize("fine_rows", [20_000, 5])
+@pytest.mark.parametrize("timed, key", [("true", "if(id % 3 = 0, null, id % 7)"), ("id % 10 > 3", "if(id % 3 = 0, double('nan'), double('inf'))")])
+def test_missing_keys_split_exactly(spark, fine_rows, timed, key):
+    rows = spark.range(100).selectExpr(f"if({timed}, timestamp'2024-01-01', null) as t", f"{key} as k", "id as row_id")
+    cut = order.temporal_cut(rows, ["t", "k", "row_id"], fine_rows=fine_rows)
+    counts = {r["split"]: r["count"] for r in order.temporal_split(rows, cut).groupBy("split").count().collect()}
+    assert counts == {"train": 80, "validation": 20}
+    assert (cut.before(rows).count(), cut.after(rows).count()) == (80, 20)
+
+
+def test_closer_passes_use_hash_aggregates(spark):
+    df = spark.range(50_000).selectExpr("double(id * id % 99991) as x")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    plans = []
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        collect = type(df).collect
+
+        def kept(self):
+            plans.append(self._jdf.queryExecution().executedPlan().toString())
+            return collect(self)
+
+        type(df).collect = kept
+        exact_quantiles(df, ["x"], [0.5])
+    finally:
+        type(df).collect = collect
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(plans) > 1 and not any("SortAggregate" in p for p in plans)

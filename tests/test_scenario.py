@@ -45,6 +45,7 @@ def expected_days(rows, year, month):
     return out
 
 
+FORMULA = sc.formula_predictor
 MONDAYS = [dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 8)]
 WEEK = [dt.datetime(2024, 1, d) for d in range(1, 8)]
 
@@ -53,7 +54,7 @@ WEEK = [dt.datetime(2024, 1, d) for d in range(1, 8)]
     (3000, WEEK, (2024, 2)), (700, WEEK, (2023, 12)), (40, WEEK, (2024, 2)), (6, MONDAYS, (2025, 2)), (9000, MONDAYS, (2024, 7))])
 def test_daily_projection(spark, n, days, month):
     df, rows = pool(spark, n, days)
-    got = {r["day"]: tuple(r)[1:] for r in sc.project_month(df, *month).daily.collect()}
+    got = {r["day"]: tuple(r)[1:] for r in sc.project_month(df, *month, FORMULA, mode="sample").daily.collect()}
     want = expected_days(rows, *month)
     assert sorted(got) == sorted(want)
     for day, values in want.items():
@@ -69,17 +70,24 @@ def test_rows_with_one_hash_are_still_found(spark):
 
 def test_full_mode_scores_every_row_of_the_weekday(spark):
     df, rows = pool(spark, 210, WEEK)
-    got = sc.project_month(df, 2024, 2, mode="full")
+    got = sc.project_month(df, 2024, 2, FORMULA)
     assert got.scored.count() == 29 * 30
-    only = sc.project_month(pool(spark, 50, MONDAYS)[0], 2024, 2, mode="full")
+    only = sc.project_month(pool(spark, 50, MONDAYS)[0], 2024, 2, FORMULA)
     assert only.scored.groupBy("day").count().select("count").distinct().collect() == [(50,)]
 
 
+def test_copies_of_a_row_are_sampled_alike_every_time(spark):
+    df, _ = pool(spark, 2000, WEEK, same_hash=True)
+    df = df.withColumn("row_id", F.col("id"))
+    first, again = (sc.project_month(d, 2024, 2, FORMULA, mode="sample").daily.orderBy("day").collect() for d in (df, df.repartition(7)))
+    assert first == again
+
+
 def test_zone_risk_covers_the_six_largest(spark):
     df, rows = pool(spark, 950, WEEK)
     sizes = Counter(r[2] for r in rows)
     top = sorted(sizes, key=lambda z: (-sizes[z], z))[:6]
-    got = {r["localidad"]: r for r in sc.zone_risk(df, 2024, 2).collect()}
+    got = {r["localidad"]: r for r in sc.zone_risk(df, 2024, 2, FORMULA, mode="sample").collect()}
     assert sorted(got) == sorted(top)
     for zone in top:
         size = min(max(8, sizes[zone] // 40), 24)
@@ -91,9 +99,9 @@ def test_zone_risk_covers_the_six_largest(spark):
 
 def test_history_falls_back_to_the_estimate(spark):
     df, _ = pool(spark, 300, WEEK)
-    with_target = {r["metric"]: r for r in sc.historical_vs_predicted(sc.project_month(df, 2024, 2)).collect()}
+    with_target = {r["metric"]: r for r in sc.historical_vs_predicted(sc.project_month(df, 2024, 2, FORMULA)).collect()}
     without = {r["metric"]: r for r in
-               sc.historical_vs_predicted(sc.project_month(df.drop("tiempo_real_min"), 2024, 2)).collect()}
+               sc.historical_vs_predicted(sc.project_month(df.drop("tiempo_real_min"), 2024, 2, FORMULA)).collect()}
     assert with_target["Demanda diaria"]["historical"] == 43.0
     assert with_target["ETA promedio (min)"]["historical"] > 60 > 40 > without["ETA promedio (min)"]["historical"]
 
@@ -108,14 +116,16 @@ def test_demand_modes(spark):
 def test_nested_month(spark):
     df, _ = pool(spark, 300, WEEK)
     empty = spark.createDataFrame([], "model_name string, ord long, mae double, rmse double, mape double, n_validation long")
-    page = pages.future_page(df, empty, month="2024-02")
+    page = pages.future_page(df, empty, FORMULA, month="2024-02")
     nested = pages.monthly_payload(page).first()
     assert nested["summary"]["horizon"] == "2024-02" and [d["day"] for d in nested["daily"]] == list(range(1, 30))
-    assert len(nested["distribucion_eta"]) == 290 and len(nested["historico_vs_predicho"]) == 3
+    scored = sc.project_month(df, 2024, 2, FORMULA).scored.count()
+    assert sum(r["n"] for r in nested["distribucion_eta"]) == scored > 29 * 40
+    assert len(nested["historico_vs_predicho"]) == 3
     assert page["kpis"].first()["rmse"] == 0.0
 
 
 def test_nothing_to_project_from(spark):
     df, _ = pool(spark, 3, WEEK)
     with pytest.raises(ValueError):
-        sc.project_month(df.where("id < 0"), 2024, 2)
+        sc.project_month(df.where("id < 0"), 2024, 2, FORMULA)
