@@ -22,6 +22,7 @@ from parcelcast.sources.registry import read_registry, update_registry
 
 MONTH = (2024, 2)          # projected month of the scenario queries
 MAX_MODELS = 1000
+BOOST_TOLERANCE = 1e-3     # boosting of up to 500 and 1000 rounds ends when the held-out error gains less in a round
 MASTER = ["fecha_pedido", "localidad", "estrato", "tipo_via", "tipo_zona", "vehiculo", "distancia_km", "nivel_trafico",
           "lluvia_mm", "pendiente_promedio", "zona_riesgo", "cliente_ausente", "intentos_entrega", ESTIMATE, TARGET]
 PROFILED = [c for c in MASTER[2:] if c not in ("tipo_via", "tipo_zona", "vehiculo")]
@@ -432,9 +433,9 @@ def train_glm(spark, sf):
 
 
 def _trained(spark, sf) -> tuple[dict, DataFrame, str, str]:
-    """All families with their full numbers of rounds, fitted once per application, saved and registered."""
+    """All families, fitted once per application, saved and registered."""
     def build():
-        fitted, status, rows = models.train_all(_train(spark, sf), _validation(spark, sf), ORDER)
+        fitted, status, rows = models.train_all(_train(spark, sf), _validation(spark, sf), ORDER, tolerance=BOOST_TOLERANCE)
         root, registry = scratch_path(spark, "models"), scratch_path(spark, "registry")
         models.save_models(fitted, root)
         update_registry(spark, registry, rows.select("model_name", *[F.col(m).alias(m.upper()) for m in ("mae", "mse", "rmse", "mape")],
