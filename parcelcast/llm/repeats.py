@@ -254,11 +254,13 @@ def _schema(row: DataFrame):
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated strings cut out of ``text`` (and ``n_chars`` set anew where it is there).
 
-    A character that loses some of its bytes goes too. Rows of which nothing is left are dropped; rows that had no text
+    A character that loses some of its bytes becomes the replacement character. Rows of which nothing is left are dropped; rows that had no text
     stay.
     """
     found = repeats(docs, length).where("size(starts) = 0 or octet_length(kept) > 0")
-    text = F.when(F.size("starts") == 0, F.col("row.text")).otherwise(F.try_validate_utf8(F.col("kept").cast("string")))
-    text = F.coalesce(text, F.make_valid_utf8(F.col("kept").cast("string")), F.col("row.text"))
-    new = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    whole = F.size("starts") == 0
+    text = F.when(whole, F.col("row.text")).otherwise(F.make_valid_utf8(F.col("kept").cast("string")))
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(whole, F.col("row.n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
     return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
