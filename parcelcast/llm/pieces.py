@@ -24,7 +24,10 @@ from pyspark.sql import DataFrame, functions as F
 from parcelcast.llm.common import as_bytes, by_batch, filled, spans, steps
 
 MARK = "▁"
-STEP = 12 << 20
+STEP = 5 << 20
+#: Pairs of pieces of which a worker remembers whether the second may follow the first.
+KNOWN_PAIRS = 400_000
+_SHIFT = 1 << 24
 _OPEN, _BYTES = -1, -2  # before the first piece; after a character without a piece
 
 
@@ -57,7 +60,7 @@ class Vocabulary:
 class Search:
     vocabulary: Vocabulary
     known: dict[str, int] = field(default_factory=dict)
-    fits: dict[tuple[int, int], bool] = field(default_factory=dict)
+    fits: dict[int, bool] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         v = self.vocabulary
@@ -80,7 +83,7 @@ class Search:
         return parts
 
     def may_follow(self, before: int, piece: int) -> bool:
-        key = (before, piece)
+        key = before * _SHIFT + piece
         found = self.fits.get(key)
         if found is None:
             p = self.vocabulary.pieces
@@ -88,7 +91,7 @@ class Search:
                 found = self.merged(p[piece]) == [p[piece]]
             else:
                 found = self.may_follow(_OPEN, piece) and self.merged(p[before] + p[piece]) == [p[before], p[piece]]
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > KNOWN_PAIRS:
                 self.fits.clear()
             self.fits[key] = found
         return found
@@ -112,8 +115,8 @@ class Search:
                     if piece is None:
                         continue
                     if bpe:
-                        key = (last[start], piece)
-                        if fits[key] if key in fits else may_follow(*key):
+                        fit = fits.get(last[start] * _SHIFT + piece)
+                        if may_follow(last[start], piece) if fit is None else fit:
                             best, choice = score[start] + v.scores[piece], piece
                             break
                     elif score[start] + v.scores[piece] > best:
