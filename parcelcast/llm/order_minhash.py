@@ -81,30 +81,28 @@ def as_text(sig: Column) -> Column:
     return F.array_join(F.transform(sig, lambda x: F.lpad(F.lower(F.hex(x)), 10, "0")), "")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, signature) of every row; null texts count as empty, whose signature is empty."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("signature", signature(F.col("text")))
-
-
-def with_next(rows: DataFrame) -> DataFrame:
-    """``rows`` with next_text and next_signature, of the next row in descending doc_id; after the last comes the first.
+def with_next(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, signature, next_text, next_signature) of every row: the next is the next row in descending doc_id,
+    after the last comes the first. Null texts count as empty, whose signature is empty.
 
     Rows are dealt into ranges of ids of about equal width. Each range finds its own successors; the first row of every
     range, one row each, gives the successor of the last row of the range before. Null ids come last, rows that share
     an id are ordered by text.
     """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ends = rows.agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
     ranges = max(1, ends.n // ROWS_PER_RANGE)
     width = ((ends.high or 0) - (ends.low or 0)) // ranges + 1
     rows = rows.withColumn("range", F.coalesce(F.expr(f"(doc_id - {ends.low or 0}L) div {width}L"), F.lit(-1).cast("long")))
     order = [F.desc_nulls_last("doc_id"), F.asc("text")]
     own = Window.partitionBy("range").orderBy(*order)
-    led = rows.withColumns({"nth": F.row_number().over(own), "next_text": F.lead("text").over(own), "next_signature": F.lead("signature").over(own)})
-    firsts = led.where("nth = 1").select("range", F.struct("text", "signature").alias("first"))
+    signed = rows.withColumn("signature", signature(F.col("text")))
+    led = signed.withColumns({"next_text": F.lead("text").over(own), "next_signature": F.lead("signature").over(own)})
+    firsts = rows.withColumn("nth", F.row_number().over(own)).where("nth = 1")
+    firsts = firsts.select("range", F.struct("text", signature(F.col("text")).alias("signature")).alias("first"))
     down = Window.orderBy(F.desc("range"))  # one row for each range
     everything = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = firsts.select("range")
+    heads = rows.select("range").distinct()
     to = heads.select("range", F.coalesce(F.lead("range").over(down), F.first("range").over(everything)).alias("to"))
     after = to.join(firsts.withColumnRenamed("range", "to"), "to").select("range", F.col("first").alias("after"))
     led = led.join(after, "range")
@@ -120,7 +118,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     edited text; in a table of one row the next is the row itself; an empty table gives an empty result. Columns other
     than doc_id and text are not read.
     """
-    rows = with_next(fingerprints(docs))
+    rows = with_next(docs)
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
