@@ -10,6 +10,7 @@ from pyspark import StorageLevel
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import VectorSlicer
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -221,6 +222,26 @@ def coefficients(model: Fitted) -> DataFrame:
     return local_table(SparkSession.active(), rows, "feature string, weight double")
 
 
+def gradients(model: Fitted, train: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """How far each weight of a linear or Gamma model is from its optimum, per training row: one aggregate.
+
+    Ridge: mean of x (y - p), less ``alpha`` w / n. Gamma with log link: mean of x (y - p) / p. Both are 0 at the optimum.
+    """
+    names = linear_feature_names(model.pipeline)
+    for stage in model.pipeline.stages:
+        if isinstance(stage, VectorSlicer):
+            names = [names[i] for i in stage.getIndices()]
+    ridge = model.family == "linear"
+    used = "features" if ridge else "independent"
+    scored = model.pipeline.transform(train.select(*_needed(train)))
+    error = F.col(TARGET) - F.col("prediction")
+    rows = scored.select(vector_to_array(used).alias("x"), (error if ridge else error / F.col("prediction")).alias("e"))
+    sums = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.get("x", F.lit(i)) * F.col("e")).alias(f"g{i}") for i in range(len(names))]).first()
+    weights = model.regressor.coefficients.toArray()
+    table = [(name, float(sums[f"g{i}"] or 0.0) - (alpha * float(weights[i]) / sums["n"] if ridge else 0.0), sums["n"]) for i, name in enumerate(names)]
+    return local_table(SparkSession.active(), table, "feature string, gradient double, n_train bigint")
+
+
 def save_models(models: dict[str, Fitted], root: str) -> None:
     for family, model in models.items():
         model.pipeline.write().overwrite().save(f"{root.rstrip('/')}/{family}")

@@ -449,6 +449,33 @@ def _trained_registry(spark, sf) -> DataFrame:
     return reg.load_registry(read_registry(spark, _trained(spark, sf)[3]))
 
 
+def ridge_gradient(spark, sf):
+    """Distance of every numeric weight of the ridge from its optimum, in thousandths."""
+    fitted = models.load_model(_saved_linear(spark, sf)[0], "linear")
+    return _settled(models.gradients(fitted, _train(spark, sf)))
+
+
+def glm_gradient(spark, sf):
+    return _settled(models.gradients(models.fit_family("glm", _train(spark, sf), ORDER), _train(spark, sf)))
+
+
+def _settled(found: DataFrame) -> DataFrame:
+    numeric = found.where(F.col("feature").isin("distancia_km", "nivel_trafico", "lluvia_mm", "pendiente_promedio", "zona_riesgo"))
+    return numeric.select("feature", (F.round("gradient", 3) + 0.0).alias("gradient"), "n_train")
+
+
+def training_report(spark, sf):
+    """Each family's counts, and whether it beats the mean of the validation part."""
+    spread = _validation(spark, sf).agg(F.stddev_pop(TARGET)).first()[0]
+    rows = _trained(spark, sf)[1].join(_trained_registry(spark, sf), "model_name", "left")
+    return rows.select("model_name", F.col("trained").cast("int").alias("trained"), "n_train", "n_validation",
+                       (F.col("rmse") < spread).cast("int").alias("beats_mean"))
+
+
+def batch_status(spark, sf):
+    return batch_score(spark, sf).select(*KEYS, "model_name", "status", "violations", F.col("prediction").isNotNull().cast("int").alias("scored"))
+
+
 def _boosted(family, spark, sf):
     return rounded(_trained_registry(spark, sf).where(F.col("model_name") == family).drop("ord"))
 
@@ -493,7 +520,8 @@ def batch_score_formula(spark, sf):
 
 def model_availability(spark, sf):
     root, registry = _saved_linear(spark, sf)
-    return models.model_availability(spark, root, registry)
+    found = models.model_availability(spark, root, registry)
+    return found.select([F.col(c).cast("int").alias(c) if t == "boolean" else F.col(c) for c, t in found.dtypes])
 
 
 def scenario_with_model(spark, sf):
@@ -511,7 +539,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     registry_load, normalize_model_name, registry_upsert, best_model, model_comparison, kpis_confidence,
     scaler_stats, scale_numeric, one_hot, ordinal_encode, bind_features_target, write_feature_sets,
     weekday_factor, demand_base, demand_base_calendar, daily_demand, scenario_daily, scenario_daily_full,
-    scenario_daily_sample, zone_risk_sample, eta_points_sample, monthly_payload,
+    ridge_gradient, glm_gradient, training_report, batch_status, scenario_daily_sample, zone_risk_sample, eta_points_sample, monthly_payload,
     scenario_summary, zone_risk, traffic_risk_points, eta_distribution, historical_vs_predicted, kpis_future,
     ridge1d, train_ridge, train_glm, feature_importance, train_all, batch_score, batch_score_formula,
     model_availability, scenario_with_model)}

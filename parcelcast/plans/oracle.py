@@ -277,6 +277,12 @@ def _zones() -> str:
       from zone_slots z join zone_ranked r on r.localidad = z.localidad and r.zrank = z.i % z.n group by 1""", rows=SAMPLED_ROWS)
 
 
+def _gradients() -> str:
+    """At the optimum every mean gradient is zero; the rows counted are all training rows."""
+    return _d(" union all ".join(f"select '{c}' as feature, 0e0 as gradient, count(*) as n_train from train" for c in (
+        "distancia_km", "nivel_trafico", "lluvia_mm", "pendiente_promedio", "zona_riesgo")))
+
+
 ORACLE: dict[str, str] = {
     "scan_deliveries": _d("select * replace (strftime(fecha_pedido, '%Y-%m-%d %H:%M:%S') as fecha_pedido) from deliveries"),
     "date_features": _d(f"select {KEYS}, anio, mes, dia, dia_semana from dated"),
@@ -467,6 +473,19 @@ ORACLE: dict[str, str] = {
           (select round(rmse, 6) from registry where model_name = 'linear') as rmse_validation,
           case when v = '' then 'success' else 'rejected' end as status, v as violations
         from (select *, {_REQUEST_RULES} as v from requests)"""),
+    "ridge_gradient": _gradients(),
+    "glm_gradient": _gradients(),
+    "training_report": _d("""
+        select unnest(['linear', 'glm', 'histgb', 'xgboost']) as model_name, 1 as trained,
+          (select count(*) from train) as n_train, (select count(*) from validation) as n_validation, 1 as beats_mean"""),
+    "batch_status": _q(f"""
+        select {KEYS}, 'linear' as model_name, case when v = '' then 'success' else 'rejected' end as status, v as violations,
+          cast(v = '' as integer) as scored
+        from (select *, {_REQUEST_RULES} as v from requests)"""),
+    "model_availability": _d("""
+        select unnest(['linear', 'glm', 'histgb', 'xgboost']) as model_name, unnest([1, 0, 0, 0]) as available,
+          unnest([1, 0, 0, 0]) as is_default, 'ok' as status,
+          (select cast(count(*) > 0 as integer) from validation) as metrics_available"""),
     "ridge1d": _d("""
         select round(w, 6) as w, round(my - w * mx, 6) as intercept, n
         from (select covar_pop(tiempo_real_min, distancia_km) * count(*) / (var_pop(distancia_km) * count(*) + 1e0) as w,
