@@ -28,6 +28,12 @@ def prepare(rows: DataFrame, order: Sequence[str], path: str | None = None) -> D
     return spark.read.schema(labelled.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Drop what ``once`` holds for this application, after its input changed or its scratch folder was cleaned."""
+    for key in [k for k in _SHARED if k[0] == spark.sparkContext.applicationId]:
+        del _SHARED[key]
+
+
 def once(spark: SparkSession, name: tuple, build: Callable[[], object]):
     """What pages share (a table, trained models): built by the first caller of this application, then reused."""
     key = (spark.sparkContext.applicationId, *name)

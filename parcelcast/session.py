@@ -17,6 +17,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Folder for written intermediates: the one the cluster names, else a fresh one (local runs)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
+        if not spark.sparkContext.getCheckpointDir():      # set on the session after its start
+            spark.sparkContext.setCheckpointDir(configured)
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current:

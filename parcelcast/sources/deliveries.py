@@ -23,6 +23,14 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = MASTER) -> D
     return without_nan(spark.read.schema(schema).option("header", True).csv(path))
 
 
+def rejected_csv(spark: SparkSession, path: str, schema: T.StructType = MASTER) -> DataFrame:
+    """Lines of a delivery file with a value that its column's type cannot hold (read as null otherwise), as text."""
+    held = T.StructType([*schema.fields, T.StructField("_line", T.StringType())])
+    rows = spark.read.schema(held).option("header", True).option("columnNameOfCorruptRecord", "_line").csv(path)
+    # all columns are read, as Spark only parses, and so only checks, those that are asked for
+    return rows.where(F.col("_line").isNotNull() & (F.size(F.array_compact(F.array(*[F.col(c).cast("string") for c in schema.names]))) >= 0)).select("_line")
+
+
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType = MASTER) -> DataFrame:
     return without_nan(spark.read.schema(schema).parquet(path))
 
@@ -89,6 +97,12 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_row_hash(df: DataFrame, name: str = "row_hash") -> DataFrame:
+    """MD5 text over all columns, which sampled projections order by; copies of a row share it, and ``row_id`` tells them apart."""
+    texts = [F.concat(F.lit(c), F.lit("="), F.coalesce(F.col(c).cast("string"), F.lit("\0"))) for c in df.columns]
+    return df.withColumn(name, F.md5(F.concat_ws("|", *texts)))
+
+
 def row_hash() -> Column:
     """Hash of the five key columns (price as whole cents, so that its text form is portable)."""
     cents = F.round(F.col("l_extendedprice") * 100.0).cast("bigint")

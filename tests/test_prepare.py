@@ -4,6 +4,8 @@ import datetime as dt
 
 import numpy as np
 import pytest
+
+from parcelcast.schema import MASTER
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -145,3 +147,17 @@ def test_kpis_of_missing_times_and_of_nothing(spark):
 def test_date_filter_includes_both_ends(spark):
     rows = master(spark, 48, fecha_pedido=lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(hours=i * 3))
     assert kpi.apply_filters(rows, date_from="2024-01-02", date_to="2024-01-03").count() == 16
+
+
+def test_lines_that_do_not_parse_are_reported(spark, tmp_path):
+    (tmp_path / "deliveries.csv").write_text(",".join(MASTER.names) + "\n"
+                                             + ",".join("1" if "time" not in f.dataType.simpleString() else "2024-01-01 00:00:00" for f in MASTER.fields) + "\n"
+                                             + ",".join("x" for _ in MASTER.fields) + "\n")
+    lines = src.rejected_csv(spark, str(tmp_path / "deliveries.csv")).collect()
+    assert [r[0] for r in lines] == [",".join("x" for _ in MASTER.fields)]
+
+
+def test_any_table_can_be_sampled_by_hash(spark):
+    rows = spark.createDataFrame([(1, None), (None, 1), (1, None)], "a int, b int")
+    hashes = [r.row_hash for r in src.with_row_hash(rows).collect()]
+    assert hashes[0] == hashes[2] != hashes[1] and all(len(h) == 32 for h in hashes)
