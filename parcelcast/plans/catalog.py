@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial
 
 from pyspark.ml.functions import vector_to_array
@@ -15,7 +16,7 @@ from parcelcast.plans.baselines import line_registry
 from parcelcast.plans.prepare import once, prepare
 from parcelcast.schema import (CATEGORICAL, ERROR_SEGMENTS, ESTIMATE, NUMERIC, TABLE_BOUNDS, TARGET,
                                TOP_ZONES)
-from parcelcast.session import ROW_ID, pin, scratch_path, stage
+from parcelcast.session import ROW_ID, pin, scratch_path
 from parcelcast.sources import artifacts
 from parcelcast.sources.deliveries import KEYS, ORDER, deliveries, row_hash, table
 from parcelcast.sources.registry import read_registry, update_registry
@@ -167,8 +168,7 @@ def scenario_features(spark, sf):
 # --- order ----------------------------------------------------------------------------------
 
 def temporal_split(spark, sf):
-    rows = stage(deliveries(spark, sf).select(*ORDER), "order")
-    return order.temporal_split(rows, order.temporal_cut(rows, [*ORDER, ROW_ID])).select(*KEYS, "split")
+    return _prepared(spark, sf).select(*KEYS, F.col("split").cast("string").alias("split"))
 
 
 def real_vs_estimated_top(spark, sf):
@@ -343,7 +343,11 @@ def _pool(spark, sf) -> DataFrame:
 
 def _projection(spark, sf, **options) -> scenario.Projection:
     """The month by the closed formula, which SQL can repeat; ``scenario_with_model`` projects with a trained model."""
-    return scenario.project_month(_pool(spark, sf), *MONTH, predictor=scenario.formula_predictor, **options)
+    def build():
+        made = scenario.project_month(_pool(spark, sf), *MONTH, predictor=scenario.formula_predictor, **options)
+        return replace(made, daily=pin(made.daily, 31))     # one pass over the pool serves all pages
+
+    return once(spark, ("projection", sf, *options.values()), build)
 
 
 def _profile(spark, sf) -> DataFrame:
