@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from parcelcast.llm.common import binaries, by_batch, filled, hash_words, steps
 
 BUCKETS = 1 << 18
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS = 6_000
 MIN_TEXTS = 4
 ROUNDS = 250
 L1 = 1e-4
@@ -96,18 +96,21 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     sent, owner, n = [], [], 0
     for i, s in enumerate(sentence_of):
         local = s - s[0] if len(s) else s
-        sent.append(local + n)
+        sent.append((local + n).astype(np.int32))
         here = int(local[-1]) + 1 if len(s) else 0
         owner += [i] * here
         n += here
-    words, sent, owner = np.concatenate(words_of), np.concatenate(sent), np.array(owner)
-    text = owner[sent]
-    pairs = np.unique(text.astype(np.int64) * BUCKETS + words)
-    frequent = np.flatnonzero(np.bincount(pairs % BUCKETS, minlength=BUCKETS) >= MIN_TEXTS)
-    place = np.full(BUCKETS, -1)
+    texts_with = np.zeros(BUCKETS, np.int32)
+    for own in words_of:
+        texts_with[np.unique(own)] += 1
+    frequent = np.flatnonzero(texts_with >= MIN_TEXTS)
+    place = np.full(BUCKETS, -1, np.int32)
     place[frequent] = np.arange(len(frequent))
-    known = place[words] >= 0
-    feature, sent = place[words[known]], sent[known]
+    known = [place[own] >= 0 for own in words_of]
+    feature = np.concatenate([place[own[k]] for own, k in zip(words_of, known)])
+    sent = np.concatenate([own[k] for own, k in zip(sent, known)])
+    owner = np.array(owner, np.int32)
+    del got, words_of, sentence_of, known
     w, bias, base = np.zeros(len(frequent)), -5.0, -3.0
     m, v = np.zeros(len(w) + 2), np.zeros(len(w) + 2)
     for k in range(1, ROUNDS + 1):
