@@ -4,7 +4,6 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from parcelcast.llm import chat
-from tests.llm.data import nothing
 
 PIECES = ["[INST]", "[/INST]", " [/INST]", "</s>", "<s>", "\\", "\\\\", "<<SYS>>", " <</SYS>>", "<<ROLE>>", " <<END>>", "<", "[", " ", "\n", "a", "é", "漢"]
 

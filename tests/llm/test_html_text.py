@@ -2,7 +2,6 @@ import numpy as np
 import pytest
 
 from parcelcast.llm import boosting, html_text as ht
-from tests.llm.data import nothing
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">About us</a></li></ul></nav><!-- ad <p>no</p> -->

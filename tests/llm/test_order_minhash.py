@@ -1,7 +1,6 @@
 import hashlib
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from parcelcast.llm import order_minhash as om
