@@ -78,7 +78,7 @@ def sentences(text: str) -> dict[int, tuple[int, int]]:
 
 def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on rows (doc_id, text, toxic) whose label isn't null."""
-    rows = labelled.where("toxic is not null").select(F.xxhash64("doc_id", F.lit(11)).alias("h"), "doc_id", "text", F.col("toxic").cast("int").alias("y"))
+    rows = labelled.where("toxic is not null").select(_even("doc_id").alias("h"), "doc_id", "text", F.col("toxic").cast("int").alias("y"))
     few = rows.orderBy("h", "doc_id").limit(sample_rows)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,11 +168,22 @@ def score(docs: DataFrame, model: Model, at_fault: float = 0.2) -> DataFrame:
     return by_batch(packed, run, schema)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
-    """(doc_id, text, toxic) of documents with a label that aren't held out; of several labels the largest counts."""
+def labelled(docs: DataFrame, labels: DataFrame, held_out: Column, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, text, toxic) of the sample: documents with a label that aren't held out, at most ``sample_rows`` ids.
+
+    Of several labels of an id the largest counts. Only ids are shuffled; the sampled ones, whose number is bounded, are
+    broadcast to the texts.
+    """
     own = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     texts = docs.where(~held_out).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(own, F.col("doc_id") == F.col("_id")).select("doc_id", "text", F.col("_toxic").alias("toxic"))
+    known = own.join(texts.select(F.col("doc_id").alias("_id")), "_id", "left_semi")
+    few = known.orderBy(_even("_id"), "_id").limit(sample_rows)
+    return texts.join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("doc_id", "text", F.col("_toxic").alias("toxic"))
+
+
+def _even(name: str) -> Column:
+    """Hash of an id; the smallest ones are an even sample."""
+    return F.xxhash64(F.col(name).cast("long"), F.lit(11))
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
