@@ -28,7 +28,7 @@ LENGTH = 50
 GRAM = 20
 STEP = 2 << 20
 BUCKET_BYTES = 4 << 20
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 _PLACES = "chunk long, doc binary, lo binary, len binary, key binary, open boolean"
 
 
