@@ -89,12 +89,13 @@ class Shard:
     """A run of segments: exact counts of single tokens by sorted hash, and the segments' bitmaps end to end."""
 
     def __init__(self, rows: pa.Table, shift: int):
-        rows = rows.sort_by("seg")
-        self.shift, segs = shift, rows.column("seg").to_numpy().astype(np.int64)
-        join = lambda c, t: np.frombuffer(b"".join(x.as_py() for x in rows.column(c)), t)
+        segs = rows.column("seg").to_numpy().astype(np.int64)
+        order = np.argsort(segs)
+        self.shift, segs = shift, segs[order]
+        join = lambda c, t: np.frombuffer(b"".join([rows.column(c)[i].as_buffer() for i in order.tolist()]), t)
         self.keys, self.counts = join("ukeys", np.uint64), join("ucounts", np.int64)
         self.bits = join("bitmap", np.uint8)
-        sizes = rows.column("bits").to_numpy().astype(np.uint64)
+        sizes = rows.column("bits").to_numpy().astype(np.uint64)[order]
         n = 1 << (64 - shift)
         self.size, self.start = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         self.size[segs], self.start[segs] = sizes, np.cumsum(sizes) - sizes
