@@ -141,8 +141,10 @@ def _bucketed(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFram
             for flag in (False, True):
                 pick = np.flatnonzero(done == flag)
                 pick = pick[np.lexsort((lo[pick], doc[pick]))]
-                used, columns = _dealt(bucket[pick], buckets, [doc[pick], (lo - at[text])[pick].astype(np.uint32), (hi - lo)[pick].astype(np.uint32),
-                                                              key[pick].astype(np.uint32), frag[pick]])
+                # what is settled needs no meeting place: by document, so that a frequent anchor's copies spread
+                to = _chunk(doc[pick], buckets) if flag else bucket[pick]
+                used, columns = _dealt(to, buckets, [doc[pick], (lo - at[text])[pick].astype(np.uint32), (hi - lo)[pick].astype(np.uint32),
+                                                     key[pick].astype(np.uint32) * np.uint32(not flag), frag[pick] * np.uint64(not flag)])
                 yield pa.record_batch([used, *columns, pa.array(np.full(len(used), flag))], names=["bucket", "doc", "lo", "len", "key", "frag", "done"])
 
     return by_batch(docs, send, "bucket long, doc binary, lo binary, len binary, key binary, frag binary, done boolean")
