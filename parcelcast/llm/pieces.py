@@ -25,6 +25,7 @@ from parcelcast.llm.common import as_bytes, by_batch, filled, spans, steps
 
 MARK = "▁"
 STEP = 5 << 20
+STEP_IDS = 1 << 20
 #: Pairs of pieces of which a worker remembers whether the second may follow the first.
 KNOWN_PAIRS = 400_000
 _SHIFT = 1 << 24
@@ -199,6 +200,17 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return by_batch(rows, run, "doc_id long, ids array<int>")
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about ``STEP_IDS`` ids each."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(b.column("ids")), 0).to_numpy(), dtype=np.int64)
+        start = 0
+        while start < b.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + STEP_IDS, side="right")))
+            yield b.slice(start, stop - start)
+            start = stop
+
+
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(doc_id, ids, text) of rows (doc_id, ids): the pieces' text without the mark that encoding put first. Null ids give
     an empty text, bytes that aren't UTF-8 the replacement character."""
@@ -211,7 +223,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         pieces = np.frombuffer(b"".join(shared.value), np.uint8)
         size = np.array([len(p) for p in shared.value], np.int64)
         start = np.cumsum(size) - size
-        for b in batches:
+        for b in _few(batches):
             ids = b.column("ids")
             counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
             flat = ids.flatten().to_numpy()
