@@ -106,4 +106,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_order_minhash": op9_order_minhash,
     "op10_repeats": op10_repeats,
 }
-ORACLE: dict[str, str] = {}
+_ESCAPED = r"regexp_replace({0}, '(\\*)(\[/?INST\]|</?s>|<</?SYS>>|<</?ROLE>>|<<END>>)', '\1\1\\\2', 'g')"
+
+#: The other operators train, hash or search; tests/llm holds them against brute force.
+ORACLE: dict[str, str] = {
+    "op7_chat": f"""
+        with said as (
+          select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+          union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+        select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+          coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+          sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+          sum(length({_ESCAPED.format('text')}) + case role when 'user' then 15 when 'assistant' then 8 when 'system' then 16
+            else 26 + length({_ESCAPED.format('role')}) end)::bigint as formatted_chars
+        from said group by conv_id""",
+}
