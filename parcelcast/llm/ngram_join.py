@@ -27,6 +27,8 @@ THRESHOLD = 0.8
 RECALL = 0.9995
 MAX_HASHES = 128
 BLOCK = 256
+#: Text bytes that a worker hashes at once.
+STEP = 5 << 20
 
 
 def bands_for(threshold: float, recall: float, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -156,7 +158,7 @@ def classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recal
     docs = docs.withColumn("md5", F.md5(F.col("text").cast("binary")))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches):
+        for b in steps(batches, limit=STEP):
             grams, at = shingles(b.column("text"), n)
             signed = band_hashes(grams, at, bands, rows)
             ends = np.concatenate(([0], np.cumsum(np.diff(at) > 0))) * bands
@@ -189,7 +191,7 @@ def classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recal
     texts_of = docs.withColumnRenamed("doc_id", "node").join(wanted, ["node", "md5"]).select("node", "bands", "text")
 
     def gram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches):
+        for b in steps(batches, limit=STEP):
             grams, at = shingles(b.column("text"), n)
             sets = [np.unique(grams[i:j]).tobytes() for i, j in zip(at[:-1], at[1:])]
             yield pa.record_batch([b.column("node"), b.column("bands"), pa.array(sets, pa.binary())], names=["node", "bands", "grams"])

@@ -24,7 +24,7 @@ SAMPLE_ROWS = 6_000
 MIN_TEXTS = 4
 ROUNDS = 250
 L1 = 1e-4
-STEP = 8 << 20
+STEP = 4 << 20
 _EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~“”‘’«»…¡¿"
 _BREAK = re.compile(r"\n|\S+")
 
