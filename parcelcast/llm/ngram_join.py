@@ -43,7 +43,7 @@ def bands_for(threshold: float, recall: float, most: int = MAX_HASHES) -> tuple[
 
 def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' n-grams in a row, and where each text starts."""
-    lists = pc.utf8_split_whitespace(pc.utf8_lower(filled(texts)))
+    lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(filled(texts))))
     cuts = lists.offsets.to_numpy().astype(np.int64)
     coded = lists.values.slice(cuts[0], cuts[-1] - cuts[0]).dictionary_encode()
     codes = coded.indices.to_numpy()

@@ -46,7 +46,7 @@ def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     Sentences end with a word that ends in ``.``, ``!`` or ``?``, and at line ends; only those with words count.
     """
     texts = pc.utf8_lower(pc.replace_substring(filled(texts), "\n", " .\n"))
-    lists = pc.utf8_split_whitespace(texts)
+    lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(texts))  # untrimmed, a blank text may give a blank word
     cuts = lists.offsets.to_numpy().astype(np.int64)
     coded = lists.values.slice(cuts[0], cuts[-1] - cuts[0]).dictionary_encode()
     raw = coded.dictionary
@@ -57,7 +57,7 @@ def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     text = np.repeat(np.arange(len(texts)), np.diff(cuts))
     before = np.concatenate(([0], np.cumsum(ends)))
     number = before[:-1] - before[cuts[:-1] - cuts[0]][text]  # ends seen before this word, within its text
-    keep = (pc.binary_length(bare).to_numpy() > 0)[codes]
+    keep = (np.minimum(pc.binary_length(bare).to_numpy(), pc.binary_length(raw).to_numpy()) > 0)[codes]
     text, number, words = text[keep], number[keep], bucket[codes[keep]]
     new = (np.diff(text, prepend=-1) != 0) | (np.diff(number, prepend=-1) != 0)
     return words, np.cumsum(new) - 1, text[new], number[new]
