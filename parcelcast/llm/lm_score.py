@@ -39,7 +39,7 @@ _BINS, _PER_OCTAVE, _LOWEST = 400, 4, -40
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each distinct token, the tokens as indices into them (an end after each text), and where texts start."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(filled(texts)))
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(filled(texts))))
     cuts = lists.offsets.to_numpy().astype(np.int64)
     coded = lists.values.slice(cuts[0], cuts[-1] - cuts[0]).dictionary_encode()
     data, at = as_bytes(coded.dictionary)
