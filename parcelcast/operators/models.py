@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException, PySparkException
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, GeneralizedLinearRegression, LinearRegression
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -107,25 +107,52 @@ def fit_glm(features: DataFrame, preparation: PipelineModel, iterations: int = 1
     raise AssertionError("unreachable")
 
 
+def first_rounds(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """The model of the first ``rounds`` trees; a round does not depend on those that follow it."""
+    spark, java = SparkSession.active(), model._java_obj
+    jvm, trees, weights = spark._jvm, java.trees(), java.treeWeights()
+    ml = jvm.org.apache.spark.ml
+    kept = spark.sparkContext._gateway.new_array(ml.regression.DecisionTreeRegressionModel, rounds)
+    kept_weights = spark.sparkContext._gateway.new_array(jvm.double, rounds)
+    for i in range(rounds):
+        kept[i], kept_weights[i] = trees[i], weights[i]
+    cut = ml.regression.GBTRegressionModel(java.uid(), kept, kept_weights, java.numFeatures())
+    return GBTRegressionModel(java.copyValues(cut, ml.param.ParamMap()))
+
+
+def best_round(errors: Sequence[float], patience: int) -> tuple[int, bool]:
+    """The round of the smallest error up to where ``patience`` rounds in a row bring no smaller one, and whether they did."""
+    best = 0
+    for i, error in enumerate(errors):
+        if error < errors[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
 def fit_hist_boost(features: DataFrame, preparation: PipelineModel, keys: Sequence[str], rounds: int = 500,
-                   tolerance: float = 1e-5) -> Fitted:
-    """Boosted depth-5 trees on up to 255 bins, stopped by a held-out fifth chosen by row hash."""
+                   patience: int = 10) -> Fitted:
+    """Boosted depth-5 trees on up to 255 bins. The error on a held-out fifth, chosen by row hash, ends them where
+    ``patience`` rounds bring no smaller one, and the trees up to the best round stay.
+
+    Spark stops without patience, so a quarter of the rounds is fitted and, only if they do not reach the end, all.
+    """
     held_out = F.pmod(F.xxhash64(*keys), F.lit(5)) == 0
-    model = GBTRegressor(labelCol=TARGET, maxDepth=5, stepSize=0.05, maxIter=rounds, maxBins=255, seed=42,
-                         validationIndicatorCol="held_out", validationTol=tolerance, checkpointInterval=10,
-                         cacheNodeIds=True).fit(features.withColumn("held_out", held_out))
+    fitted, judged = features.where(~held_out), features.where(held_out)
+    for most in (max(1, rounds // 4), rounds):
+        model = GBTRegressor(labelCol=TARGET, maxDepth=5, stepSize=0.05, maxIter=most, maxBins=255, seed=42,
+                             checkpointInterval=10, cacheNodeIds=True).fit(fitted)
+        best, ended = best_round(model.evaluateEachIteration(judged, "squared"), patience) if not judged.isEmpty() else (most, False)
+        if ended:
+            break
+    model = first_rounds(model, best)
     return Fitted("histgb", PipelineModel(stages=[*preparation.stages, model]), note=f"rounds={model.getNumTrees}")
 
 
-def fit_boost(features: DataFrame, preparation: PipelineModel, keys: Sequence[str] = (), rounds: int = 1000,
-              tolerance: float | None = None) -> Fitted:
-    """Boosted depth-6 trees, each on 80 % of the rows and of the columns: a fixed number of rounds or, with a
-    ``tolerance``, until the error on a fifth chosen by ``keys`` falls by a smaller share in a round."""
-    stop = {}
-    if tolerance is not None:
-        features = features.withColumn("held_out", F.pmod(F.xxhash64(*keys), F.lit(5)) == 0)
-        stop = {"validationIndicatorCol": "held_out", "validationTol": tolerance}
-    model = GBTRegressor(**stop, labelCol=TARGET, maxDepth=6, stepSize=0.05, maxIter=rounds, subsamplingRate=0.8,
+def fit_boost(features: DataFrame, preparation: PipelineModel, rounds: int = 1000) -> Fitted:
+    """Boosted depth-6 trees, each on 80 % of the rows and of the columns, for a fixed number of rounds."""
+    model = GBTRegressor(labelCol=TARGET, maxDepth=6, stepSize=0.05, maxIter=rounds, subsamplingRate=0.8,
                          featureSubsetStrategy="0.8", maxBins=255, seed=42, checkpointInterval=10,
                          cacheNodeIds=True).fit(features)
     return Fitted("xgboost", PipelineModel(stages=[*preparation.stages, model]), note=f"rounds={model.getNumTrees}")
@@ -153,7 +180,7 @@ def feature_rows(family: str, train: DataFrame, order: Sequence[str]) -> tuple[P
 
 
 def fit_family(family: str, train: DataFrame, order: Sequence[str], rounds: int | None = None,
-               prepared: tuple[PipelineModel, DataFrame] | None = None, tolerance: float | None = None) -> Fitted:
+               prepared: tuple[PipelineModel, DataFrame] | None = None) -> Fitted:
     """Fit one family; the feature rows are kept while the fit iterates, and those given are left to the caller."""
     if family not in FAMILIES:
         raise ValueError(f"unknown model family {family!r}; known: {FAMILIES}")
@@ -164,11 +191,11 @@ def fit_family(family: str, train: DataFrame, order: Sequence[str], rounds: int
         if family == "glm":
             return fit_glm(rows, preparation)
         checkpoint_root(train.sparkSession)       # tree lineage is cut every ten rounds
-        given = {k: v for k, v in (("rounds", rounds), ("tolerance", tolerance)) if v is not None}
+        given = {} if rounds is None else {"rounds": rounds}
         if family == "histgb":
             return fit_hist_boost(rows, preparation, order, **given)
         if family == "xgboost":
-            return fit_boost(rows, preparation, order, **given)
+            return fit_boost(rows, preparation, **given)
         raise AssertionError("unreachable")
     finally:
         if prepared is None:
@@ -176,7 +203,7 @@ def fit_family(family: str, train: DataFrame, order: Sequence[str], rounds: int
 
 
 def train_all(train: DataFrame, validation: DataFrame, order: Sequence[str], rounds: int | None = None,
-              families: Sequence[str] = FAMILIES, tolerance: float | None = None) -> tuple[dict[str, Fitted], DataFrame, DataFrame]:
+              families: Sequence[str] = FAMILIES) -> tuple[dict[str, Fitted], DataFrame, DataFrame]:
     """Fit every family, going on when one fails; returns models, a status table and registry rows."""
     spark = train.sparkSession
     train_rows = train.count()
@@ -187,7 +214,7 @@ def train_all(train: DataFrame, validation: DataFrame, order: Sequence[str], rou
             linear = family in ("linear", "glm")
             if linear not in prepared:
                 prepared[linear] = feature_rows(family, train, order)
-            models[family] = fit_family(family, train, order, rounds, prepared[linear], tolerance)
+            models[family] = fit_family(family, train, order, rounds, prepared[linear])
             row = pin(evaluate(models[family], train_rows, validation), 1)      # scored here, once, inside the try
             registry = row if registry is None else registry.unionByName(row)
             status.append((family, True, models[family].note))

@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from parcelcast.operators import encode, models, registry as reg
+from parcelcast.plans import catalog
 from parcelcast.plans.catalog import _requests
 from parcelcast.operators.requests import accepted, validate_requests
 from parcelcast.session import scratch_path
@@ -114,3 +115,36 @@ def test_batch_scoring(spark, sf, trained, family):
     assert scored.select("input_features.localidad", "input_features.lluvia_mm").count() == checked.count()
     rmse = {r["model_name"]: r["rmse"] for r in registry.collect()}[family]
     assert scored.select("rmse_validation").distinct().collect() == [(rmse,)]
+
+
+def test_registered_trainings_run_all_rounds(spark, sf, monkeypatch):
+    asked = []
+    for name in ("fit_hist_boost", "fit_boost"):
+        def short(*given, real=getattr(models, name), **options):
+            asked.append(options)
+            return real(*given, **options | {"rounds": 2})
+
+        monkeypatch.setattr(models, name, short)
+    monkeypatch.setattr(catalog, "once", lambda spark, key, build: build())
+    catalog._trained(spark, sf)
+    assert asked == [{}, {}]        # the published 500 and 1000 rounds, and no other end
+
+
+def test_boosting_takes_a_fixed_number_of_rounds(parts):
+    assert models.fit_family("xgboost", parts[0], ORDER, rounds=7).regressor.getNumTrees == 7
+
+
+def test_patience_outlasts_weak_rounds():
+    weak = [9.0, 8.0, 8.5, 8.4, 8.3, 7.0, *[7.5] * 9]
+    assert models.best_round(weak, 10) == (6, False) and models.best_round([*weak, 7.2], 10) == (6, True)
+    assert models.best_round([*weak, 7.2, 1.0], 10) == (6, True) and models.best_round([*weak, 6.9, 7.0], 10) == (16, False)
+
+
+def test_the_best_validated_round_is_kept(parts, monkeypatch):
+    monkeypatch.setattr(models, "best_round", lambda errors, patience: (3, True))
+    found = models.fit_family("histgb", parts[0], ORDER, rounds=24)
+    monkeypatch.setattr(models, "best_round", lambda errors, patience: (len(errors), True))
+    whole = models.fit_family("histgb", parts[0], ORDER, rounds=12)      # a quarter of them: the same three
+    rows = parts[1].limit(50)
+    assert found.note == whole.note == "rounds=3"
+    assert found.predict(rows).select("prediction").collect() == whole.predict(rows).select("prediction").collect()
