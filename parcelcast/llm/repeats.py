@@ -3,7 +3,8 @@
 A string of ``length`` bytes is removed where it also starts in a document with a smaller id. Two equal strings choose
 the same anchor: of their ``length - GRAM + 1`` byte GRAM-grams the one with the smallest hash, the leftmost of equals.
 So each text falls into fragments, the runs of strings with one anchor, and only fragments with equal anchors can share
-a string.
+a string. An anchor that many different fragments share, as found on a sample, is no meeting place: its fragments fall
+into their single strings, each keyed by its own hash. The sample only says which way a string goes.
 
 1. Tasks send each fragment's anchor, hash and place to a bucket by anchor; of equal fragments in a task only those of
    the smallest document, the others are removed at once. A bucket drops anchors of one document, removes fragments that
@@ -29,6 +30,8 @@ GRAM = 20
 STEP = 2 << 20
 BUCKET_BYTES = 4 << 20
 SHARD_BYTES = 1 << 20
+HOT = 10_000  # different fragments of one anchor from which they are split, about a shard's bytes
+SAMPLE_BYTES = 32 << 20
 _PLACES = "chunk long, doc binary, lo binary, len binary, key binary, open boolean"
 
 
@@ -70,6 +73,36 @@ def fragments(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple
     return np.searchsorted(at, lo, side="right") - 1, lo, starts[last] + length, h[anchor[heads]]
 
 
+def _hot(docs: DataFrame, total: int, length: int, gram: int) -> np.ndarray:
+    """Sorted anchors of more than about ``HOT`` different fragments, counted on about ``SAMPLE_BYTES`` of the texts."""
+    share = min(1.0, SAMPLE_BYTES / max(1, total))
+    least = max(4.0, HOT * share)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches, limit=STEP):
+            data, at = as_bytes(b.column("text"))
+            _, lo, hi, key = fragments(data, at, length, gram)
+            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(hash_spans(data, lo, hi).view(np.int64))], names=["key", "frag"])
+
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    counted = by_batch(sample, send, "key long, frag long").distinct().groupBy("key").count().where(F.col("count") > least)
+    return np.sort(np.array([r.key for r in counted.select("key").collect()], np.int64).view(np.uint64))
+
+
+def _split(data: np.ndarray, found: tuple[np.ndarray, ...], hot: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """``found`` with the fragments of ``hot`` anchors as single strings, whose keys are hashes of their bytes."""
+    text, lo, hi, key = found
+    pick = np.zeros(len(key), bool)
+    if len(hot):
+        pick = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+    if not pick.any():
+        return found
+    n = (hi - lo - length + 1)[pick]
+    start = spans(lo[pick], n)
+    own = mix(hash_spans(data, start, start + length))
+    return tuple(np.concatenate((x[~pick], y)) for x, y in zip(found, (np.repeat(text[pick], n), start, start + length, own)))
+
+
 def _chunk(doc: np.ndarray, chunks: int) -> np.ndarray:
     return (doc ^ (doc >> 7) ^ (doc >> 17)) % chunks
 
@@ -122,11 +155,11 @@ def _first_round(bucketed: DataFrame, chunks: int) -> DataFrame:
     return by_group(bucketed, "bucket", resolve, _PLACES)
 
 
-def _bucketed(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
+def _bucketed(docs: DataFrame, buckets: int, length: int, gram: int, hot: np.ndarray) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, limit=STEP):
             data, at = as_bytes(b.column("text"))
-            text, lo, hi, key = fragments(data, at, length, gram)
+            text, lo, hi, key = _split(data, fragments(data, at, length, gram), hot, length)
             frag = hash_spans(data, lo, hi)
             doc = b.column("doc_id").to_numpy()[text]
             order = np.lexsort((lo, doc, frag, key))
@@ -141,9 +174,15 @@ def _bucketed(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFram
             for flag in (False, True):
                 pick = np.flatnonzero(done == flag)
                 pick = pick[np.lexsort((lo[pick], doc[pick]))]
+                until = hi[pick]
+                if flag:  # neighbours that are settled are one range
+                    pick = pick[np.argsort(lo[pick], kind="stable")]
+                    heads = np.flatnonzero(np.append(True, (text[pick[1:]] != text[pick[:-1]]) | (lo[pick[1:]] > hi[pick[:-1]]))[:len(pick)])
+                    until = hi[pick[np.append(heads[1:], len(pick)) - 1]] if len(pick) else until
+                    pick = pick[heads]
                 # what is settled needs no meeting place: by document, so that a frequent anchor's copies spread
                 to = _chunk(doc[pick], buckets) if flag else bucket[pick]
-                used, columns = _dealt(to, buckets, [doc[pick], (lo - at[text])[pick].astype(np.uint32), (hi - lo)[pick].astype(np.uint32),
+                used, columns = _dealt(to, buckets, [doc[pick], (lo - at[text])[pick].astype(np.uint32), (until - lo[pick]).astype(np.uint32),
                                                      key[pick].astype(np.uint32) * np.uint32(not flag), frag[pick] * np.uint64(not flag)])
                 yield pa.record_batch([used, *columns, pa.array(np.full(len(used), flag))], names=["bucket", "doc", "lo", "len", "key", "frag", "done"])
 
@@ -194,7 +233,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     judged = own.where("doc_id is not null").select("doc_id", "text")
     total = judged.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = int(total // BUCKET_BYTES) + 1
-    places = written(_first_round(_bucketed(judged, chunks, length, gram), chunks), "repeat-places")
+    places = written(_first_round(_bucketed(judged, chunks, length, gram, _hot(judged, total, length, gram)), chunks), "repeat-places")
     open_bytes = places.where("open").agg(F.sum(F.octet_length("doc"))).first()[0] or 0
     shards = int(open_bytes // 8 * (length + 16) // SHARD_BYTES) + 1
 

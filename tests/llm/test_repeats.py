@@ -1,10 +1,12 @@
 import hashlib
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from parcelcast.llm import queries, repeats, suffixes
-from tests.llm.data import documents, nothing
+from tests.llm.data import documents, nothing, words
 
 
 def brute(rows, length=50):
@@ -37,6 +39,24 @@ def test_runs_and_periods(spark):
     assert {r.doc_id: r.h for r in got} == {d: x[3] for d, x in want.items()}
 
 
+def test_a_passage_in_ever_different_surroundings(spark, monkeypatch):
+    rng = random.Random(3)
+    passage = words(rng, 25, 0.6)
+    rows = [(i, f"{words(rng, 12, 1.0)} {passage} {words(rng, 12, 1.0)}") for i in range(400)]
+    monkeypatch.setattr(repeats, "HOT", 40, raising=False)
+    tables = {}
+
+    def kept(df, name, real=repeats.written):
+        return tables.setdefault(name, real(df, name))
+
+    monkeypatch.setattr(repeats, "written", kept)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = repeats.repeats(docs).selectExpr("row.doc_id", "sha2(kept, 256) as h").collect()
+    assert {r.doc_id: r.h for r in got} == {d: x[3] for d, x in brute(rows).items()}
+    keys = Counter(k for r in tables["repeat-places"].where("open").collect() for k in np.frombuffer(r.key, np.int64).tolist())
+    assert max(keys.values(), default=0) <= 40
+
+
 def test_texts_that_share_an_id(spark):
     text = "one sentence that is certainly longer than fifty bytes in this table."
     rows = [(1, text), (2, text), (2, text), (3, text), (3, "another " + text)]
