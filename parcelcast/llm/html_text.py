@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import escape, unescape
@@ -35,7 +36,8 @@ STEP = 4 << 20
 BLOCKS = frozenset("address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                    "header hgroup hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template title textarea svg math iframe object canvas audio video head".split())
+RAW = frozenset("script style title textarea iframe".split())  # without end tag they reach to the end of the page
+SILENT = RAW | frozenset("noscript template svg object canvas audio video head".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = frozenset("ul ol dl table select menu".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
@@ -62,6 +64,35 @@ class Node:
     runs: int = 0
 
 
+def _silent_end(page: str, at: int, name: str, around: list[str]) -> int:
+    """Where the content of a silent element ends that begins at ``at``: after its own end tag, elements of its name
+    inside it counted, or, without one, before the end tag of an element ``around`` it; a block outside foreignObject
+    ends a drawing, too. Of an element that nothing ends, only the tag is silent; raw text is then the rest of the page."""
+    if name in RAW:
+        end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+        return end.end() if end else len(page)
+    begin, inside, foreign, opened = at, 1, 0, Counter()
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at = m.end()
+        tag = (m[2] or "").lower()
+        if tag == name and not m[3].endswith("/"):
+            inside += -1 if m[1] else 1
+            if not inside:
+                return at
+        elif name == "svg" and tag == "foreignobject":
+            foreign += -1 if m[1] else 1
+        elif name == "svg" and tag in BLOCKS and not m[1] and not foreign:
+            return m.start()
+        elif tag in RAW and not m[1] and not m[3].endswith("/"):
+            at = _silent_end(page, at, tag, [])
+        elif tag in around and m[1] and not opened[tag]:
+            return m.start() if name != "head" else begin
+        elif tag in around:
+            opened[tag] += -1 if m[1] else 1
+    return begin
+
+
 def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """The block elements of a page in order, parents first, and its runs of text with the node each is in."""
     nodes, runs = [Node("root", -1, 0)], []
@@ -96,8 +127,7 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         name = name.lower()
         if name in SILENT:
             if not m[1] and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else (len(page) if name != "head" else at)
+                at = _silent_end(page, at, name, [nodes[k].tag for k in stack[1:]])
             continue
         if name == "a":
             link = not m[1]

@@ -82,3 +82,26 @@ def test_boosting_learns_and_stands_odd_data():
 def test_no_pages(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert ht.extract(empty, ht.train(empty)).count() == 0
+
+
+@pytest.mark.parametrize("odd, inner", [
+    ("<svg><path d='x'>", ""), ("<object data='a'>", ""), ("<video src='a'>", ""), ("<canvas>", ""), ("<template>", ""),
+    ("<svg><g><svg><text>no</text></svg><text>no</text></g></svg>", ""), ("<math><mi>x</mi><mo>=</mo><mn>2</mn></math>", "x=2")])
+def test_silent_elements_end_with_their_parent(odd, inner):
+    _, runs = ht.read(f"<html><body><article><div>{odd}</div><p>First text.</p><p>Second text.</p></article></body></html>")
+    assert "\n".join(t for _, t in runs) == "\n".join([*[inner] * bool(inner), "First text.", "Second text."])
+
+
+def test_raw_text_without_end_reaches_to_the_end():
+    for name in ("script", "style", "textarea", "iframe", "title"):
+        assert [t for _, t in ht.read(f"<p>Text.</p><{name}>a < b <p>no")[1]] == ["Text."]
+
+
+def test_a_block_ends_an_open_drawing():
+    page = "<article><svg><path d='x'><p>First text.</p><p>Second text.</p></article>"
+    assert [t for _, t in ht.read(page)[1]] == ["First text.", "Second text."]
+
+
+def test_whole_text_of_a_page_without_article(spark, model):
+    plain = PAGE.replace("<article>", '<div class="post-content">').replace("</article>", "</div>")
+    assert texts(spark, model, [plain])[0] == MAIN
