@@ -1,4 +1,5 @@
-"""Time the headline queries and print one JSON line.
+"""Time the headline queries and print one JSON line; each figure goes to stderr at once, and a run that is ended by a
+signal prints what it has.
 
 Every result row is produced (``noop`` sink). 'prepare' is the one-off join, split and write that the
 page queries read from; it is timed on its own and counted in the total.
@@ -8,6 +9,8 @@ from __future__ import annotations
 
 import json
 import os
+import signal
+import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -18,7 +21,7 @@ HEADLINE = [
     "scan_deliveries", "temporal_split", "kpis_actual", "by_zone", "by_road", "traffic_impact", "flashcards",
     "error_evolution", "error_histogram", "road_box", "profile_describe", "kpis_confidence", "scaler_stats",
     "scale_numeric", "one_hot", "ordinal_encode", "scenario_daily", "zone_risk", "scenario_daily_full",
-    "kpis_future", "ridge1d", "train_ridge", "train_glm", "batch_score", "train_all",
+    "kpis_future", "ridge1d", "train_ridge", "train_glm", "train_all", "batch_score",
 ]
 
 
@@ -29,6 +32,7 @@ def main() -> None:
              .config("spark.sql.shuffle.partitions", cpus)
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
+             .config("spark.python.unix.domain.socket.enabled", "true")
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
              .getOrCreate())
@@ -36,16 +40,26 @@ def main() -> None:
     spark.range(1).count()
     times: dict[str, float] = {}
 
+    def report() -> None:
+        print(json.dumps({"metric": "total_query_time", "value": round(sum(times.values()), 3), "unit": "sec",
+                          "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}), flush=True)
+
+    def ended(*_) -> None:
+        report()
+        os._exit(1)
+
+    signal.signal(signal.SIGTERM, ended)
+
     def timed(name, action):
         start = time.perf_counter()
         action()
         times[name] = round(time.perf_counter() - start, 3)
+        print(f"{name}: {times[name]} s", file=sys.stderr, flush=True)
 
     timed("prepare", lambda: catalog._prepared(spark, sf_dir))
     for name in HEADLINE:
         timed(name, lambda: catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save())
-    print(json.dumps({"metric": "total_query_time", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+    report()
     spark.stop()
 
 

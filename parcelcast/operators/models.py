@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
+import threading
+import time
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-from pyspark import StorageLevel
+from pyspark import InheritableThread, StorageLevel
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, GeneralizedLinearRegression, LinearRegression
+from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from parcelcast.operators import boost
 from parcelcast.operators.encode import fit_linear_features, fit_tree_features, linear_feature_names
 from parcelcast.operators.kpi import regression_metrics
 from parcelcast.operators.registry import model_metric
 from parcelcast.operators.requests import complete_requests
 from parcelcast.schema import (DEFAULT_MODEL, FALLBACK_ORDER, FAMILIES, PREDICTION_FLOOR, REGISTRY_NAMES,
                                TARGET, TREE_FEATURES)
-from parcelcast.session import checkpoint_root, local_table, pin
+from parcelcast.session import ROW_ID, local_table, pin
 
 NORMAL_SOLVER_LIMIT = 4096
 
@@ -107,19 +112,6 @@ def fit_glm(features: DataFrame, preparation: PipelineModel, iterations: int = 1
     raise AssertionError("unreachable")
 
 
-def first_rounds(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
-    """The model of the first ``rounds`` trees; a round does not depend on those that follow it."""
-    spark, java = SparkSession.active(), model._java_obj
-    jvm, trees, weights = spark._jvm, java.trees(), java.treeWeights()
-    ml = jvm.org.apache.spark.ml
-    kept = spark.sparkContext._gateway.new_array(ml.regression.DecisionTreeRegressionModel, rounds)
-    kept_weights = spark.sparkContext._gateway.new_array(jvm.double, rounds)
-    for i in range(rounds):
-        kept[i], kept_weights[i] = trees[i], weights[i]
-    cut = ml.regression.GBTRegressionModel(java.uid(), kept, kept_weights, java.numFeatures())
-    return GBTRegressionModel(java.copyValues(cut, ml.param.ParamMap()))
-
-
 def best_round(errors: Sequence[float], patience: int) -> tuple[int, bool]:
     """The round of the smallest error up to where ``patience`` rounds in a row bring no smaller one, and whether they did."""
     best = 0
@@ -132,30 +124,23 @@ def best_round(errors: Sequence[float], patience: int) -> tuple[int, bool]:
 
 
 def fit_hist_boost(features: DataFrame, preparation: PipelineModel, keys: Sequence[str], rounds: int = 500,
-                   patience: int = 10) -> Fitted:
-    """Boosted depth-5 trees on up to 255 bins. The error on a held-out fifth, chosen by row hash, ends them where
-    ``patience`` rounds bring no smaller one, and the trees up to the best round stay.
+                   patience: int = 10, cancelled: Callable[[], bool] = lambda: False) -> Fitted:
+    """Boosted depth-5 trees of at most 31 leaves with 20 rows each. The error on a held-out fifth, chosen by row hash, is
+    judged after each round; where ``patience`` rounds bring no smaller one the fit ends, and the trees up to the best
+    round stay."""
+    row_hash = F.xxhash64(*keys)
+    shape = boost.Shape(rounds, depth=5, least=20, leaves=31)
+    trees = boost.fit(features, TARGET, row_hash, shape, F.pmod(row_hash, F.lit(5)) == 0,
+                      lambda errors: best_round(errors, patience), cancelled)
+    return Fitted("histgb", PipelineModel(stages=[*preparation.stages, boost.BoostedTrees(trees)]), note=f"rounds={len(trees)}")
 
-    Spark stops without patience, so a quarter of the rounds is fitted and, only if they do not reach the end, all.
-    """
-    held_out = F.pmod(F.xxhash64(*keys), F.lit(5)) == 0
-    fitted, judged = features.where(~held_out), features.where(held_out)
-    for most in (max(1, rounds // 4), rounds):
-        model = GBTRegressor(labelCol=TARGET, maxDepth=5, stepSize=0.05, maxIter=most, maxBins=255, seed=42,
-                             checkpointInterval=10, cacheNodeIds=True).fit(fitted)
-        best, ended = best_round(model.evaluateEachIteration(judged, "squared"), patience) if not judged.isEmpty() else (most, False)
-        if ended:
-            break
-    model = first_rounds(model, best)
-    return Fitted("histgb", PipelineModel(stages=[*preparation.stages, model]), note=f"rounds={model.getNumTrees}")
-
-
-def fit_boost(features: DataFrame, preparation: PipelineModel, rounds: int = 1000) -> Fitted:
-    """Boosted depth-6 trees, each on 80 % of the rows and of the columns, for a fixed number of rounds."""
-    model = GBTRegressor(labelCol=TARGET, maxDepth=6, stepSize=0.05, maxIter=rounds, subsamplingRate=0.8,
-                         featureSubsetStrategy="0.8", maxBins=255, seed=42, checkpointInterval=10,
-                         cacheNodeIds=True).fit(features)
-    return Fitted("xgboost", PipelineModel(stages=[*preparation.stages, model]), note=f"rounds={model.getNumTrees}")
+
+def fit_boost(features: DataFrame, preparation: PipelineModel, keys: Sequence[str], rounds: int = 1000,
+              cancelled: Callable[[], bool] = lambda: False) -> Fitted:
+    """Boosted depth-6 trees with L2 term 1, each on 80 % of the rows and of the columns, for a fixed number of rounds."""
+    shape = boost.Shape(rounds, depth=6, l2=1.0, row_share=0.8, column_share=0.8)
+    trees = boost.fit(features, TARGET, F.xxhash64(*keys), shape, cancelled=cancelled)
+    return Fitted("xgboost", PipelineModel(stages=[*preparation.stages, boost.BoostedTrees(trees)]), note=f"rounds={len(trees)}")
 
 
 def evaluate(model: Fitted, train_rows: int, validation: DataFrame) -> DataFrame:
@@ -174,13 +159,18 @@ def feature_rows(family: str, train: DataFrame, order: Sequence[str]) -> tuple[P
     """The fitted preparation of a family and its persisted feature rows."""
     linear = family in ("linear", "glm")
     preparation = fit_linear_features(train) if linear else fit_tree_features(train, order)
-    keys = [] if linear else list(order)      # the held-out rows of the trees are chosen by key
+    keys = [] if linear else _row_keys(train, order)      # rows of the trees are drawn by key
     rows = preparation.transform(train.select(*dict.fromkeys([*keys, *TREE_FEATURES, TARGET])))
     return preparation, rows.select(*keys, "features", TARGET).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def _row_keys(rows: DataFrame, order: Sequence[str]) -> list[str]:
+    """What tells rows apart: the order's columns and, where it is there, the stored row number."""
+    return [*order, *([ROW_ID] if ROW_ID in rows.columns and ROW_ID not in order else [])]
+
+
 def fit_family(family: str, train: DataFrame, order: Sequence[str], rounds: int | None = None,
-               prepared: tuple[PipelineModel, DataFrame] | None = None) -> Fitted:
+               prepared: tuple[PipelineModel, DataFrame] | None = None, cancelled: Callable[[], bool] = lambda: False) -> Fitted:
     """Fit one family; the feature rows are kept while the fit iterates, and those given are left to the caller."""
     if family not in FAMILIES:
         raise ValueError(f"unknown model family {family!r}; known: {FAMILIES}")
@@ -190,54 +180,84 @@ def fit_family(family: str, train: DataFrame, order: Sequence[str], rounds: int
             return fit_ridge(rows, preparation)
         if family == "glm":
             return fit_glm(rows, preparation)
-        checkpoint_root(train.sparkSession)       # tree lineage is cut every ten rounds
         given = {} if rounds is None else {"rounds": rounds}
-        if family == "histgb":
-            return fit_hist_boost(rows, preparation, order, **given)
-        if family == "xgboost":
-            return fit_boost(rows, preparation, **given)
-        raise AssertionError("unreachable")
+        fit = {"histgb": fit_hist_boost, "xgboost": fit_boost}[family]
+        return fit(rows, preparation, _row_keys(rows, order), cancelled=cancelled, **given)
     finally:
         if prepared is None:
             rows.unpersist()
 
 
 def train_all(train: DataFrame, validation: DataFrame, order: Sequence[str], rounds: int | None = None,
-              families: Sequence[str] = FAMILIES) -> tuple[dict[str, Fitted], DataFrame, DataFrame]:
-    """Fit every family, going on when one fails; returns models, a status table and registry rows."""
+              families: Sequence[str] = FAMILIES, limit_s: float = 600.0, together: int = 4
+              ) -> tuple[dict[str, Fitted], DataFrame, DataFrame]:
+    """Fit every family, going on when one fails; returns models, a status table and registry rows.
+
+    Families are fitted side by side, each in a thread with a job group and a scheduler pool of its own. One that takes
+    longer than ``limit_s`` seconds has its jobs cancelled and counts as timed out; the others go on.
+    """
     spark = train.sparkSession
-    train_rows = train.count()
-    models, status, registry = {}, [], None
-    prepared: dict[bool, tuple[PipelineModel, DataFrame]] = {}       # one table for both linear families, one for the trees
-    for family in families:
+    sc, train_rows = spark.sparkContext, train.count()
+    prepared = {}                                            # one table for both linear families, one for the trees
+    for kind in dict.fromkeys(f in ("linear", "glm") for f in families if f in FAMILIES):
+        prepared[kind] = feature_rows("linear" if kind else "histgb", train, order)
+    models, registry, notes, started = {}, {}, {}, {}
+    over = {family: threading.Event() for family in families}
+    group = {family: f"train-{family}-{uuid.uuid4().hex}" for family in families}
+
+    def work(family: str) -> None:
+        sc.setJobGroup(group[family], f"training of {family}", interruptOnCancel=True)
+        sc.setLocalProperty("spark.scheduler.pool", group[family])
+        started[family] = time.monotonic()
         try:
-            linear = family in ("linear", "glm")
-            if linear not in prepared:
-                prepared[linear] = feature_rows(family, train, order)
-            models[family] = fit_family(family, train, order, rounds, prepared[linear])
-            row = pin(evaluate(models[family], train_rows, validation), 1)      # scored here, once, inside the try
-            registry = row if registry is None else registry.unionByName(row)
-            status.append((family, True, models[family].note))
-        except (PySparkException, ArithmeticError, ValueError, RuntimeError) as error:
-            models.pop(family, None)
-            status.append((family, False, str(error).splitlines()[0] if str(error) else type(error).__name__))
+            made = fit_family(family, train, order, rounds, prepared.get(family in ("linear", "glm")), over[family].is_set)
+            row = pin(evaluate(made, train_rows, validation), 1)      # scored here, once, inside the try
+            if not over[family].is_set():
+                models[family], registry[family], notes[family] = made, row, made.note
+        except Exception as error:                           # whatever it is, the other families go on
+            notes.setdefault(family, str(error).splitlines()[0] if str(error) else type(error).__name__)
+
+    waiting, running = list(families), {}
+    while waiting or running:
+        while waiting and len(running) < together:
+            family = waiting.pop(0)
+            running[family] = InheritableThread(target=work, args=(family,), session=spark, daemon=True)
+            running[family].start()
+        for family, thread in list(running.items()):
+            thread.join(0.05)
+            late = time.monotonic() - started.get(family, time.monotonic()) > limit_s
+            if thread.is_alive() and late:
+                notes[family] = f"timed out after {limit_s:g} s"
+                over[family].set()
+                sc.cancelJobGroup(group[family])
+            if late or not thread.is_alive():
+                del running[family]
     for _, rows in prepared.values():
         rows.unpersist()
+    status = [(f, f in models, notes.get(f, "")) for f in families]
     table = local_table(spark, status, "model_name string, trained boolean, note string")
-    if registry is None:
-        registry = local_table(spark, [], "model_name string, mae double, mse double, rmse double,"
-                                             " mape double, n_train bigint, n_validation bigint")
-    return models, table, registry
+    found = [registry[f] for f in families if f in registry]
+    if not found:
+        found = [local_table(spark, [], "model_name string, mae double, mse double, rmse double,"
+                                        " mape double, n_train bigint, n_validation bigint")]
+    return {f: models[f] for f in families if f in models}, table, reduce(DataFrame.unionByName, found)
 
 
 def feature_importance(model: Fitted, limit: int = 5) -> DataFrame:
-    """Largest importances of a tree model, by feature name."""
-    weights = model.regressor.featureImportances.toArray()
+    """Largest importances of a tree model, by feature name: mean gain of the splits on a feature, as a share."""
+    weights = model.regressor.fitted.importances()
     rows = [(name, float(w)) for name, w in zip(TREE_FEATURES, weights)]
     table = local_table(SparkSession.active(), rows, "feature string, importance double")
     return table.orderBy(F.desc("importance"), "feature").limit(limit)
 
 
+def permutation_importance(model: Fitted, rows: DataFrame, order: Sequence[str], limit: int = 5) -> DataFrame:
+    """Features whose shuffling raises the squared error most, for any family."""
+    keys = F.xxhash64(*_row_keys(rows, order))
+    found = boost.permutation_importance(rows, TARGET, TREE_FEATURES, model.predict, keys)
+    return found.orderBy(F.desc("increase"), "feature").limit(limit)
+
+
 def coefficients(model: Fitted) -> DataFrame:
     names = linear_feature_names(model.pipeline)
     for stage in model.pipeline.stages:
@@ -250,23 +270,22 @@ def coefficients(model: Fitted) -> DataFrame:
 
 
 def gradients(model: Fitted, train: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """How far each weight of a linear or Gamma model is from its optimum, per training row: one aggregate.
+    """How far each weight of a linear or Gamma model is from its optimum, per training row: one pass, combined before
+    the shuffle, a row a feature.
 
-    Ridge: mean of x (y - p), less ``alpha`` w / n. Gamma with log link: mean of x (y - p) / p. Both are 0 at the optimum.
+    Ridge: mean of x (y - p), less ``alpha`` w / n. Gamma with log link: mean of x (y - p) / p. Both are 0 at the
+    optimum, for the Gamma model also at the columns it leaves out, which are sums of others.
     """
     names = linear_feature_names(model.pipeline)
-    for stage in model.pipeline.stages:
-        if isinstance(stage, VectorSlicer):
-            names = [names[i] for i in stage.getIndices()]
     ridge = model.family == "linear"
-    used = "features" if ridge else "independent"
     scored = model.pipeline.transform(train.select(*_needed(train)))
     error = F.col(TARGET) - F.col("prediction")
-    rows = scored.select(vector_to_array(used).alias("x"), (error if ridge else error / F.col("prediction")).alias("e"))
-    sums = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.get("x", F.lit(i)) * F.col("e")).alias(f"g{i}") for i in range(len(names))]).first()
-    weights = model.regressor.coefficients.toArray()
-    table = [(name, float(sums[f"g{i}"] or 0.0) - (alpha * float(weights[i]) / sums["n"] if ridge else 0.0), sums["n"]) for i, name in enumerate(names)]
-    return local_table(SparkSession.active(), table, "feature string, gradient double, n_train bigint")
+    rows = scored.select(F.posexplode(vector_to_array("features")).alias("i", "x"), (error if ridge else error / F.col("prediction")).alias("e"))
+    sums = rows.groupBy("i").agg(F.avg(F.col("x") * F.col("e")).alias("g"), F.count(F.lit(1)).alias("n_train"))
+    weights = model.regressor.coefficients.toArray() if ridge else np.zeros(len(names))
+    known = local_table(SparkSession.active(), [(i, name, float(w)) for i, (name, w) in enumerate(zip(names, weights))], "i int, feature string, w double")
+    pull = F.lit(alpha) * F.col("w") / F.col("n_train")
+    return sums.join(known, "i").select("feature", (F.col("g") - pull).alias("gradient"), "n_train")
 
 
 def save_models(models: dict[str, Fitted], root: str) -> None:

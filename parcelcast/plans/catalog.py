@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from parcelcast.functions import columns as fx
 from parcelcast.operators import encode, kpi, models, order, profile, registry as reg, requests, scenario
 from parcelcast.plans import pages
 from parcelcast.plans.baselines import line_registry
 from parcelcast.plans.prepare import once, prepare
-from parcelcast.schema import (CATEGORICAL, ERROR_SEGMENTS, ESTIMATE, NUMERIC, TABLE_BOUNDS, TARGET,
+from parcelcast.schema import (CATEGORICAL, ERROR_SEGMENTS, ESTIMATE, FAMILIES, NUMERIC, TABLE_BOUNDS, TARGET,
                                TOP_ZONES)
 from parcelcast.session import ROW_ID, pin, scratch_path
 from parcelcast.sources import artifacts
@@ -453,7 +453,7 @@ def _trained_registry(spark, sf) -> DataFrame:
 
 
 def ridge_gradient(spark, sf):
-    """Distance of every numeric weight of the ridge from its optimum, in thousandths."""
+    """Distance of every weight of the ridge from its optimum, in thousandths."""
     fitted = models.load_model(_saved_linear(spark, sf)[0], "linear")
     return _settled(models.gradients(fitted, _train(spark, sf)))
 
@@ -463,8 +463,7 @@ def glm_gradient(spark, sf):
 
 
 def _settled(found: DataFrame) -> DataFrame:
-    numeric = found.where(F.col("feature").isin("distancia_km", "nivel_trafico", "lluvia_mm", "pendiente_promedio", "zona_riesgo"))
-    return numeric.select("feature", (F.round("gradient", 3) + 0.0).alias("gradient"), "n_train")
+    return found.select("feature", (F.round("gradient", 3) + 0.0).alias("gradient"), "n_train")
 
 
 def training_report(spark, sf):
@@ -475,10 +474,6 @@ def training_report(spark, sf):
                        (F.col("rmse") < spread).cast("int").alias("beats_mean"))
 
 
-def batch_status(spark, sf):
-    return batch_score(spark, sf).select(*KEYS, "model_name", "status", "violations", F.col("prediction").isNotNull().cast("int").alias("scored"))
-
-
 def _boosted(family, spark, sf):
     return rounded(_trained_registry(spark, sf).where(F.col("model_name") == family).drop("ord"))
 
@@ -489,6 +484,21 @@ def feature_importance(spark, sf):
     return rounded(found[0].unionByName(found[1]))
 
 
+def importance_order(spark, sf):
+    """Whether each tree model has five importances in falling order that are shares."""
+    place = F.row_number().over(Window.partitionBy("model_name").orderBy(F.desc("importance"), "feature"))
+    sums = F.sum("importance").over(Window.partitionBy("model_name"))
+    rows = feature_importance(spark, sf).withColumns({"rank": place, "all": sums})
+    return rows.select("model_name", "rank", F.col("importance").between(0, 1).cast("int").alias("is_share"), (F.col("all") <= 1.00001).cast("int").alias("in_sum"))
+
+
+def permutation_importance(spark, sf):
+    """By how much shuffling a feature raises the squared error on the validation part, for both tree models."""
+    fitted, rows = _trained(spark, sf)[0], _validation(spark, sf)
+    found = [models.permutation_importance(fitted[f], rows, ORDER).withColumn("model_name", F.lit(f)) for f in ("histgb", "xgboost")]
+    return rounded(found[0].unionByName(found[1]))
+
+
 def train_all(spark, sf):
     return rounded(_trained(spark, sf)[1].join(_trained_registry(spark, sf).drop("ord"), "model_name", "left"))
 
@@ -506,30 +516,69 @@ def _saved_linear(spark, sf) -> tuple[str, DataFrame]:
     return once(spark, ("ridge", sf), build)
 
 
-def batch_score(spark, sf):
-    root, registry = _saved_linear(spark, sf)
-    available = [f for f in ("linear", "glm", "histgb", "xgboost") if models.is_saved(spark, root, f)]
-    fitted = models.load_model(root, models.choose_model("xgboost", available))
+def _batch(spark, sf, root: str, registry: DataFrame, requested: str) -> DataFrame:
+    """All requests scored by the requested model of a folder, or by its stand-in where that is not saved."""
+    available = [f for f in FAMILIES if models.is_saved(spark, root, f)]
+    fitted = models.load_model(root, models.choose_model(requested, available))
     checked = requests.validate_requests(_requests(spark, sf))
     scored = models.batch_score(checked, fitted.family, fitted.predict, registry, KEYS)
     return rounded(scored.withColumn("input_features", F.to_json("input_features")))
 
 
+def batch_score(spark, sf):
+    return _batch(spark, sf, _trained(spark, sf)[2], _trained_registry(spark, sf), "xgboost")
+
+
+def batch_score_fallback(spark, sf):
+    """The boosted model asked for in a folder that has the ridge alone."""
+    return _batch(spark, sf, *_saved_linear(spark, sf), "xgboost")
+
+
+def _status(scored: DataFrame) -> DataFrame:
+    return scored.select(*KEYS, "model_name", "status", "violations", F.col("prediction").isNotNull().cast("int").alias("scored"),
+                         F.coalesce(F.col("rmse_validation") > 0, F.lit(False)).cast("int").alias("has_rmse"))
+
+
+def batch_status(spark, sf):
+    return _status(batch_score(spark, sf))
+
+
+def batch_status_fallback(spark, sf):
+    return _status(batch_score_fallback(spark, sf))
+
+
 def batch_score_formula(spark, sf):
     checked = requests.validate_requests(_requests(spark, sf))
     scored = models.batch_score(checked, "linear", scenario.formula_predictor, _registry(spark, sf), KEYS)
     return rounded(scored.drop("input_features"))
 
 
-def model_availability(spark, sf):
-    root, registry = _saved_linear(spark, sf)
-    found = models.model_availability(spark, root, registry)
+def _availability(found: DataFrame) -> DataFrame:
     return found.select([F.col(c).cast("int").alias(c) if t == "boolean" else F.col(c) for c, t in found.dtypes])
 
 
+def model_availability(spark, sf):
+    return _availability(models.model_availability(spark, _trained(spark, sf)[2], _trained_registry(spark, sf)))
+
+
+def model_availability_fallback(spark, sf):
+    """Of a folder that has the ridge alone."""
+    return _availability(models.model_availability(spark, *_saved_linear(spark, sf)))
+
+
 def scenario_with_model(spark, sf):
-    fitted = models.load_model(_saved_linear(spark, sf)[0], "linear")
-    return rounded(scenario.project_month(_pool(spark, sf), *MONTH, predictor=fitted.predict).daily)
+    """The month by the trained model of the smallest error, and by the boosted trees."""
+    best = _trained_registry(spark, sf).orderBy("rmse", "ord").first()["model_name"]
+    root = _trained(spark, sf)[2]
+    days = [scenario.project_month(_pool(spark, sf), *MONTH, predictor=models.load_model(root, f).predict).daily.withColumn("model_name", F.lit(f))
+            for f in dict.fromkeys((best, "xgboost"))]
+    return rounded(reduce(DataFrame.unionByName, days))
+
+
+def scenario_days(spark, sf):
+    """What SQL can say of the projection with trained models: days, demand and traffic, and that the times are in range."""
+    rows = scenario_with_model(spark, sf).where("model_name = 'xgboost'")
+    return rows.select("day", "demand_predicted", "traffic_expected", F.col("eta_expected").between(0.1, 300.0).cast("int").alias("in_range"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
@@ -542,7 +591,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     registry_load, normalize_model_name, registry_upsert, best_model, model_comparison, kpis_confidence,
     scaler_stats, scale_numeric, one_hot, ordinal_encode, bind_features_target, write_feature_sets,
     weekday_factor, demand_base, demand_base_calendar, daily_demand, scenario_daily, scenario_daily_full,
-    ridge_gradient, glm_gradient, training_report, batch_status, scenario_daily_sample, zone_risk_sample, eta_points_sample, monthly_payload,
+    ridge_gradient, glm_gradient, training_report, batch_status, batch_status_fallback, batch_score_fallback, importance_order,
+    permutation_importance, model_availability_fallback, scenario_days, scenario_daily_sample, zone_risk_sample, eta_points_sample, monthly_payload,
     scenario_summary, zone_risk, traffic_risk_points, eta_distribution, historical_vs_predicted, kpis_future,
     ridge1d, train_ridge, train_glm, feature_importance, train_all, batch_score, batch_score_formula,
     model_availability, scenario_with_model)}

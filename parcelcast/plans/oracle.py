@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parcelcast.schema import KNOWN_ZONES, NUMERIC
+from parcelcast.schema import CATEGORICAL, KNOWN_ZONES, NUMERIC
 
 KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 ORDER = "fecha_pedido, " + KEYS
@@ -278,9 +278,25 @@ def _zones() -> str:
 
 
 def _gradients() -> str:
-    """At the optimum every mean gradient is zero; the rows counted are all training rows."""
-    return _d(" union all ".join(f"select '{c}' as feature, 0e0 as gradient, count(*) as n_train from train" for c in (
-        "distancia_km", "nivel_trafico", "lluvia_mm", "pendiente_promedio", "zona_riesgo")))
+    """At the optimum every mean gradient is zero, of all numeric columns and all categories; the rows counted are all
+    training rows."""
+    numeric = [f"select '{c}' as feature from train group by 1" for c in NUMERIC]
+    categories = [f"select distinct '{c}=' || {c} as feature from train where {c} is not null" for c in CATEGORICAL]
+    return _d("select feature, 0e0 as gradient, (select count(*) from train) as n_train from (" + " union all ".join(numeric + categories) + ")")
+
+
+def _status(model: str) -> str:
+    return _q(f"""
+        select {KEYS}, '{model}' as model_name, case when v = '' then 'success' else 'rejected' end as status, v as violations,
+          cast(v = '' as integer) as scored, 1 as has_rmse
+        from (select *, {_REQUEST_RULES} as v from requests)""")
+
+
+def _available(saved: str) -> str:
+    return _d(f"""
+        select unnest(['linear', 'glm', 'histgb', 'xgboost']) as model_name, unnest([{saved}]) as available,
+          unnest([1, 0, 0, 0]) as is_default, 'ok' as status,
+          (select cast(count(*) > 0 as integer) from validation) as metrics_available""")
 
 
 ORACLE: dict[str, str] = {
@@ -478,14 +494,16 @@ ORACLE: dict[str, str] = {
     "training_report": _d("""
         select unnest(['linear', 'glm', 'histgb', 'xgboost']) as model_name, 1 as trained,
           (select count(*) from train) as n_train, (select count(*) from validation) as n_validation, 1 as beats_mean"""),
-    "batch_status": _q(f"""
-        select {KEYS}, 'linear' as model_name, case when v = '' then 'success' else 'rejected' end as status, v as violations,
-          cast(v = '' as integer) as scored
-        from (select *, {_REQUEST_RULES} as v from requests)"""),
-    "model_availability": _d("""
-        select unnest(['linear', 'glm', 'histgb', 'xgboost']) as model_name, unnest([1, 0, 0, 0]) as available,
-          unnest([1, 0, 0, 0]) as is_default, 'ok' as status,
-          (select cast(count(*) > 0 as integer) from validation) as metrics_available"""),
+    "batch_status": _status("xgboost"),
+    "batch_status_fallback": _status("linear"),
+    "model_availability": _available("1, 1, 1, 1"),
+    "model_availability_fallback": _available("1, 0, 0, 0"),
+    "importance_order": """
+        select m.model_name, cast(r.rank as integer) as rank, 1 as is_share, 1 as in_sum
+        from (select unnest(['histgb', 'xgboost']) as model_name) m, (select unnest(range(1, 6)) as rank) r""",
+    "scenario_days": _s("""
+        select d.day, max(d.demand_predicted) as demand_predicted, round(avg(f.nivel_trafico), 6) as traffic_expected, 1 as in_range
+        from days d join features f on f.dia_semana = d.dow group by 1"""),
     "ridge1d": _d("""
         select round(w, 6) as w, round(my - w * mx, 6) as intercept, n
         from (select covar_pop(tiempo_real_min, distancia_km) * count(*) / (var_pop(distancia_km) * count(*) + 1e0) as w,

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import threading
 import uuid
+import zipfile
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -11,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 ROW_ID = "row_id"
+_SHIPPING = threading.Lock()
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -70,3 +74,21 @@ def local_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType
         schema = T.StructType.fromDDL(schema)
     columns = {f.name: [r[i] for r in rows] for i, f in enumerate(schema.fields)}
     return spark.createDataFrame(pa.table(columns), schema)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the executors once, so that tasks can import it wherever they run."""
+    sc = spark.sparkContext
+    with _SHIPPING:
+        if getattr(sc, "_parcelcast_sent", False):
+            return
+        root = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="parcelcast-source-"), "parcelcast_core.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for folder, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
+        sc.addPyFile(archive)
+        sc._parcelcast_sent = True

@@ -1,11 +1,14 @@
 """Fitted models against closed forms, and their saving, choosing and scoring."""
 
+import time
+from dataclasses import replace
+
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from parcelcast.operators import encode, models, registry as reg
+from parcelcast.operators import boost, encode, models, registry as reg
 from parcelcast.plans import catalog
 from parcelcast.plans.catalog import _requests
 from parcelcast.operators.requests import accepted, validate_requests
@@ -119,15 +122,15 @@ def test_batch_scoring(spark, sf, trained, family):
 
 def test_registered_trainings_run_all_rounds(spark, sf, monkeypatch):
     asked = []
-    for name in ("fit_hist_boost", "fit_boost"):
-        def short(*given, real=getattr(models, name), **options):
-            asked.append(options)
-            return real(*given, **options | {"rounds": 2})
 
-        monkeypatch.setattr(models, name, short)
+    def short(rows, label, row_hash, shape, *given, real=boost.fit, **options):
+        asked.append((shape.rounds, shape.depth))
+        return real(rows, label, row_hash, replace(shape, rounds=2), *given, **options)
+
+    monkeypatch.setattr(boost, "fit", short)
     monkeypatch.setattr(catalog, "once", lambda spark, key, build: build())
     catalog._trained(spark, sf)
-    assert asked == [{}, {}]        # the published 500 and 1000 rounds, and no other end
+    assert sorted(asked) == [(500, 5), (1000, 6)]        # the published rounds, and no other end but patience
 
 
 def test_boosting_takes_a_fixed_number_of_rounds(parts):
@@ -140,11 +143,97 @@ def test_patience_outlasts_weak_rounds():
     assert models.best_round([*weak, 7.2, 1.0], 10) == (6, True) and models.best_round([*weak, 6.9, 7.0], 10) == (16, False)
 
 
-def test_the_best_validated_round_is_kept(parts, monkeypatch):
-    monkeypatch.setattr(models, "best_round", lambda errors, patience: (3, True))
-    found = models.fit_family("histgb", parts[0], ORDER, rounds=24)
-    monkeypatch.setattr(models, "best_round", lambda errors, patience: (len(errors), True))
-    whole = models.fit_family("histgb", parts[0], ORDER, rounds=12)      # a quarter of them: the same three
-    rows = parts[1].limit(50)
-    assert found.note == whole.note == "rounds=3"
-    assert found.predict(rows).select("prediction").collect() == whole.predict(rows).select("prediction").collect()
+def _rows(spark, n=3000, parts=4, seed=0):
+    rng = np.random.default_rng(seed)
+    x = np.column_stack([rng.normal(size=n), rng.integers(0, 4, n), rng.normal(size=n)])
+    y = 5 + 2 * (x[:, 0] > 0.3) - 3 * (x[:, 1] == 2) + 0.1 * rng.normal(size=n)
+    rows = _vectors(spark, [(i, a.tolist(), float(b)) for i, (a, b) in enumerate(zip(x, y))])
+    return rows.repartition(parts, "id"), x, y
+
+
+def _vectors(spark, rows):
+    return spark.createDataFrame(rows, "id long, x array<double>, y double").select("id", array_to_vector("x").alias("features"), "y")
+
+
+def _plain(x, y, edges, rounds, depth, rate, l2):
+    """The same trees by exhaustive search over rows."""
+    score = np.full(len(y), y.mean())
+    for _ in range(rounds):
+        leaf, values = np.zeros(len(y), int), np.zeros(len(y))
+        groups = [np.arange(len(y))]
+        for _ in range(depth):
+            after = []
+            for rows in groups:
+                g, best = (score - y)[rows], (1e-9, None)
+                for j, cuts in enumerate(edges):
+                    for c in cuts:
+                        left = x[rows, j] <= c
+                        if left.all() or not left.any():
+                            continue
+                        gain = sum(g[m].sum() ** 2 / (m.sum() + l2) for m in (left, ~left)) - g.sum() ** 2 / (len(g) + l2)
+                        best = max(best, (gain + 1e-12, left), key=lambda t: t[0])
+                after += [rows] if best[1] is None else [rows[best[1]], rows[~best[1]]]
+            groups = after
+        for rows in groups:
+            values[rows] = -rate * (score - y)[rows].sum() / (len(rows) + l2)
+        score = score + values
+    return score
+
+
+def test_trees_equal_an_exhaustive_search(spark, monkeypatch):
+    rows, x, y = _rows(spark, 400)
+    shape = boost.Shape(5, depth=3, rate=0.3, l2=1.0)
+    edges = boost.column_edges(rows, 3)
+    want = _plain(x, y, [e[::12] if len(e) > 12 else e for e in edges], 5, 3, 0.3, 1.0)
+    monkeypatch.setattr(boost, "column_edges", lambda rows, width: [e[::12] if len(e) > 12 else e for e in edges])
+    assert np.allclose(boost.fit(rows, "y", F.xxhash64("id"), shape).predict(x), want)
+    monkeypatch.setattr(boost, "BLOCK_ROWS", 100)        # four tasks, a job a level
+    monkeypatch.setattr(boost, "RENEW", 2)
+    assert np.allclose(boost.fit(rows, "y", F.xxhash64("id"), shape).predict(x), want)
+
+
+def test_one_block_and_many_give_the_same_trees(spark, monkeypatch):
+    rows, x, _ = _rows(spark)
+    shape = boost.Shape(12, depth=4, l2=1.0, least=20, leaves=12, row_share=0.8, column_share=0.7)
+    held = F.col("id") % 5 == 0
+    judge = lambda errors: (len(errors), False)
+    monkeypatch.setattr(boost, "column_edges", lambda rows, width, known=boost.column_edges(rows, 3): known)
+    one = boost.fit(rows, "y", F.xxhash64("id"), shape, held, judge)
+    monkeypatch.setattr(boost, "BLOCK_ROWS", 700)
+    monkeypatch.setattr(boost, "RENEW", 5)
+    many = boost.fit(rows, "y", F.xxhash64("id"), shape, held, judge)
+    assert np.allclose(one.predict(x), many.predict(x)) and np.allclose(one.errors, many.errors)
+    assert len(one.errors) == 12 and one.errors == sorted(one.errors, reverse=True)
+    assert ((one.gain > 0).sum(axis=1) <= 11).all()
+
+
+def test_rounds_end_at_the_best_validated_one(spark):
+    rows, _, _ = _rows(spark)
+    held = F.col("id") % 5 == 0
+    found = boost.fit(rows, "y", F.xxhash64("id"), boost.Shape(60, depth=3), held, lambda errors: (3, len(errors) >= 7))
+    longer = boost.fit(rows, "y", F.xxhash64("id"), boost.Shape(3, depth=3), held)
+    assert len(found) == 3 and len(found.errors) == 3
+    assert np.array_equal(found.threshold, longer.threshold) and np.array_equal(found.value, longer.value)
+
+
+def test_rows_without_anything_to_learn(spark):
+    nothing = boost.fit(_vectors(spark, []), "y", F.xxhash64("id"), boost.Shape(3, depth=2))
+    same = boost.fit(_vectors(spark, [(1, [1.0], 4.0), (2, [1.0], 4.0), (3, [2.0], None)]), "y", F.xxhash64("id"), boost.Shape(3, depth=2))
+    assert len(nothing) == 0 and same.predict(np.array([[1.0], [9.0]])).tolist() == [4.0, 4.0]
+
+
+def test_a_family_that_never_ends_is_cancelled(parts, monkeypatch):
+    def endless(features, preparation, keys, **_):
+        features.rdd.coalesce(1).mapPartitions(lambda rows: [time.sleep(3600)]).count()      # leaves cores to the others
+
+    monkeypatch.setattr(models, "fit_boost", endless)
+    start = time.monotonic()
+    fitted, status, registry = models.train_all(*parts, ORDER, families=["linear", "xgboost"], limit_s=40)
+    assert time.monotonic() - start < 100 and list(fitted) == ["linear"] and registry.count() == 1
+    assert [(r["trained"], r["note"]) for r in status.collect()] == [(True, ""), (False, "timed out after 40 s")]
+
+
+def test_shuffled_columns_raise_the_error(trained, parts):
+    rows = models.permutation_importance(trained[0]["histgb"], parts[1], ORDER).collect()
+    assert len(rows) == 5 and rows[0]["increase"] > 0 and rows == sorted(rows, key=lambda r: -r["increase"])
+    assert rows[0]["feature"] in ("tipo_via", "tiempo_estimado_min", "nivel_trafico")
