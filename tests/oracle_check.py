@@ -48,7 +48,7 @@ def compare(df, con, sql: str) -> str | None:
     if different:
         return f"{len(different)} of {len(a)} rows differ, first: {different[0][0]} != {different[0][1]}"
     types = {type(v) for r in a for v in r} - {type(None)}
-    if not types <= {int, float, str}:
+    if not types <= {int, float, str, bool}:
         return f"types {types}"
     return None
 
