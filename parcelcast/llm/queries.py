@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from parcelcast.llm import chat, decontaminate, html_text, lm_score, ngram_join, order_minhash, pieces, repeats, token_file, toxicity
+from parcelcast.llm import chat, decontaminate, html_text, lm_score, merkle, ngram_join, order_minhash, pieces, repeats, token_file, toxicity
 from parcelcast.llm.common import table, written
 from parcelcast.session import scratch_path
 
@@ -94,6 +94,17 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof, and whether what is held (without line ends, for half of the ids) folds to the root."""
+    docs = table(spark, sf_dir, "documents")
+    odd = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 != 0
+    held = F.when(F.coalesce(odd, F.lit(True)), F.col("text")).otherwise(F.replace("text", F.lit("\n"), F.lit("")))
+    found = merkle.manifest(docs, held)
+    folded = merkle.fold(F.coalesce("held_leaf", "leaf"), F.col("path"))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.siblings_hash(F.col("path")).alias("proof_sha256"),
+                        folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_token_file": op2_token_file,
@@ -105,9 +116,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_order_minhash": op9_order_minhash,
     "op10_repeats": op10_repeats,
+    "op12_merkle": op12_merkle,
 }
 _ESCAPED = r"regexp_replace({0}, '(\\*)(\[/?INST\]|</?s>|<</?SYS>>|<</?ROLE>>|<<END>>)', '\1\1\\\2', 'g')"
 
+def _leaf(text: str) -> str:
+    framed = [f"coalesce(octet_length(encode({c}::varchar)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(framed)})"
+
+
+def _climb(name: str, start: str) -> str:
+    """Levels of the trees of each group g: nodes (level, g, i, n, h)."""
+    return f"""{name} as (
+          select 0 as level, g, i, n, h from ({start})
+          union all
+          select level + 1, g, i // 3, (n + 2) // 3, sha256(string_agg(h, '' order by i)) from {name} where n > 1 group by level, g, i // 3, n)"""
+
+
+def _siblings(rows: str, nodes: str, level: str) -> str:
+    return f"""select r.rid, {level} + o.level as level, s.i < o.i as before, s.i, s.h, o.i as own
+          from {rows} r join {nodes} o on o.g is not distinct from r.g and o.i = r.i // (3 ** o.level)::bigint and o.n > 1
+          left join {nodes} s on s.g is not distinct from o.g and s.level = o.level and s.i // 3 = o.i // 3 and s.i <> o.i"""
+
+
+_CRC = """xor(list_reduce([4294967295::bigint] || [ord(c)::bigint for c in string_split(doc_id::varchar, '')],
+            lambda a, x: list_reduce([xor(a, x)] || [0::bigint for k in range(8)], lambda b, k: case when b & 1 = 1 then xor(b >> 1, 3988292384::bigint) else b >> 1 end)), 4294967295::bigint)"""
+
 #: The other operators train, hash or search; tests/llm holds them against brute force.
 ORACLE: dict[str, str] = {
     "op7_chat": f"""
@@ -120,4 +154,26 @@ ORACLE: dict[str, str] = {
           sum(length({_ESCAPED.format('text')}) + case role when 'user' then 15 when 'assistant' then 8 when 'system' then 16
             else 26 + length({_ESCAPED.format('role')}) end)::bigint as formatted_chars
         from said group by conv_id""",
+    "op12_merkle": f"""
+        with recursive hashed as (
+          select row_number() over () as rid, doc_id, source as g, {_leaf('text')} as h, {_leaf("replace(text, chr(10), '')")} as cut, {_CRC} % 2 = 0 as tampered from documents),
+        leaves as (select *, row_number() over (partition by g order by doc_id nulls first, h) - 1 as i, count(*) over (partition by g) as n from hashed),
+        {_climb('nodes', 'select g, i, n, h from leaves')},
+        subroots as (select g as source, h, row_number() over (order by g nulls first) - 1 as i, count(*) over () as n from nodes where n = 1),
+        {_climb('tops', 'select 0 as g, i, n, h from subroots')},
+        upper as (select l.rid, 0 as g, s.i from leaves l join subroots s on s.source is not distinct from l.g),
+        parts as ({_siblings('leaves', 'nodes', '0')} union all {_siblings('upper', 'tops', '1000')}),
+        steps as (
+          select rid, row_number() over (partition by rid order by level) as step,
+            coalesce(string_agg(h, '' order by i) filter (before), '') as l, coalesce(string_agg(h, '' order by i) filter (not before), '') as r
+          from parts group by rid, level),
+        folded as (
+          select rid, 0::bigint as step, case when tampered then cut else h end as h from leaves
+          union all
+          select f.rid, f.step + 1, sha256(s.l || f.h || s.r) from folded f join steps s on s.rid = f.rid and s.step = f.step + 1),
+        proofs as (select rid, sha256(coalesce(string_agg(h, '' order by level, i), '')) as proof from parts group by rid)
+        select l.doc_id, l.h as leaf, s.h as subroot, t.h as root, coalesce(p.proof, sha256('')) as proof_sha256, f.h as folded_root, f.h = t.h as verified
+        from leaves l join subroots s on s.source is not distinct from l.g join (select h from tops where n = 1) t on true
+        left join proofs p on p.rid = l.rid
+        join (select rid, arg_max(h, step) as h from folded group by rid) f on f.rid = l.rid""",
 }
