@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from parcelcast.llm import chat, decontaminate, html_text, lm_score, merkle, ngram_join, order_minhash, pieces, repeats, token_file, toxicity
+from parcelcast.llm import chat, decontaminate, html_text, lexical, lm_score, merkle, nearest, ngram_join, order_minhash, pieces, repeats, token_file, toxicity
 from parcelcast.llm.common import table, written
 from parcelcast.session import scratch_path
 
@@ -94,6 +94,10 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's proof, and whether what is held (without line ends, for half of the ids) folds to the root."""
     docs = table(spark, sf_dir, "documents")
@@ -105,6 +109,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
                         folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_token_file": op2_token_file,
@@ -116,10 +124,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_order_minhash": op9_order_minhash,
     "op10_repeats": op10_repeats,
+    "op11_ranked_search": op11_ranked_search,
     "op12_merkle": op12_merkle,
+    "op13_nearest": op13_nearest,
 }
 _ESCAPED = r"regexp_replace({0}, '(\\*)(\[/?INST\]|</?s>|<</?SYS>>|<</?ROLE>>|<<END>>)', '\1\1\\\2', 'g')"
 
+def _terms(text: str) -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"regexp_extract_all(translate({text}, '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
 def _leaf(text: str) -> str:
     framed = [f"coalesce(octet_length(encode({c}::varchar)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
     return f"sha256({' || '.join(framed)})"
@@ -154,6 +169,21 @@ ORACLE: dict[str, str] = {
           sum(length({_ESCAPED.format('text')}) + case role when 'user' then 15 when 'assistant' then 8 when 'system' then 16
             else 26 + length({_ESCAPED.format('role')}) end)::bigint as formatted_chars
         from said group by conv_id""",
+    "op11_ranked_search": f"""
+        with words as (
+          select rid, doc_id, unnest({_terms('text')}) as term from (select row_number() over () as rid, * from documents)),
+        tf as (select rid, doc_id, term, count(*) as tf from words group by all),
+        lengths as (select rid, count(*) as n from words group by rid),
+        totals as (select count(*) as docs, sum(n)::bigint as terms from lengths),
+        asked as (select item_id, term, count(*) as q from (select item_id, unnest({_terms('text')}) as term from benchmark) group by all),
+        weights as (
+          select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)))::bigint as w
+          from (select term, count(*) as df from tf where term in (select term from asked) group by term), totals),
+        scored as (
+          select item_id, rid, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms))))::bigint as score
+          from asked join weights using (term) join tf using (term) join lengths using (rid), totals group by item_id, rid, doc_id)
+        select item_id, cast(rank as integer) as rank, doc_id, score
+        from (select *, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank from scored where score > 0) where rank <= 10""",
     "op12_merkle": f"""
         with recursive hashed as (
           select row_number() over () as rid, doc_id, source as g, {_leaf('text')} as h, {_leaf("replace(text, chr(10), '')")} as cut, {_CRC} % 2 = 0 as tampered from documents),
