@@ -30,6 +30,7 @@ SAMPLE = 128
 BUCKET = 128              # rows of a bucket to aim at
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 2048
+ASKED_IN_TASK = 64
 _ERF = np.vectorize(math.erf)
 
 
@@ -217,11 +218,12 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, vector: str = "embedd
     n = known.count()
     if n < 2:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    queries = known.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = written(known.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), "asked")
     tables = fit(known, n, k)
     kind = np.float32 if dict(known.dtypes)["v"] == "array<float>" else np.float64
     filed = written(_filed(known, tables, kind), "buckets")
-    visits = written(_visits(queries, tables), "visits")
+    parts = queries.count() // ASKED_IN_TASK + 1       # naming a query's buckets takes far longer than reading it
+    visits = written(_visits(queries.repartition(parts, "vec_id"), tables), "visits")
     row_blocks = filed.groupBy("shard").agg(F.sum("n").alias("total")).select("shard", _blocks(SHARD_ROWS).alias("row_blocks"))
     query_blocks = visits.groupBy("shard").agg(F.count(F.lit(1)).alias("total")).select("shard", _blocks(BLOCK_QUERIES).alias("query_blocks"))
     sizes = written(row_blocks.join(query_blocks, "shard"), "blocks")
