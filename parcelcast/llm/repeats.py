@@ -31,7 +31,8 @@ STEP = 2 << 20
 BUCKET_BYTES = 4 << 20
 SHARD_BYTES = 1 << 20
 HOT = 10_000  # different fragments of one anchor from which they are split, about a shard's bytes
-SAMPLE_BYTES = 32 << 20
+SAMPLE_BYTES = 32 << 20  # of texts on which anchors are counted, at least
+SAMPLE_SHARE = 1 / 256  # of all texts, at least: an anchor of HOT fragments has about 40 in the sample at any size
 _PLACES = "chunk long, doc binary, lo binary, len binary, key binary, open boolean"
 
 
@@ -74,8 +75,8 @@ def fragments(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple
 
 
 def _hot(docs: DataFrame, total: int, length: int, gram: int) -> np.ndarray:
-    """Sorted anchors of more than about ``HOT`` different fragments, counted on about ``SAMPLE_BYTES`` of the texts."""
-    share = min(1.0, SAMPLE_BYTES / max(1, total))
+    """Sorted anchors of more than about ``HOT`` different fragments, counted on a share of the texts."""
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_BYTES / max(1, total)))
     least = max(4.0, HOT * share)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +171,7 @@ def _bucketed(docs: DataFrame, buckets: int, length: int, gram: int, hot: np.nda
             done = np.zeros(len(order), bool)
             if len(order):
                 done[order] = d > np.repeat(d[heads], np.diff(np.append(heads, len(d))))
-            bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            bucket = ((mix(key) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # an anchor is a smallest hash: itself far from even
             for flag in (False, True):
                 pick = np.flatnonzero(done == flag)
                 pick = pick[np.lexsort((lo[pick], doc[pick]))]
