@@ -18,7 +18,7 @@ from parcelcast.schema import (CATEGORICAL, ERROR_SEGMENTS, ESTIMATE, FAMILIES,
                                TOP_ZONES)
 from parcelcast.session import ROW_ID, pin, scratch_path
 from parcelcast.sources import artifacts
-from parcelcast.sources.deliveries import KEYS, ORDER, deliveries, row_hash, table
+from parcelcast.sources.deliveries import KEYS, ORDER, TABLES, deliveries, row_hash, table
 from parcelcast.sources.registry import read_registry, update_registry
 
 MONTH = (2024, 2)          # projected month of the scenario queries
@@ -41,7 +41,11 @@ def rounded(df: DataFrame) -> DataFrame:
 
 def _prepared(spark: SparkSession, sf: str) -> DataFrame:
     """Deliveries with features and split, written once per application and folder."""
-    return once(spark, ("prepared", sf), lambda: prepare(deliveries(spark, sf), ORDER))
+    return once(spark, ("prepared", sf), lambda: prepare(deliveries(spark, sf), ORDER), _inputs(sf))
+
+
+def _inputs(sf: str) -> list[str]:
+    return [f"{sf}/{name}.parquet" for name in TABLES]
 
 
 def _train(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,7 +61,7 @@ def _raw_registry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _registry(spark: SparkSession, sf: str) -> DataFrame:
-    return once(spark, ("registry", sf), lambda: pin(reg.load_registry(_raw_registry(spark, sf)), MAX_MODELS))
+    return once(spark, ("registry", sf), lambda: pin(reg.load_registry(_raw_registry(spark, sf)), MAX_MODELS), _inputs(sf))
 
 
 # --- scans and derivations ------------------------------------------------------------------
@@ -320,6 +324,14 @@ def bind_features_target(spark, sf):
     return artifacts.bind_features_target(features, label, [ROW_ID]).drop(ROW_ID)
 
 
+def bind_by_position(spark, sf):
+    """Features and label from two folders without a common key, both written from one scan and so in the same order."""
+    rows, root = _prepared(spark, sf), scratch_path(spark, "by-position")
+    rows.select(*KEYS, ESTIMATE).write.parquet(f"{root}/features")
+    rows.select(TARGET).write.parquet(f"{root}/target")
+    return artifacts.bind_by_position(spark.read.parquet(f"{root}/features"), spark.read.parquet(f"{root}/target"))
+
+
 def write_feature_sets(spark, sf):
     rows = _prepared(spark, sf)
     paths = artifacts.write_feature_sets(rows, ORDER, scratch_path(spark, "sets"))
@@ -346,7 +358,7 @@ def _projection(spark, sf, **options) -> scenario.Projection:
         made = scenario.project_month(_pool(spark, sf), *MONTH, predictor=scenario.formula_predictor, **options)
         return replace(made, daily=pin(made.daily, 31))     # one pass over the pool serves all pages
 
-    return once(spark, ("projection", sf, *options.values()), build)
+    return once(spark, ("projection", sf, *options.values()), build, _inputs(sf))
 
 
 def _profile(spark, sf) -> DataFrame:
@@ -445,7 +457,7 @@ def _trained(spark, sf) -> tuple[dict, DataFrame, str, str]:
                                                      "n_train", "n_validation"))
         return fitted, status, root, registry
 
-    return once(spark, ("trained", sf), build)
+    return once(spark, ("trained", sf), build, _inputs(sf))
 
 
 def _trained_registry(spark, sf) -> DataFrame:
@@ -513,7 +525,7 @@ def _saved_linear(spark, sf) -> tuple[str, DataFrame]:
         row = models.evaluate(fitted["linear"], train.count(), validation).withColumn("ord", F.lit(0))
         return root, pin(reg.load_registry(row), MAX_MODELS)
 
-    return once(spark, ("ridge", sf), build)
+    return once(spark, ("ridge", sf), build, _inputs(sf))
 
 
 def _batch(spark, sf, root: str, registry: DataFrame, requested: str) -> DataFrame:
@@ -589,7 +601,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     kpis_actual, kpis_filtered, flashcards, by_zone, by_road, traffic_impact, traffic_impact_bucketed,
     top_zones, error_histogram, road_box, profile_nulls, profile_describe, regression_metrics, payload_json,
     registry_load, normalize_model_name, registry_upsert, best_model, model_comparison, kpis_confidence,
-    scaler_stats, scale_numeric, one_hot, ordinal_encode, bind_features_target, write_feature_sets,
+    scaler_stats, scale_numeric, one_hot, ordinal_encode, bind_features_target, bind_by_position, write_feature_sets,
     weekday_factor, demand_base, demand_base_calendar, daily_demand, scenario_daily, scenario_daily_full,
     ridge_gradient, glm_gradient, training_report, batch_status, batch_status_fallback, batch_score_fallback, importance_order,
     permutation_importance, model_availability_fallback, scenario_days, scenario_daily_sample, zone_risk_sample, eta_points_sample, monthly_payload,

@@ -432,6 +432,7 @@ ORACLE: dict[str, str] = {
     "one_hot": _one_hot(),
     "ordinal_encode": _ordinal(),
     "bind_features_target": _d(f"select {KEYS}, tiempo_estimado_min, tiempo_real_min from deliveries"),
+    "bind_by_position": _d(f"select {KEYS}, tiempo_estimado_min, tiempo_real_min from deliveries"),
     "write_feature_sets": _feature_sets(),
     "weekday_factor": _with(DELIVERIES, DEMAND, body="select dia_semana, n, round(factor, 6) as factor from factors"),
     "demand_base": _with(DELIVERIES, DEMAND, body="select n, days, demand_base from base"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parcelcast.operators.encode import with_features
 from parcelcast.operators.order import temporal_cut, temporal_split
@@ -29,14 +29,22 @@ def prepare(rows: DataFrame, order: Sequence[str], path: str | None = None) -> D
 
 
 def forget(spark: SparkSession) -> None:
-    """Drop what ``once`` holds for this application, after its input changed or its scratch folder was cleaned."""
+    """Drop what ``once`` holds for this application, after its scratch folder was cleaned."""
     for key in [k for k in _SHARED if k[0] == spark.sparkContext.applicationId]:
         del _SHARED[key]
 
 
-def once(spark: SparkSession, name: tuple, build: Callable[[], object]):
-    """What pages share (a table, trained models): built by the first caller of this application, then reused."""
-    key = (spark.sparkContext.applicationId, *name)
-    if key not in _SHARED:
-        _SHARED[key] = build()
-    return _SHARED[key]
+def input_state(spark: SparkSession, paths: Sequence[str]) -> tuple:
+    """Files, bytes and a hash of paths, sizes and times of all input files; their content is not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
+    state = files.agg(F.count(F.lit(1)), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime")))
+    return tuple(state.first())
+
+
+def once(spark: SparkSession, name: tuple, build: Callable[[], object], inputs: Sequence[str] = ()):
+    """What pages share (a table, trained models): built by the first caller of this application, then reused until one
+    of the ``inputs``, files or folders, changes."""
+    key, state = (spark.sparkContext.applicationId, *name), input_state(spark, inputs) if inputs else ()
+    if key not in _SHARED or _SHARED[key][0] != state:
+        _SHARED[key] = state, build()
+    return _SHARED[key][1]

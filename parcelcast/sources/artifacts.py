@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from parcelcast.operators.encode import fit_linear_features, fit_tree_features, linear_feature_names
 from parcelcast.schema import CATEGORICAL, FAMILIES, TARGET, TREE_FEATURES
@@ -19,6 +19,34 @@ def bind_features_target(features: DataFrame, target: DataFrame, key: Sequence[s
     return features.join(target, list(key))
 
 
+def with_position(files: DataFrame, name: str = "position") -> DataFrame:
+    """Rows of a file scan with their number from 0 in the order of the files' paths and of the lines in them.
+
+    A task reads a split from front to back, so a row's place in its split follows from the running number; the rows of
+    the splits before it are a sum over a table with one row for each split. Nothing is sorted but that table.
+    """
+    split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    rows = files.select("*", *split).withColumn("_at", F.monotonically_increasing_id())
+    sizes = rows.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("_file", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base"))
+    joined = rows.join(base, ["_file", "_start"])
+    return joined.select(*files.columns, (F.col("_at") + F.col("_base")).alias(name))
+
+
+def bind_by_position(features: DataFrame, target: DataFrame) -> DataFrame:
+    """Join two file scans row by row, as files without key are meant. Tables of different length raise, and so does a
+    column that both have."""
+    both = set(features.columns) & set(target.columns)
+    if both:
+        raise ValueError(f"columns in both tables: {sorted(both)}")
+    left, right = with_position(features, "_position"), with_position(target, "_position")
+    lengths = [df.count() for df in (features, target)]
+    if lengths[0] != lengths[1]:
+        raise ValueError(f"{lengths[0]} rows of features, {lengths[1]} of the target")
+    return left.join(right, "_position").drop("_position")
+
+
 def write_feature_sets(labelled: DataFrame, order: Sequence[str], root: str, fmt: str = "parquet",
                        families: Sequence[str] = FAMILIES) -> dict[str, str]:
     """Write one table per family under ``root``, partitioned by ``split``, label in the row.

@@ -9,6 +9,7 @@ from parcelcast.schema import MASTER, TARGET, TIMESTAMP
 
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 ORDER = [TIMESTAMP, *KEYS]
+TABLES = ["nation", "customer", "orders", "part", "lineitem"]      # behind the view
 
 
 def without_nan(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from parcelcast import schema
 from parcelcast.functions import columns as fx
 from parcelcast.operators import encode, kpi
-from parcelcast.plans.prepare import prepare
+from parcelcast.plans.prepare import once, prepare
 from parcelcast.session import pin, scratch_path
 from parcelcast.sources import artifacts, deliveries as src
 
@@ -161,3 +161,41 @@ def test_any_table_can_be_sampled_by_hash(spark):
     rows = spark.createDataFrame([(1, None), (None, 1), (1, None)], "a int, b int")
     hashes = [r.row_hash for r in src.with_row_hash(rows).collect()]
     assert hashes[0] == hashes[2] != hashes[1] and all(len(h) == 32 for h in hashes)
+
+
+def test_two_files_without_key_are_bound_by_position(spark):
+    root = scratch_path(spark, "positions")
+    for name, values in (("x", range(20_000)), ("y", range(20_000))):
+        rows = spark.range(20_000).repartitionByRange(3, "id").sortWithinPartitions("id")      # three files
+        rows.select((F.col("id") * (1 if name == "x" else 2)).alias(name)).write.option("header", True).csv(f"{root}/{name}")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        x = spark.read.schema("x long").option("header", True).csv(f"{root}/x")
+        y = spark.read.schema("y long").option("header", True).csv(f"{root}/y")
+        assert x.rdd.getNumPartitions() > 10
+        got = artifacts.bind_by_position(x, y)
+        assert got.columns == ["x", "y"] and got.count() == 20_000 and got.where("y <> 2 * x").count() == 0
+        numbered = artifacts.with_position(x)
+        assert numbered.where("position <> x").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    shorter = spark.read.schema("y long").option("header", True).csv(f"{root}/y/part-00000*")
+    with pytest.raises(ValueError, match="rows of features"):
+        artifacts.bind_by_position(x, shorter)
+    with pytest.raises(ValueError, match="both tables"):
+        artifacts.bind_by_position(x, x)
+
+
+def test_what_is_shared_is_built_again_when_the_input_changes(spark):
+    path, built = scratch_path(spark, "shared"), []
+    spark.range(5).write.parquet(path)
+
+    def rows():
+        return once(spark, ("count", path), lambda: built.append(1) or spark.read.parquet(path).count(), [path])
+
+    assert (rows(), rows(), len(built)) == (5, 5, 1)
+    spark.range(3).write.mode("append").parquet(path)
+    assert (rows(), rows(), len(built)) == (8, 8, 2)

@@ -1,5 +1,7 @@
 """Registry operators on the published metric table."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +53,34 @@ def test_file_is_updated_in_place(spark):
     assert rows[0]["MSE"] == 24.76643979610383
 
 
+def test_writers_at_the_same_time_lose_no_row(spark):
+    path = scratch_path(spark, "registry")
+    rows = [(f"Model {i}", float(i), 1.0, 1.0, 1.0, 1, 1) for i in range(12)]
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda r: update_registry(spark, path, spark.createDataFrame([r], COLUMNS)), rows))
+    got = read_registry(spark, path).orderBy("ord").collect()
+    assert sorted((r["model_name"], r["MAE"]) for r in got) == sorted(r[:2] for r in rows)
+    assert [r["ord"] for r in got] == list(range(12))
+
+
+def test_updates_replay_in_order(spark):
+    path = scratch_path(spark, "registry")
+    first = [("A", 1.0, 1.0, 1.0, 1.0, 1, 1), ("B x", 2.0, 1.0, 1.0, 1.0, 1, 1), (None, 3.0, 1.0, 1.0, 1.0, 1, 1)]
+    update_registry(spark, path, spark.createDataFrame(first, COLUMNS))
+    update_registry(spark, path, spark.createDataFrame([("A", 4.0, 1.0, 1.0, 1.0, 1, 1)], COLUMNS))
+    update_registry(spark, path, spark.createDataFrame([], COLUMNS), contains="x")      # only takes away
+    update_registry(spark, path, spark.createDataFrame([("B x", 5.0, 1.0, 1.0, 1.0, 1, 1)], COLUMNS))
+    got = read_registry(spark, path).orderBy("ord").collect()
+    assert [(r["model_name"], r["MAE"]) for r in got] == [(None, 3.0), ("A", 4.0), ("B x", 5.0)]
+
+
+def test_a_plain_file_is_not_written_into(spark):
+    path = scratch_path(spark, "registry")
+    spark.createDataFrame(PUBLISHED, COLUMNS).coalesce(1).write.option("header", True).csv(path)
+    with pytest.raises(ValueError, match="plain CSV"):
+        update_registry(spark, path, spark.createDataFrame(PUBLISHED[:1], COLUMNS))
+
+
 def test_empty_registry(spark):
     empty = reg.load_registry(raw(spark, []))
     assert tuple(reg.kpis_confidence(empty).first()) == (0, 0.0, 0.0, 0.0, 0.0, "N/A", 0.0, 0.0)
