@@ -128,7 +128,7 @@ def test_registered_trainings_run_all_rounds(spark, sf, monkeypatch):
         return real(rows, label, row_hash, replace(shape, rounds=2), *given, **options)
 
     monkeypatch.setattr(boost, "fit", short)
-    monkeypatch.setattr(catalog, "once", lambda spark, key, build: build())
+    monkeypatch.setattr(catalog, "once", lambda spark, key, build, inputs=(): build())
     catalog._trained(spark, sf)
     assert sorted(asked) == [(500, 5), (1000, 6)]        # the published rounds, and no other end but patience
 
