@@ -4,7 +4,8 @@ A sentence's score is logistic in its words and their beginnings, which inflecti
 noisy-or of its sentences and of a base rate, so labels of whole texts train the sentence scores, which then show the
 sentences at fault. The classifier learns from at most ``SAMPLE_ROWS`` labelled texts (those with the smallest hashes of
 their ids, so any bound gives an even sample), by proximal steps with an L1 penalty on what occurs in ``MIN_TEXTS``
-texts or more. The texts stay on the executors as packed rows; each step sums their gradients in one job.
+texts or more. The texts stay on the executors as packed rows; each step sums their gradients in one job, whose few
+tasks return one vector each. After ``SETTLED`` steps the weights that the penalty holds at zero leave.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ BUCKETS = 1 << 18
 SAMPLE_ROWS = 20_000
 MIN_TEXTS = 3
 ROUNDS = 60
+SETTLED = 30
 RATE = 0.25
 BEGINNINGS = (4, 5)      # code points of a word's beginnings that count beside it
 TASK_ROWS = 2_500        # sampled texts of a task
@@ -102,10 +104,11 @@ def _packed(labelled: DataFrame, sample_rows: int) -> DataFrame:
 def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on rows (doc_id, text, toxic) whose label isn't null."""
     names = (("y", np.float64), ("words", np.int32), ("sizes", np.int32), ("text", np.int32))
-    raw = _packed(labelled, sample_rows).rdd.map(lambda r: tuple(np.frombuffer(r[c], t) for c, t in names))
+    context = labelled.sparkSession.sparkContext
+    raw = _packed(labelled, sample_rows).coalesce(sample_rows // TASK_ROWS + 1).rdd.map(lambda r: tuple(np.frombuffer(r[c], t) for c, t in names))
 
     def over(blocks, run: Callable) -> np.ndarray:
-        return blocks.mapPartitions(lambda own: [sum(map(run, own), np.zeros(1))]).treeReduce(np.add)
+        return sum(blocks.mapPartitions(lambda own: [sum(map(run, own), np.zeros(1))]).collect(), np.zeros(1))
 
     def counted(block: tuple) -> np.ndarray:
         y, words, sizes, text = block
@@ -119,14 +122,21 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
         return Model(np.zeros(BUCKETS), -12.0, positive / n if n else 0.0)
     place = np.full(BUCKETS, -1, np.int32)
     place[frequent] = np.arange(len(frequent), dtype=np.int32)
-    blocks = raw.map(_known(labelled.sparkSession.sparkContext.broadcast(place))).persist(StorageLevel.MEMORY_AND_DISK)
+    held = [raw.map(_known(context.broadcast(place))).persist(StorageLevel.MEMORY_AND_DISK)]
     found, toxic = got[2 + frequent], got[2 + BUCKETS + frequent]
     w = np.clip(np.log((toxic + 0.5) / (found - toxic + 0.5)) - np.log(positive / (n - positive)) - 1, 0, 5)      # log-odds to start from
     bias, base = -5.0, -3.0
     m, v = np.zeros(len(w) + 2), np.zeros(len(w) + 2)
     try:
         for k in range(1, ROUNDS + 1):
-            grad = over(blocks, _pull(w.astype(np.float32), bias, base)) / n
+            if k == SETTLED + 1:
+                live = np.flatnonzero(w)
+                place = np.full(len(w), -1, np.int32)
+                place[live] = np.arange(len(live), dtype=np.int32)
+                held.append(held[0].map(_known(context.broadcast(place))).persist(StorageLevel.MEMORY_AND_DISK))
+                frequent, w, ends = frequent[live], w[live], np.append(live, (len(w), len(w) + 1))
+                m, v = m[ends], v[ends]
+            grad = over(held[-1], _pull(w.astype(np.float32), bias, base)) / n
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
             scale = RATE / (np.sqrt(v / (1 - 0.99 ** k)) + 1e-4)
             move = scale * m / (1 - 0.9 ** k)
@@ -134,7 +144,8 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
             w = np.sign(w) * np.maximum(np.abs(w) - scale[:-2] * L1, 0)
             bias, base = bias - move[-2], base - move[-1]
     finally:
-        blocks.unpersist()
+        for blocks in held:
+            blocks.unpersist()
     weights = np.zeros(BUCKETS)
     weights[frequent] = w
     return Model(weights, float(bias), float(1 / (1 + np.exp(-base))))
