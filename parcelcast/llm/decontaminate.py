@@ -6,7 +6,8 @@ overlapping bands of diagonals, bands that reach the bound are verified by bande
 edit budget is missed. Texts and segments are compared in lower case with runs of white space as one space.
 
 The segments are dealt in blocks of about ``BLOCK_BYTES`` by hash, which bounds what is broadcast; texts pass one block
-after the other.
+after the other. Bands are counted in ranges of about ``PAIRS`` matching Q-grams, and of a stretch that repeats itself
+(rules of one character, a line again and again) only what differs from the rest of it is counted.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ RATE = 0.08
 BAND = 8
 BLOCK_BYTES = 2 << 20
 STEP = 6 << 20
+PAIRS = 2 << 20  # matching Q-grams counted at once
+PERIODS = range(BAND, 64 * BAND + 1, BAND)
 _BITS = 22
 _MATCH = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
                        T.StructField("edits", T.IntegerType())])
@@ -66,9 +69,13 @@ class Segments:
         self.size = np.array([len(t) for t in self.text], np.int64)
         self.edits = np.array([budget(n, rate) for n in self.size], np.int64)
         self.need = self.size + 1 - Q * (self.edits + 1)
-        grams = [_codes(np.frombuffer(t, np.uint8)) for t in self.text]
+        known: dict[bytes, int] = {}
+        alike = np.array([known.setdefault(t, i) for i, t in enumerate(self.text)], np.int64)  # equal segments are looked for once
+        self.alike, self.copies = np.argsort(alike, kind="stable"), np.bincount(alike, minlength=len(alike))
+        self.group = np.cumsum(self.copies) - self.copies
+        grams = [_codes(np.frombuffer(t, np.uint8)) for t in known]
         codes = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        seg = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        seg = np.repeat(np.array(list(known.values()), np.int64), [len(g) for g in grams])
         at = np.concatenate([np.arange(len(g)) for g in grams]) if grams else seg
         order = np.argsort(codes, kind="stable")
         self.codes, first, count = np.unique(codes[order], return_index=True, return_counts=True)
@@ -100,21 +107,58 @@ class Segments:
             np.add.at(tight, group + need, -1)
         near = np.cumsum(tight[:-1]) > 0
         hits, gram = hits[near], gram[near]
-        n = self.count[gram]
-        where = spans(self.first[gram], n)
-        seg, diagonal = self.seg[where], np.repeat(hits, n) - self.at[where] + SEGMENT
-        text = np.searchsorted(at, np.repeat(hits, n), side="right") - 1
-        band = diagonal // BAND
-        low = diagonal % BAND <= self.edits[seg]  # it also belongs to the band before, whose range overlaps
-        keys = np.stack([np.concatenate([x, x[low]]) for x in (text, seg)] + [np.concatenate([band, band[low] - 1])])
-        order = np.lexsort(keys[::-1])
-        keys = keys[:, order]
-        heads = np.flatnonzero((np.diff(keys, prepend=-1) != 0).any(axis=0))
-        enough = np.diff(np.append(heads, keys.shape[1])) >= self.need[keys[1, heads]]
-        text, seg, band = keys[:, heads[enough]]
-        found = [self._align(data, at, text[i:i + 4096], seg[i:i + 4096], band[i:i + 4096]) for i in range(0, len(text), 4096)]
+        if self.count[gram].sum() > PAIRS:
+            told = self._told(data, at, hits)
+            hits, gram = hits[told], gram[told]
+        found = []
+        for text, seg, band in self._bands(at, hits, gram):
+            found += [self._align(data, at, text[i:i + 4096], seg[i:i + 4096], band[i:i + 4096]) for i in range(0, len(text), 4096)]
         return tuple(np.concatenate(x) for x in zip(*found)) if found else none
 
+    def _told(self, data: np.ndarray, at: np.ndarray, hits: np.ndarray) -> np.ndarray:
+        """The hits that tell something. Where a text repeats itself at a distance P, a multiple of BAND, a band finds
+        what the band P further finds. So the bands that lie wholly in such a stretch need be looked at only within P of
+        its first and last one: these have the first start, the last end and the fewest edits of all of them."""
+        reach = SEGMENT + 2 * BAND + 4 * int(self.edits.max())
+        keep = np.ones(len(hits), bool)
+        for p in PERIODS:
+            if len(data) <= p:
+                break
+            same = np.zeros(len(data) - p + 2, bool)
+            same[1:-1] = data[p:] == data[:-p]
+            for edge in at[1:-1]:
+                same[max(0, edge - p) + 1:edge + 1] = False
+            begin, end = np.flatnonzero(same[1:] != same[:-1]).reshape(-1, 2).T
+            begin, end = begin + 2 * reach + p, end + p - 2 * reach - p
+            long = end > begin
+            for a, b in zip(np.searchsorted(hits, begin[long]), np.searchsorted(hits, end[long])):
+                keep[a:b] = False
+        return keep
+
+    def _bands(self, at: np.ndarray, hits: np.ndarray, gram: np.ndarray) -> Iterator[np.ndarray]:
+        """(text, segment, band) with as many Q-grams as the lemma asks for, about PAIRS Q-grams at once: the bands in
+        a range, for which the hits from the range's first diagonal to a segment's length after its last one count."""
+        n = self.count[gram]
+        total = np.cumsum(n)
+        if not len(hits):
+            return
+        cuts = np.searchsorted(total, np.arange(PAIRS, total[-1], PAIRS))
+        cuts = np.unique(np.concatenate([[-1], (hits[cuts] + SEGMENT) // BAND, [(hits[-1] + SEGMENT) // BAND + 1]]))
+        for begin, end in zip(cuts[:-1], cuts[1:]):
+            a, b = np.searchsorted(hits, [begin * BAND - SEGMENT, end * BAND + int(self.edits.max())])
+            where = spans(self.first[gram[a:b]], n[a:b])
+            hit = np.repeat(hits[a:b], n[a:b])
+            seg, diagonal = self.seg[where], hit - self.at[where] + SEGMENT
+            text = np.searchsorted(at, hit, side="right") - 1
+            band = diagonal // BAND
+            low = diagonal % BAND <= self.edits[seg]  # it also belongs to the band before, whose range overlaps
+            keys = np.stack([np.concatenate([x, x[low]]) for x in (text, seg)] + [np.concatenate([band, band[low] - 1])])
+            keys = keys[:, (keys[2] >= begin) & (keys[2] < end)]
+            keys = keys[:, np.lexsort(keys[::-1])]
+            heads = np.flatnonzero((np.diff(keys, prepend=-2) != 0).any(axis=0))
+            enough = np.diff(np.append(heads, keys.shape[1])) >= self.need[keys[1, heads]]
+            yield keys[:, heads[enough]]
+
     def _align(self, data, at, text, seg, band) -> tuple[np.ndarray, ...]:
         """Best alignment of each segment within its band of diagonals, which is free to start and end in it."""
         edits = int(self.edits[seg].max(initial=0))
@@ -150,8 +194,10 @@ class Segments:
                 best = np.where(done, cost[rows, j], best)
                 start, end = np.where(done, begin[rows, j], start), np.where(done, first + j + i + 1, end)
         ok = best <= self.edits[seg]
-        item = np.array(self.item, np.int64)[seg]
-        return tuple(x[ok] for x in (text, item, start - lo[:, 0], end - lo[:, 0], best))
+        seg, n = seg[ok], self.copies[seg[ok]]
+        item = np.array(self.item, np.int64)[self.alike[spans(self.group[seg], n)]]
+        text, start, end, best = (np.repeat(x[ok], n) for x in (text, start - lo[:, 0], np.minimum(end, hi[:, 0]) - lo[:, 0], best))
+        return text, item, start, end, best
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -76,3 +77,43 @@ def test_empty_tables(spark):
     assert dc.remove(documents(spark), bench).count() == documents(spark).count()
     assert dc.find(nothing(spark), bench).count() == 0
     assert len(dc.Segments([], dc.RATE).matches(np.zeros(100, np.uint8), np.array([0, 100]))[0]) == 0
+
+
+def ranges(segments, texts):
+    """First start, last end and fewest edits of each item in each text."""
+    data, at = as_bytes(pa.array(texts))
+    found = {}
+    for text, item, start, end, edits in zip(*(x.tolist() for x in segments.matches(data, at))):
+        s, e, k = found.get((text, item), (start, end, edits))
+        found[text, item] = min(s, start), max(e, end), min(k, edits)
+    return found
+
+
+def test_counting_in_small_ranges_and_skipping_what_repeats_changes_nothing(monkeypatch):
+    rng = random.Random(10)
+    items = [(0, b"=" * 400), (1, b"ab" * 150), (2, words(rng, 60, 0.5).encode()), (3, b"=" * 120), (4, b"x" + b"=" * 90 + b"y"), (5, b"0123456789a" * 30)]
+    texts = []
+    for _ in range(6):
+        parts = [rng.choice([words(rng, 30), rng.choice(items)[1].decode(), rng.choice(["=", "ab", "0123456789a"]) * rng.randint(90, 600)]) for _ in range(3)]
+        texts.append(edited(rng, rng.choice(["", " "]).join(parts), 3))
+    segments = dc.Segments(items, dc.RATE)
+    monkeypatch.setattr(dc, "PAIRS", 1 << 40)
+    want = ranges(segments, texts)
+    for pairs in (2000, 50_000):
+        monkeypatch.setattr(dc, "PAIRS", pairs)
+        assert ranges(segments, texts) == want
+    assert len(want) > 6
+
+
+def test_a_megabyte_of_one_character_or_line():
+    segments = dc.Segments([(0, b"=" * 400), (1, b"words that are not there " * 9)], dc.RATE)
+    start = time.perf_counter()
+    for text in ("=" * (1 << 20), ("=" * 79 + " ") * 13_000):
+        assert ranges(segments, [text, "", "other"]) == {(0, 0): (0, len(text.rstrip()) + (text[-1] == " "), min(1, text.count(" ")))}
+    assert time.perf_counter() - start < 10
+
+
+def test_items_that_share_a_segment():
+    text = words(random.Random(11), 30, 0.5)[:100]
+    segments = dc.Segments([(3, text.encode()), (4, text.encode()), (5, (text[:80] + "!" * 60).encode())], dc.RATE)
+    assert {i: k for (_, i), (_, _, k) in ranges(segments, ["a " + text]).items()} == {3: 0, 4: 0, 5: 0}
