@@ -199,3 +199,21 @@ def test_what_is_shared_is_built_again_when_the_input_changes(spark):
     assert (rows(), rows(), len(built)) == (5, 5, 1)
     spark.range(3).write.mode("append").parquet(path)
     assert (rows(), rows(), len(built)) == (8, 8, 2)
+
+
+def test_preparation_moves_and_sorts_no_row_after_the_joins(spark, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    from parcelcast import session
+
+    def refuse(*_):
+        raise AssertionError("a write by partition column sorts all rows")
+
+    monkeypatch.setattr(session, "SPLIT_BYTES", 0)      # as with an input above it
+    path = scratch_path(spark, "one-file")
+    src.with_row_key(master(spark, 60)).coalesce(1).write.parquet(path)
+    rows = spark.read.parquet(path)
+    assert "Exchange" not in session.spread(rows)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", refuse)
+    table = prepare(rows, ["fecha_pedido", "row_key"])
+    assert {r["split"]: r["count"] for r in table.groupBy("split").count().collect()} == {"train": 48, "validation": 12}
