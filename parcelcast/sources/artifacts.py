@@ -30,7 +30,7 @@ def with_position(files: DataFrame, name: str = "position") -> DataFrame:
     sizes = rows.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("_file", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base"))
-    joined = rows.join(base, ["_file", "_start"])
+    joined = rows.join(F.broadcast(base), ["_file", "_start"])      # a row for each split
     return joined.select(*files.columns, (F.col("_at") + F.col("_base")).alias(name))
 
 
