@@ -207,6 +207,24 @@ def test_one_block_and_many_give_the_same_trees(spark, monkeypatch):
     assert ((one.gain > 0).sum(axis=1) <= 11).all()
 
 
+def test_many_blocks_grow_in_one_stage_without_a_job_a_level(spark, monkeypatch):
+    rows, held = _rows(spark, 3000, 6)[0], F.pmod(F.xxhash64("id"), F.lit(5)) == 0
+    shape = boost.Shape(12, depth=4, l2=1.0, least=20, leaves=12, row_share=0.8, column_share=0.7)
+    monkeypatch.setattr(boost, "column_edges", lambda rows, width, known=boost.column_edges(rows, 3): known)
+    one = boost.fit(rows, "y", F.xxhash64("id"), shape, held, lambda errors: (len(errors), False))
+    monkeypatch.setattr(boost, "BLOCK_ROWS", 700)
+    in_jobs, refuse = boost._InJobs, lambda *_: pytest.fail("a job for each level")
+    monkeypatch.setattr(boost, "_slots", lambda *_: 2)
+    monkeypatch.setattr(boost, "_InJobs", refuse)
+    staged = boost.fit(rows, "y", F.xxhash64("id"), shape, held, lambda errors: (len(errors), False))
+    monkeypatch.setattr(boost, "_InJobs", in_jobs)
+    monkeypatch.setattr(boost, "_slots", lambda *_: 1)          # cores that run together not known
+    jobs = boost.fit(rows, "y", F.xxhash64("id"), shape, held, lambda errors: (len(errors), False))
+    for many in (staged, jobs):
+        assert (many.feature == one.feature).all() and (many.threshold == one.threshold).all()
+        assert np.allclose(many.value, one.value) and np.allclose(many.errors, one.errors)
+
+
 def test_rounds_end_at_the_best_validated_one(spark):
     rows, _, _ = _rows(spark)
     held = F.col("id") % 5 == 0
