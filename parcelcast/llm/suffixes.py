@@ -1,4 +1,8 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes."""
+"""Suffix arrays by induced sorting, and permuted common prefixes.
+
+What a text reduces to has many symbols, most of them once or twice: there suffixes are sorted by doubling, in which only
+those take part that are still equal.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,9 @@ import numpy as np
 
 #: Alphabets up to this size are induced bucket by bucket with array operations.
 SMALL_ALPHABET = 512
+#: Bits of a symbol, and symbols that are compared at once, in one 64-bit number.
+SYMBOL_BITS = 9
+PACKED = 7
 
 
 def _types(s: np.ndarray) -> np.ndarray:
@@ -17,22 +24,26 @@ def _types(s: np.ndarray) -> np.ndarray:
     return np.repeat(rising, np.diff(edges, prepend=-1))
 
 
-def _induce_arrays(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, heads: np.ndarray) -> np.ndarray:
+def _induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, heads: np.ndarray) -> np.ndarray:
     k = len(heads) - 1
     sa = np.full(len(s), -1, np.int64)
-    by = s[seeds]
-    first = np.searchsorted(by, np.arange(k + 1))
+    first = np.searchsorted(s[seeds], np.arange(k + 1, dtype=s.dtype))
 
     def place(items: np.ndarray, at: np.ndarray, forward: bool) -> None:
+        if not len(items):
+            return
         keys = s[items]
         order = np.argsort(keys, kind="stable")
         keys, items = keys[order], items[order]
-        cuts = np.flatnonzero(np.diff(keys, prepend=-1))
-        n = np.diff(np.append(cuts, len(keys)))
-        rank = np.arange(len(keys)) - np.repeat(cuts, n)
-        where = at[keys]
-        sa[where + rank if forward else where - rank] = items
-        at[keys[cuts]] += n if forward else -n
+        cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        n = np.diff(cuts, append=len(keys))
+        used = keys[cuts]
+        if forward:
+            sa[np.arange(len(keys)) + np.repeat(at[used] - cuts, n)] = items
+            at[used] += n
+        else:
+            sa[np.repeat(at[used] + cuts, n) - np.arange(len(keys))] = items
+            at[used] -= n
 
     head = heads[:-1].copy()
     for c in range(k):  # larger-type suffixes, from their successors on the left
@@ -67,31 +78,29 @@ def _induce_arrays(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, heads: n
     return sa
 
 
-def _induce_loop(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    text, up, n = s.tolist(), small.tolist(), len(s)
-    sa = [-1] * n
-    tail = (heads[1:] - 1).tolist()
-    for i in reversed(seeds.tolist()):
-        c = text[i]
-        sa[tail[c]] = i
-        tail[c] -= 1
-    head = heads[:-1].tolist()
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not up[j]:
-            c = text[j]
-            sa[head[c]] = j
-            head[c] += 1
-    tail = (heads[1:] - 1).tolist()
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and up[j]:
-            c = text[j]
-            sa[tail[c]] = j
-            tail[c] -= 1
-    out = np.array(sa, np.int64)
-    out[0] = n - 1  # the last symbol is alone in its bucket
-    return out
+def _doubled(s: np.ndarray) -> np.ndarray:
+    """Starts of the suffixes of ``s`` in order, by ranks of 1, 2, 4, ... symbols; the last symbol is the only smallest."""
+    order = np.argsort(s, kind="stable")
+    head = np.concatenate(([True], s[order[1:]] != s[order[:-1]]))
+    rank = np.empty(len(s), np.int64)
+    at = np.flatnonzero(head)      # a suffix's rank is the place of the first one that equals it so far
+    rank[order] = np.repeat(at, np.diff(at, append=len(s)))
+    size = np.diff(at, append=len(s))
+    open_ = np.flatnonzero(np.repeat(size > 1, size))      # places whose suffixes are not told apart
+    step = 1
+    while len(open_):
+        own = order[open_]
+        group, next_ = rank[own], rank[own + step]      # (equal ones are longer than ``step``)
+        by = np.argsort(group * len(s) + next_)
+        own, group, next_ = own[by], group[by], next_[by]
+        order[open_] = own
+        head = np.concatenate(([True], (group[1:] != group[:-1]) | (next_[1:] != next_[:-1])))
+        at = np.flatnonzero(head)
+        size = np.diff(at, append=len(own))
+        rank[own] = np.repeat(open_[at], size)
+        open_ = open_[np.repeat(size > 1, size)]
+        step *= 2
+    return order
 
 
 def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
@@ -99,13 +108,15 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     n = len(s)
     if n <= 2:
         return np.arange(n - 1, -1, -1)
+    if k > SMALL_ALPHABET:
+        return _doubled(s)
+    s = s.astype(np.uint16)      # numbers of 16 bits are sorted by counting
     small = _types(s)
     heads = np.concatenate(([0], np.cumsum(np.bincount(s, minlength=k))))
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    induce = _induce_arrays if k <= SMALL_ALPHABET else _induce_loop
 
     def run(seeds: np.ndarray) -> np.ndarray:
-        sa = induce(s, small, seeds, heads)
+        sa = _induce(s, small, seeds, heads)
         sa[0] = n - 1
         return sa
 
@@ -134,18 +145,23 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
 
 
 def permuted_lcp(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """For each position, how many symbols it shares with the suffix before it in order, ``most`` at most."""
+    """For each position, how many symbols it shares with the suffix before it in order, ``most`` at most. Symbols are
+    below 511."""
     n = len(s)
     phi = np.full(n, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
+    ahead = np.concatenate((s.astype(np.uint64) + np.uint64(1), np.zeros(PACKED, np.uint64)))
+    words = np.zeros(n, np.uint64)      # the symbols from each position on, the first in the highest bits
+    for k in range(PACKED):
+        words = words << np.uint64(SYMBOL_BITS) | ahead[k:k + n]
     plcp = np.zeros(n, np.int64)
     active = np.flatnonzero(phi >= 0)
-    for step in range(most):
-        i, j = active + step, phi[active] + step
-        inside = (i < n) & (j < n)
-        active, i, j = active[inside], i[inside], j[inside]
-        active = active[s[i] == s[j]]
-        if not len(active):
-            break
-        plcp[active] = step + 1
-    return plcp
+    other = phi[active]
+    for step in range(0, most, PACKED):      # (the last symbol is alone, so equal words end before it)
+        differ = words[active + step] ^ words[other + step]
+        same = differ == 0
+        differ = differ[~same]
+        plcp[active[~same]] = step + sum((differ >> np.uint64(SYMBOL_BITS * k)) == 0 for k in range(1, PACKED))
+        active, other = active[same], other[same]
+    plcp[active] = most
+    return np.minimum(plcp, most)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 from collections import Counter
 
 import numpy as np
@@ -90,3 +91,25 @@ def test_suffix_arrays(monkeypatch, small):
             while n < 9 and max(a, b) + n < len(s) and s[a + n] == s[b + n]:
                 n += 1
             assert plcp[b] == n
+
+
+def test_large_alphabets_take_few_steps():
+    rng = np.random.default_rng(5)
+    s = np.append(np.tile(rng.integers(2, 200, 30_000), 4), 0)
+    lines = 0
+
+    def count(frame, event, arg):
+        nonlocal lines
+        lines += frame.f_code.co_filename == suffixes.__file__
+        return count
+
+    sys.settrace(count)      # lines of Python, however fast the machine is
+    try:
+        sa = suffixes.suffix_array(s, 258)
+    finally:
+        sys.settrace(None)
+    assert lines < len(s) and sorted(sa.tolist()) == list(range(len(s)))
+    rank = np.empty(len(s), np.int64)
+    rank[sa] = np.arange(len(s))
+    a, b = sa[:-1], sa[1:]
+    assert ((s[a] < s[b]) | ((s[a] == s[b]) & (rank[np.minimum(a + 1, len(s) - 1)] < rank[np.minimum(b + 1, len(s) - 1)]))).all()
