@@ -115,16 +115,22 @@ _A = 0x9E3779B97F4A7C15
 _A_INVERSE = pow(_A, -1, 1 << 64)
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D))
 _POWERS: dict[int, np.ndarray] = {}
+#: Powers that a worker keeps for each base; those of more bytes are made anew.
+_KEPT_POWERS = 1 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        factors = np.full(size, base, np.uint64)
+    """The first ``n`` powers, at least; of long ones no table stays in the worker."""
+    if base not in _POWERS:
+        factors = np.full(_KEPT_POWERS, base, np.uint64)
         factors[0] = 1
-        have = _POWERS[base] = np.multiply.accumulate(factors)
-    return have[:n]
+        _POWERS[base] = np.multiply.accumulate(factors)
+    have = _POWERS[base]
+    if n <= len(have):
+        return have[:n]
+    heads = np.full(-(-n // len(have)), pow(base, len(have), 1 << 64), np.uint64)
+    heads[0] = 1
+    return np.multiply.outer(np.multiply.accumulate(heads), have).ravel()[:n]
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -31,6 +31,7 @@ BLOCK_TOKENS = 1 << 20
 #: Words a worker remembers the ids of, before it starts anew.
 CACHE_WORDS = 900_000
 PART_TOKENS = 8_000_000
+STEP = 4 << 20  # text bytes that are encoded at once, at about twenty times that in a worker
 
 _LOADED: dict = {}
 
@@ -105,6 +106,11 @@ def encoder(model: str, end_id: int) -> WordEncoder:
     return _LOADED[key]
 
 
+def forget_encoder() -> None:
+    """Drop the worker's encoder with the words it knows."""
+    _LOADED.clear()
+
+
 def token_table(docs: DataFrame, model: str, end_id: int) -> DataFrame:
     """Written table of (doc_id, n_tokens, ids), and one row of id counts (sym, cnt) for each task."""
     spark = docs.sparkSession
@@ -115,7 +121,7 @@ def token_table(docs: DataFrame, model: str, end_id: int) -> DataFrame:
         counts = np.zeros(enc.size, np.int64)
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()),
                             ("sym", pa.list_(pa.int32())), ("cnt", pa.list_(pa.int64()))])
-        for b in steps(batches):
+        for b in steps(batches, limit=STEP):
             ids, at = enc.encode(b.column("text"))
             counts += np.bincount(ids, minlength=enc.size)
             none = [None] * b.num_rows
@@ -241,6 +247,7 @@ def write_token_file(docs: DataFrame, path: str, model: str, end_id: int, max_bi
     shared = spark.sparkContext.broadcast((lengths, canonical(lengths), base))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoder()      # blocks and their sort need the memory
         sizes, codes, firsts = shared.value
         held: list = []
         n_held, current, start = 0, None, 0
@@ -277,6 +284,7 @@ def _decoded(spark: SparkSession, path: str, schema: str, of: Callable[[np.ndarr
     shared = spark.sparkContext.broadcast(decode_table(lengths))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoder()
         for b in batches:
             for row in range(b.num_rows):
                 start, doc_ids, doc_n, marks, payload = (b.column(i)[row] for i in range(5))

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
-from parcelcast.llm import queries, token_file as tf
+from parcelcast.llm import common, queries, token_file as tf
 from parcelcast.session import scratch_path
 from tests.llm.data import documents, nothing
 
@@ -60,3 +60,29 @@ def test_pack_and_unpack():
     bits, marks = tf.pack(ids, tf.canonical(lengths), lengths)
     assert len(marks) == -(-len(ids) // tf.STRIDE)
     assert (tf.unpack(bits.tobytes(), marks, len(ids), tf.decode_table(lengths)) == ids).all()
+
+
+def test_encoding_takes_small_steps(spark, monkeypatch):
+    def bounded(batches, column="text", limit=common.STEP_BYTES):
+        assert limit <= 8 << 20      # a worker holds about twenty times as much
+        yield from common.steps(batches, column, limit)
+
+    monkeypatch.setattr(tf, "steps", bounded)
+    docs = documents(spark)
+    path = scratch_path(spark, "tokens")
+    tf.write_token_file(docs, path, queries.tokenizer_json(), 2)
+    assert tf.read_token_file(spark, path).count() == docs.count()
+
+
+def test_worker_forgets_words():
+    tf.encoder(queries.tokenizer_json(), 2).known["a"] = b""
+    tf.forget_encoder()
+    assert not tf.encoder(queries.tokenizer_json(), 2).known
+
+
+def test_hashing_long_texts_leaves_no_table():
+    data = np.arange(3 << 20, dtype=np.int64).astype(np.uint8)
+    ends = np.array([256, 1 << 20, 3 << 20])
+    alone = common.hash_spans(data[:256], np.array([0]), np.array([256]))
+    assert (common.hash_spans(data, ends - 256, ends) == alone).all()
+    assert sum(x.nbytes for x in common._POWERS.values()) <= 8 << 20
