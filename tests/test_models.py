@@ -255,3 +255,46 @@ def test_shuffled_columns_raise_the_error(trained, parts):
     rows = models.permutation_importance(trained[0]["histgb"], parts[1], ORDER).collect()
     assert len(rows) == 5 and rows[0]["increase"] > 0 and rows == sorted(rows, key=lambda r: -r["increase"])
     assert rows[0]["feature"] in ("tipo_via", "tiempo_estimado_min", "nivel_trafico")
+
+
+def test_leaves_by_bits_are_those_of_a_walk():
+    rng = np.random.default_rng(3)
+    for depth, n in ((1, 2), (5, 40), (6, 1100), (7, 3)):      # (over 64 leaves a row walks)
+        inner = 2 ** depth - 1
+        grid = rng.random((4, 30))
+        feature = rng.integers(0, 4, (n, inner))
+        threshold = grid[feature, rng.integers(0, 30, (n, inner))]
+        threshold[rng.random(threshold.shape) < 0.2] = np.inf
+        trees = boost.Trees(0.5, 4, feature, threshold, np.ones((n, inner)), rng.normal(size=(n, inner + 1)))
+        x = np.concatenate([rng.random((70, 4)), grid[:, :20].T, np.full((1, 4), np.nan), np.full((1, 4), np.inf), np.full((1, 4), -np.inf)])
+        x[::7, 2] = np.nan
+        assert np.array_equal(trees.predict(x), trees._walked(x, np.full(len(x), 0.5)))
+        assert depth == 7 or trees._bits[0][0]      # it was not walked
+
+
+def test_columns_of_few_bins_are_summed_together():
+    rng, n = np.random.default_rng(4), 5000
+    sizes = np.array([3, 250, 17, 1, 60, 40])
+    bins = np.stack([rng.integers(0, s, n).astype(np.uint8) for s in sizes])
+    y, held = bins[1] * 0.5 + bins[2] + rng.random(n), np.zeros(n, np.uint8)
+    task = boost._InTask([(n, bins.tobytes(), y.tobytes(), rng.integers(0, 2 ** 62, n).astype(np.uint64).tobytes(), held.tobytes())], 6, 1.0)
+    columns = np.array([0, 1, 3, 5])
+    feature, cut = np.array([1]), np.array([100])
+    root = task.sums([], (feature, cut), 0, np.array([0]), columns, sizes, (1.0, 0))
+    right = task.sums([], (feature, cut), 1, np.array([1]), columns, sizes, (1.0, 0))
+    assert len(task.bundles) == 3 and sorted(j for own, _ in task.bundles for j in own) == list(range(6))
+    for (_, sums, counts), rows in ((root, bins[1] >= 0), (right, bins[1] > 100)):
+        assert np.allclose(sums, np.concatenate([np.bincount(bins[j][rows], (1.0 - y)[rows], sizes[j]) for j in columns]))
+        assert np.array_equal(counts, np.concatenate([np.bincount(bins[j][rows], minlength=sizes[j]) for j in columns]))
+
+
+def test_the_side_of_fewer_rows_is_read():
+    rng, n = np.random.default_rng(5), 1000
+    bins = np.zeros((1, n), np.uint8)
+    bins[0] = np.minimum(np.arange(n) // 10, 99)
+    y = np.where(bins[0] > 89, 50.0, rng.random(n))      # the first split leaves nine tenths on the left
+    task = boost._InTask([(n, bins.tobytes(), y.tobytes(), np.zeros(n, np.uint64).tobytes(), np.zeros(n, np.uint8).tobytes())], 1, 5.0)
+    read, real = [], task.sums
+    task.sums = lambda *given: (read.append((given[2], given[3].tolist())), real(*given))[1]
+    boost._grown(task, boost.Shape(1, depth=2), np.array([100]), None)
+    assert read == [(0, [0]), (1, [1])]
