@@ -46,10 +46,34 @@ def ship(spark: SparkSession) -> None:
     sc._parcelcast_shipped = True
 
 
-def by_batch(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with the package at hand on the workers."""
+#: What operators keep in this worker from task to task: operator -> (key, value).
+_KEPT: dict[str, tuple] = {}
+
+
+def kept(owner: str, key: object, make: Callable) -> object:
+    """``make()``, kept in this worker until the operator asks for another key or a task of another operator begins."""
+    if owner not in _KEPT or _KEPT[owner][0] != key:
+        _KEPT.pop(owner, None)
+        _KEPT[owner] = key, make()
+    return _KEPT[owner][1]
+
+
+def forget_others(owner: str | None) -> None:
+    """Drop what operators other than ``owner`` keep in this worker."""
+    for other in [k for k in _KEPT if k != owner]:
+        del _KEPT[other]
+
+
+def by_batch(df: DataFrame, run: Callable, schema: str, owner: str | None = None) -> DataFrame:
+    """``mapInArrow`` with the package at hand on the workers. A worker that goes on to another operator's tasks gives up what
+    it keeps for ``owner``, and after each task the memory that Arrow holds in reserve."""
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(owner)
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(alone, schema)
 
 
 def by_group(df: DataFrame, key: str, run: Callable, schema: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from parcelcast.llm.common import as_bytes, by_batch, filled, spans, steps
+from parcelcast.llm.common import as_bytes, by_batch, filled, kept, spans, steps
 
 MARK = "▁"
 STEP = 5 << 20
@@ -145,16 +145,9 @@ class Search:
         return flat, counts
 
 
-_LOADED: dict[int, Search] = {}
-
-
 def _search(vocabulary: Vocabulary) -> Search:
     """The worker's search for this vocabulary; which pieces may follow which is learned once."""
-    key = crc32("\n".join([vocabulary.kind, *vocabulary.pieces]).encode())
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Search(vocabulary)
-    return _LOADED[key]
+    return kept("pieces", crc32("\n".join([vocabulary.kind, *vocabulary.pieces]).encode()), lambda: Search(vocabulary))
 
 
 def marked_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -197,7 +190,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             yield pa.record_batch([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return by_batch(rows, run, "doc_id long, ids array<int>")
+    return by_batch(rows, run, "doc_id long, ids array<int>", "pieces")
 
 
 def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelcast.llm.common import binaries, by_batch, filled, spans, steps, written
+from parcelcast.llm.common import binaries, by_batch, filled, forget_others, kept, spans, steps, written
 
 MAX_BITS = 18
 STRIDE = 128
@@ -33,15 +33,16 @@ CACHE_WORDS = 900_000
 PART_TOKENS = 8_000_000
 STEP = 4 << 20  # text bytes that are encoded at once, at about twenty times that in a worker
 
-_LOADED: dict = {}
+#: A letter that is always a piece's last where ASCII punctuation other than an apostrophe follows.
+_WORD_END = r"([a-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~])"
 
 
 class WordEncoder:
     """Ids of texts from a tokenizer that lower-cases, drops white space and never joins over it.
 
     Such a tokenizer gives a text the ids of its words in a row, so each distinct word is encoded once by the library.
-    Words are cut at ASCII white space, and between an ASCII letter and a following full stop or comma, where its
-    pattern always ends a piece.
+    Words are cut at ASCII white space, and between a Latin-1 letter and following ASCII punctuation, where its pattern
+    always ends a piece. The apostrophe stays, as the pattern has pieces that begin with it.
     """
 
     def __init__(self, model: str, end_id: int):
@@ -62,7 +63,7 @@ class WordEncoder:
     def learn(self, words: list[str]) -> None:
         plain = [w for w in words if w.isalpha()]
         if plain:
-            ids = np.array(self.tok.encode("\n".join(plain), add_special_tokens=False).ids, self.dtype)
+            ids = np.array(self.tok.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids, self.dtype)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(plain):  # each word has one end at least, so each has exactly one
                 data, cuts = ids.tobytes(), [0, *(ends * self.dtype.itemsize).tolist()]
@@ -77,11 +78,11 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, the end id after each, and where each text starts."""
-        texts = pc.replace_substring_regex(pc.ascii_lower(filled(texts)), r"([a-z])([.,])", r"\1 \2")
+        texts = pc.replace_substring_regex(pc.ascii_lower(filled(texts)), _WORD_END, r"\1 \2")
         lists = pc.ascii_split_whitespace(texts)
         cuts = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.values.slice(cuts[0], cuts[-1] - cuts[0]).dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()      # (several times faster than to_pylist)
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
@@ -99,16 +100,12 @@ class WordEncoder:
 
 def encoder(model: str, end_id: int) -> WordEncoder:
     """The worker's encoder for this model; it lives as long as the worker."""
-    key = (zlib.crc32(model.encode()), end_id)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = WordEncoder(model, end_id)
-    return _LOADED[key]
+    return kept("tokens", (zlib.crc32(model.encode()), end_id), lambda: WordEncoder(model, end_id))
 
 
 def forget_encoder() -> None:
     """Drop the worker's encoder with the words it knows."""
-    _LOADED.clear()
+    forget_others(None)
 
 
 def token_table(docs: DataFrame, model: str, end_id: int) -> DataFrame:
@@ -132,7 +129,7 @@ def token_table(docs: DataFrame, model: str, end_id: int) -> DataFrame:
                                pa.array([seen.tolist()], schema.field(3).type), pa.array([counts[seen].tolist()], schema.field(4).type)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return written(by_batch(rows, run, "doc_id long, n_tokens long, ids binary, sym array<int>, cnt array<bigint>"), "tokens")
+    return written(by_batch(rows, run, "doc_id long, n_tokens long, ids binary, sym array<int>, cnt array<bigint>", "tokens"), "tokens")
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -247,7 +244,6 @@ def write_token_file(docs: DataFrame, path: str, model: str, end_id: int, max_bi
     shared = spark.sparkContext.broadcast((lengths, canonical(lengths), base))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_encoder()      # blocks and their sort need the memory
         sizes, codes, firsts = shared.value
         held: list = []
         n_held, current, start = 0, None, 0
@@ -284,7 +280,6 @@ def _decoded(spark: SparkSession, path: str, schema: str, of: Callable[[np.ndarr
     shared = spark.sparkContext.broadcast(decode_table(lengths))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_encoder()
         for b in batches:
             for row in range(b.num_rows):
                 start, doc_ids, doc_n, marks, payload = (b.column(i)[row] for i in range(5))

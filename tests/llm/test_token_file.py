@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from parcelcast.llm import common, queries, token_file as tf
@@ -86,3 +87,22 @@ def test_hashing_long_texts_leaves_no_table():
     alone = common.hash_spans(data[:256], np.array([0]), np.array([256]))
     assert (common.hash_spans(data, ends - 256, ends) == alone).all()
     assert sum(x.nbytes for x in common._POWERS.values()) <= 8 << 20
+
+
+def test_punctuation_is_cut_from_words_and_ids_stay():
+    texts = ["good!! good%%% good* (good) fin. été, été; Straße: isn't it's 'tis a-b x<s> y</s> d'été\u0301. İ. İ, Ǆ! ºª. n\u0303? end\"", "good? été! </s>word", None]
+    enc = tf.WordEncoder(queries.tokenizer_json(), 2)
+    ids, at = enc.encode(pa.array(texts))
+    for text, a, b in zip(texts, at, at[1:]):
+        assert ids[a:b].tolist() == [*enc.tok.encode(text or "", add_special_tokens=False).ids, 2]
+    assert {"good", "été", "!!", "%%%"} <= set(enc.known) and not {"good!!", "good%%%", "été,", "été;"} & set(enc.known)
+
+
+def test_a_worker_gives_up_what_another_operator_keeps():
+    common.kept("a", 1, lambda: "held")
+    assert common.kept("a", 1, lambda: "new") == "held" and common.kept("a", 2, lambda: "new") == "new"
+    common.forget_others("a")
+    assert common.kept("a", 2, lambda: "newer") == "new"
+    common.forget_others(None)
+    assert common.kept("a", 2, lambda: "newer") == "newer"
+    common.forget_others(None)
