@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from parcelcast.operators.encode import fit_linear_features, fit_tree_features, linear_feature_names
 from parcelcast.schema import CATEGORICAL, FAMILIES, TARGET, TREE_FEATURES
 
+MAX_SPLITS = 8      # that are written apart; more, or odd names, or over older files, go by partition column
+
 
 def bind_features_target(features: DataFrame, target: DataFrame, key: Sequence[str]) -> DataFrame:
     """Join features and label on the row key (files have no row order to rely on).
@@ -47,6 +52,14 @@ def bind_by_position(features: DataFrame, target: DataFrame) -> DataFrame:
     return left.join(right, "_position").drop("_position")
 
 
+def _is_there(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        return True
+    except AnalysisException:
+        return False
+
+
 def write_feature_sets(labelled: DataFrame, order: Sequence[str], root: str, fmt: str = "parquet",
                        families: Sequence[str] = FAMILIES) -> dict[str, str]:
     """Write one table per family under ``root``, partitioned by ``split``, label in the row.
@@ -57,7 +70,7 @@ def write_feature_sets(labelled: DataFrame, order: Sequence[str], root: str, fmt
     train = labelled.where(F.col("split") == "train")
     scaled = fit_linear_features(train) if {"linear", "glm"} & set(families) else None
     coded = fit_tree_features(train, order).transform(labelled) if {"histgb", "xgboost"} & set(families) else None
-    paths = {}
+    paths, tables = {}, {}
     for family in families:
         if family in ("linear", "glm"):
             table = scaled.transform(labelled).select("features", TARGET, "split")
@@ -69,8 +82,23 @@ def write_feature_sets(labelled: DataFrame, order: Sequence[str], root: str, fmt
             table = coded.select(*[F.col(f"{c}_code").alias(c) if c in CATEGORICAL else F.col(c)
                                    for c in TREE_FEATURES], TARGET, "split")
         paths[family] = f"{root.rstrip('/')}/{family}"
-        writer = table.write.partitionBy("split").mode("overwrite")
-        writer.option("header", True).format(fmt).save(paths[family])
+        tables[family] = table
+    names = sorted(r[0] or "" for r in labelled.select(F.col("split").cast("string")).distinct().limit(MAX_SPLITS + 1).collect())
+    plain = 0 < len(names) <= MAX_SPLITS and all(n.isalnum() for n in names) and not any(_is_there(labelled.sparkSession, p) for p in paths.values())
+
+    def write(family: str, name: str | None) -> None:
+        if name is None:
+            tables[family].write.partitionBy("split").mode("overwrite").option("header", True).format(fmt).save(paths[family])
+        else:
+            rows = tables[family].where(F.col("split") == name).drop("split")
+            rows.write.mode("overwrite").option("header", True).format(fmt).save(f"{paths[family]}/split={name}")
+
+    # a write by partition column would sort, and spill, every row; the smaller writes run side by side
+    jobs = [(family, name) for name in (names if plain else [None]) for family in families]
+    run = inheritable_thread_target(labelled.sparkSession)(write)
+    with ThreadPoolExecutor(max(1, len(jobs))) as pool:
+        for done in [pool.submit(run, *job) for job in jobs]:
+            done.result()
     return paths
 
 

@@ -7,7 +7,7 @@ import pytest
 
 from parcelcast.schema import MASTER
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
 from parcelcast import schema
 from parcelcast.functions import columns as fx
@@ -106,6 +106,18 @@ def test_feature_sets(spark, fmt):
             assert got.columns[:3] == ["0", "1", "2"]
 
 
+def test_feature_sets_are_written_without_a_sort(spark, monkeypatch):
+    table = prepare(src.with_row_key(master(spark)), ["fecha_pedido", "row_key"])
+    root, real = scratch_path(spark, "sets"), DataFrameWriter.partitionBy
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", lambda *_: pytest.fail("a write by partition column"))
+    paths = artifacts.write_feature_sets(table, ["fecha_pedido", "row_key"], root)
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", real)
+    assert {s: spark.read.parquet(paths["glm"]).where(F.col("split") == s).count() for s in ("train", "validation")} == {"train": 40, "validation": 10}
+    odd = table.withColumn("split", F.when(F.col("split") == "train", "train"))      # a null, over files that are there
+    paths = artifacts.write_feature_sets(odd, ["fecha_pedido", "row_key"], root, families=["xgboost"])
+    assert {(r.split, r["count"]) for r in spark.read.parquet(paths["xgboost"]).groupBy("split").count().collect()} == {("train", 40), (None, 10)}
+
+
 def test_month_resolution():
     assert fx.target_month("2024-02") == (2024, 2, "2024-02")
     assert fx.target_month(None, dt.date(2023, 12, 31)) == (2024, 1, "2024-01")
