@@ -298,3 +298,19 @@ def test_the_side_of_fewer_rows_is_read():
     task.sums = lambda *given: (read.append((given[2], given[3].tolist())), real(*given))[1]
     boost._grown(task, boost.Shape(1, depth=2), np.array([100]), None)
     assert read == [(0, [0]), (1, [1])]
+
+
+@pytest.mark.parametrize(("query", "family", "fit"), [("train_boost", "xgboost", "fit_boost"), ("train_hist_boost", "histgb", "fit_hist_boost"),
+                                                      ("scenario_with_model", "xgboost", "fit_boost")])
+def test_a_failed_training_is_an_error_of_its_query(spark, sf, parts, monkeypatch, query, family, fit):
+    def broken(*_, **__):
+        raise ValueError("no trees today")
+
+    train_all = models.train_all
+    monkeypatch.setattr(models, fit, broken)
+    monkeypatch.setattr(models, "train_all", lambda *given: train_all(*given, families=["linear", family]))
+    monkeypatch.setattr(catalog, "once", lambda _spark, _name, build, _inputs: build())
+    monkeypatch.setattr(catalog, "_train", lambda *_: parts[0])
+    monkeypatch.setattr(catalog, "_validation", lambda *_: parts[1])
+    with pytest.raises(RuntimeError, match=f"{family} was not trained: no trees today"):
+        catalog.QUERIES[query](spark, sf)
