@@ -320,3 +320,43 @@ def test_a_failed_training_is_an_error_of_its_query(spark, sf, parts, monkeypatc
 def test_executors_keep_no_feature_rows(parts, family):
     level = models.feature_rows(family, parts[0], ORDER)[1].storageLevel
     assert not (level.useMemory or level.useDisk)
+
+
+def test_a_task_keeps_its_rows_in_mapped_files(monkeypatch):
+    rng, n, width = np.random.default_rng(6), 9000, 6
+    sizes = np.array([3, 250, 17, 1, 60, 40])
+    bins = np.stack([rng.integers(0, s, n).astype(np.uint8) for s in sizes])
+    y, held = bins[1] * 0.5 + bins[2] + rng.random(n), (rng.random(n) < 0.2).astype(np.uint8)
+    keys = rng.integers(0, 2 ** 62, n).astype(np.uint64)
+    at = np.array_split(np.arange(n), 4)
+    grown = []
+    for segment in (1 << 20, 1000):
+        monkeypatch.setattr(boost, "SEGMENT", segment, raising=False)
+        blocks = ((len(a), bins[:, a].tobytes(), y[a].tobytes(), keys[a].tobytes(), held[a].tobytes()) for a in at)
+        task = boost._InTask(blocks, width, 1.0)
+        shape = boost.Shape(6, depth=4, least=20, leaves=9, l2=1.0, row_share=0.8, column_share=0.8)
+        grown.append((boost._grown(task, shape, sizes, lambda errors: (len(errors), False)), task.scores))
+        whole = [a for a in vars(task).values() if isinstance(a, np.ndarray)]
+        assert sum(a.nbytes for a in whole if not isinstance(a.base, np.memmap)) == 0
+        assert sum(r.nbytes for nodes in task.nodes for both in nodes.values() for r in both) <= boost.ROW_BYTES * n
+    (trees, errors), scores = grown[0]
+    for others, seen in grown[1:]:
+        assert np.allclose(errors, others[1]) and np.allclose(scores, seen)
+        assert all(np.array_equal(a[i], b[i]) for a, b in zip(trees, others[0]) for i in (0, 1))
+    assert len(trees) == 6 and errors[-1] < errors[0]
+    place = np.zeros(n, np.int64)      # the first tree's leaves by a walk
+    for _ in range(4):
+        place = 2 * place + 1 + (bins[trees[0][0][place], np.arange(n)] > trees[0][1][place])
+    one = boost._InTask([(n, bins.tobytes(), y.tobytes(), keys.tobytes(), held.tobytes())], width, 1.0)
+    boost._grown(one, boost.Shape(1, depth=4, least=20, leaves=9, l2=1.0, row_share=0.8, column_share=0.8), sizes, lambda errors: (1, False))
+    assert np.allclose(one.scores, 1.0 + trees[0][2][place - 15])
+
+
+def test_both_tree_families_read_the_same_blocks(parts, monkeypatch):
+    made, real = [], boost.column_edges
+    monkeypatch.setattr(boost, "column_edges", lambda rows, width: (made.append(width), real(rows, width))[1])
+    fitted, _, _ = models.train_all(*parts, ORDER, rounds=2, families=["histgb", "xgboost"])
+    alone = models.fit_family("xgboost", parts[0], ORDER, rounds=2)
+    rows = parts[1].limit(50)
+    assert list(fitted) == ["histgb", "xgboost"] and len(made) == 2      # once for both, once alone
+    assert fitted["xgboost"].predict(rows).select("prediction").collect() == alone.predict(rows).select("prediction").collect()
